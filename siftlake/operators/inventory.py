@@ -139,7 +139,10 @@ def _key_outcomes(
         "last_seen",
     )
     # per-tool facts: at most one row per tool
-    dated = theirs.groupBy("to_tool").agg(F.bool_or(F.col("last_seen").isNotNull()).alias("has_times"))
+    others = inventory.filter((F.col("tool") != primary) & F.col("raw_id").isNotNull())
+    dated = others.groupBy(F.col("tool").alias("to_tool")).agg(
+        F.bool_or(F.col("last_seen").isNotNull()).alias("has_times")
+    )
     tools = dated.agg(F.collect_list(F.struct("to_tool", "has_times"))).scalar()
     wanted = mine.select("match_key", "n_primary", "primary_id", F.inline(tools))
     joined = wanted.join(theirs, ["to_tool", "match_key"], "left")

@@ -124,9 +124,9 @@ def disjointness_selfcheck(
 
 
 def mapping_type_lint(mappings: DataFrame, with_layer: bool = True) -> DataFrame:
-    """``(source_field, ocsf_path, source_type, target_type, status)``: ok, crossing or untestable.
+    """Adds ``source_type``, ``target_type`` and ``status``: ok, crossing or untestable.
 
-    ``with_layer=False`` leaves the disjointness out, as a contrast: then nothing is ever flagged.
+    Give it distinct mappings (a count column may ride along): typing is per row. ``with_layer=False`` leaves the disjointness out, as a contrast: then nothing is ever flagged.
     """
     typed = mappings.withColumn("source_type", source_field_type(F.col("source_field"))).withColumn(
         "target_type", ground_path(F.col("ocsf_path"))
@@ -137,15 +137,29 @@ def mapping_type_lint(mappings: DataFrame, with_layer: bool = True) -> DataFrame
     pairs = disjoint_pairs(mappings.sparkSession).withColumn("crosses", F.lit(True))
     joined = typed.join(F.broadcast(pairs), ["source_type", "target_type"], "left")
     status = F.when(untestable, "untestable").when(F.col("crosses"), "crossing").otherwise("ok")
-    return joined.select("source_field", "ocsf_path", "source_type", "target_type", status.alias("status"))
+    return joined.withColumn("status", status).select(*mappings.columns, "source_type", "target_type", "status")
+
+
+def distinct_mappings(mappings: DataFrame) -> DataFrame:
+    """Each mapping once, with how often it occurs as ``n``."""
+    return mappings.groupBy("source_field", "ocsf_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lint_summary(linted: DataFrame, allow_untestable: bool = False) -> DataFrame:
-    """Counts and verdict. Without any testable row a pass would be empty, so it is an error."""
+    """Counts and verdict. Without any testable row a pass would be empty, so it is an error.
+
+    A column ``n`` weighs the rows.
+    """
+    weight = F.col("n") if "n" in linted.columns else F.lit(1)
+    zero = F.lit(0).cast("bigint")
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, weight)), zero)
+
     n = linted.agg(
-        F.count(F.lit(1)).alias("n_checked"),
-        F.count_if(F.col("status") != "untestable").alias("n_testable"),
-        F.count_if(F.col("status") == "crossing").alias("n_crossing"),
+        F.coalesce(F.sum(weight), zero).alias("n_checked"),
+        rows(F.col("status") != "untestable").alias("n_testable"),
+        rows(F.col("status") == "crossing").alias("n_crossing"),
     )
     empty = (F.col("n_testable") == 0) & F.lit(not allow_untestable)
     status = F.when((F.col("n_checked") == 0) | empty, "error").when(F.col("n_crossing") > 0, "fail").otherwise("pass")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.functions.logic import null_sentinel_key, status_rollup
+from siftlake.functions.logic import status_rollup
 from siftlake.functions.net import is_ipv4
 from siftlake.functions.text import user_format_valid
 from siftlake.functions.time import MINUTE_US, minute_bucket
@@ -218,15 +218,15 @@ def dq_six_dimensions(events: DataFrame, free_identity_sources: Sequence[str] =
     """Six dimensions over an event table with ``landed``.
 
     Accuracy needs a ground truth that telemetry does not carry, so it is always unmeasured. Copies of
-    a (source, time, identity) key are counted per key first; all scores come from those groups.
+    a (source, time, identity) key are counted per key first, a NULL identity being a key of its own;
+    all scores come from those groups.
     """
-    keys = [F.col("source"), F.col("event_time_us"), F.col("user")]
     timely = (F.col("ingest_time_us") - F.col("event_time_us")) <= F.lit(TIMELY_US)
     valid = F.col("user").isNotNull() & user_format_valid(F.col("user"))
     judged = ~F.col("source").isin(*free_identity_sources) & F.col("user").isNotNull()
     short = judged & F.col("user").rlike(r"^u\d+$")
     landed = F.col("landed")
-    groups = events.groupBy(null_sentinel_key(*keys).alias("key")).agg(
+    groups = events.groupBy("source", "event_time_us", "user").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(landed).alias("n_landed"),
         F.count_if(landed & timely).alias("n_timely"),

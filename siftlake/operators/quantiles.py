@@ -4,30 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftlake.session import materialise
+
 BUCKETS = 4096
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """Linearly interpolated quantiles of an integer column per key, as columns ``q0, q1, …``.
 
-    Values are first counted per (key, value). A key's range is cut into equal buckets, the bucket of
+    Values are first counted per (key, value) and the counts are written once, so that the table itself
+    is read once; the steps after that read the counts. A key's range is cut into equal buckets, the bucket of
     each wanted rank is found from bucket counts, and that bucket is cut once more. Only values in the
     final slices are ranked: a slice spans the range divided by 4096 squared, so its number of distinct
     values is bounded by arithmetic, however many rows the key holds.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("bigint").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("bigint").alias("v"))
+    counted = counted.agg(F.count(F.lit(1)).alias("n"))
+    shown = keys
     if not keys:
-        counted = counted.withColumn("__all", F.lit(1))
-        keys = ["__all"]
+        keys, counted = ["all_rows"], counted.withColumn("all_rows", F.lit(True))
+    counted = materialise(counted, "value-counts")
     bounds = counted.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
     # one row per key and wanted rank (two ranks around each probability)
     position = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
@@ -38,8 +39,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     for _ in range(2):
         wanted = _narrow(counted, wanted, keys)
     leaf = (
-        counted.join(wanted, keys)
-        .filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        _in_range(counted, wanted, keys)
         .withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy(*keys, "rank").orderBy("v")))
         .filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
     )
@@ -53,19 +53,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
         low = F.col("at")[F.floor(pos) + 1].cast("double")
         high = F.col("at")[F.ceil(pos) + 1].cast("double")
         out.append((low + (high - low) * (pos - F.floor(pos))).alias(f"q{i}"))
-    shown = [k for k in keys if k != "__all"]
     return at.select(*shown, *out)
 
 
+def _in_range(counted: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Counted values next to each wanted rank whose range they fall in."""
+    return counted.join(wanted, keys).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+
+
 def _narrow(counted: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Replace each wanted rank's range by the one of its equal-width buckets that holds the rank."""
     width = F.expr(f"(hi - lo) div {BUCKETS} + 1")
     slices = wanted.withColumn("width", width)
-    in_range: Column = F.col("v").between(F.col("lo"), F.col("hi"))
     bucket = F.expr("(v - lo) div width")
     per_bucket = (
-        counted.join(slices, keys)
-        .filter(in_range)
+        _in_range(counted, slices, keys)
         .groupBy(*keys, "rank", "lo", "hi", "width", "before", "total", bucket.alias("bucket"))
         .agg(F.sum("n").alias("n"))
     )

@@ -27,9 +27,32 @@ def _canonical(df: DataFrame) -> list[Column]:
     return out
 
 
+PIECE_BITS = 22
+
+
 def _text_hash(text: Column) -> Column:
-    """Sixty bits of the MD5 of a row's text, as a number that can be summed without overflow."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(28,0)")
+    """Sixty bits of the MD5 of a row's text."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def _hash_sum(row_hash: Column) -> Column:
+    """Aggregate: the exact sum of 64-bit hashes as text.
+
+    Each hash is summed in three short pieces that stay plain longs for up to 2^41 rows; only the three
+    totals are put together as a decimal.
+    """
+    mask = F.lit((1 << PIECE_BITS) - 1).cast("bigint")
+    pieces = (
+        F.shiftright(row_hash, 2 * PIECE_BITS),
+        F.shiftright(row_hash, PIECE_BITS).bitwiseAND(mask),
+        row_hash.bitwiseAND(mask),
+    )
+    total = F.lit(0).cast("decimal(38,0)")
+    for i, piece in enumerate(reversed(pieces)):
+        weight = F.lit(1 << (PIECE_BITS * i)).cast("decimal(15,0)")
+        summed = F.coalesce(F.sum(piece), F.lit(0)).cast("decimal(20,0)")
+        total = (total + (summed * weight).cast("decimal(37,0)")).cast("decimal(38,0)")
+    return total.cast("string")
 
 
 def content_hash(df: DataFrame, portable: bool = False) -> DataFrame:
@@ -44,9 +67,9 @@ def content_hash(df: DataFrame, portable: bool = False) -> DataFrame:
         row_hash = _text_hash(text)
     else:
         # a NULL leaves xxhash64 unchanged, so each column's NULL flag is hashed with it
-        row_hash = F.xxhash64(*columns, *[c.isNull() for c in columns]).cast("decimal(28,0)")
-    total = F.coalesce(F.sum(row_hash), F.lit(0).cast("decimal(38,0)"))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), total.cast("string").alias("content_hash"))
+        row_hash = F.xxhash64(*columns, *[c.isNull() for c in columns])
+    hashed = df.select(row_hash.alias("h"))
+    return hashed.agg(F.count(F.lit(1)).alias("n_rows"), _hash_sum(F.col("h")).alias("content_hash"))
 
 
 def workload_answers(df: DataFrame, path_name: str, port: int = 3389) -> DataFrame:
@@ -54,12 +77,12 @@ def workload_answers(df: DataFrame, path_name: str, port: int = 3389) -> DataFra
 
     One grouping by port serves the total, the needle and the distribution.
     """
-    ports = df.groupBy("dst_port").agg(F.count(F.lit(1)).alias("n"))
     text = F.concat_ws(":", F.coalesce(F.col("dst_port").cast("string"), F.lit("∅")), F.col("n").cast("string"))
+    ports = df.groupBy("dst_port").agg(F.count(F.lit(1)).alias("n")).withColumn("h", _text_hash(text))
     folded = ports.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("string").alias("total"),
         F.coalesce(F.sum(F.when(F.col("dst_port") == port, F.col("n"))), F.lit(0)).cast("string").alias("needle"),
-        F.coalesce(F.sum(_text_hash(text)), F.lit(0).cast("decimal(38,0)")).cast("string").alias("group_by"),
+        _hash_sum(F.col("h")).alias("group_by"),
     )
     rows = [
         F.struct(F.lit(q).alias("query"), F.col(q).alias("value")) for q in ("total", "needle", "group_by")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.functions import cidr_match, ipv4_to_long
+from siftlake.functions import cidr_match, ipv4_to_long, strip_domain_suffix
 from siftlake.operators import correlate as co
 from siftlake.operators import detections as dt
 from siftlake.operators import inventory as iv
@@ -394,11 +394,9 @@ def _detection_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "regression_diff",
-    sql("oc", """
-SELECT id AS detection_id, 'FIRED' AS before, 'SILENT' AS after FROM
-  (VALUES ('shadow_copy_deletion'), ('lsass_credential_access')) AS v(id)
-WHERE (SELECT count(*) FROM oc) > 0"""),
-)
+    _hunts_sql("""
+SELECT DISTINCT id AS detection_id, 'FIRED' AS before, 'SILENT' AS after FROM f WHERE tech IN ('T1490', 'T1003.001')"""),
+)
 def _regression_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts over all classes against a run that lost the process class."""
     whole = t.ocsf(spark, sf_dir)
@@ -407,8 +405,9 @@ def _regression_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("regression_status", sql("oc", """
-SELECT count(*) * 0 + 6 AS n_before, 6 AS n_after, 2 AS n_changed, 'fail' AS status FROM oc"""))
+@query("regression_status", _hunts_sql("""
+SELECT 6 AS n_before, 6 AS n_after, count(DISTINCT id) AS n_changed,
+  CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS status FROM f WHERE tech IN ('T1490', 'T1003.001')"""))
 def _regression_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = t.ocsf(spark, sf_dir)
     return dt.regression_status(
@@ -519,8 +518,6 @@ def _ambiguity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftlake.functions import strip_domain_suffix
-
     return t.inventories(spark, sf_dir).withColumn("raw_id", strip_domain_suffix(F.col("raw_id")))
 
 
@@ -548,13 +545,19 @@ def _inventory_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "inventory_difference",
     sql("inv", f"""
-SELECT {_KEY} AS raw_id FROM inv WHERE tool = 'cmdb' EXCEPT SELECT {_KEY} FROM inv WHERE tool = 'edr'
+SELECT {_KEY} AS raw_id FROM inv WHERE tool = 'edr' EXCEPT
+SELECT {_KEY} FROM inv WHERE tool = 'cmdb' AND raw_id LIKE '%.local'
 EXCEPT SELECT {_KEY} FROM inv WHERE tool = 'scanner'"""),
 )
 def _inventory_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _folded(spark, sf_dir)
-    cmdb, edr, scanner = (ids.filter(F.col("tool") == tool) for tool in ("cmdb", "edr", "scanner"))
-    return iv.inventory_difference(cmdb, edr, scanner)
+    """Hosts the EDR reports that are neither known to the CMDB by local name nor ever scanned."""
+    raw = t.inventories(spark, sf_dir)
+    local = raw.filter((F.col("tool") == "cmdb") & F.col("raw_id").endswith(".local"))
+    edr, known, scanned = (
+        df.withColumn("raw_id", strip_domain_suffix(F.col("raw_id")))
+        for df in (raw.filter(F.col("tool") == "edr"), local, raw.filter(F.col("tool") == "scanner"))
+    )
+    return iv.inventory_difference(edr, known, scanned)
 
 
 # -- rollups named in printed benchmark output

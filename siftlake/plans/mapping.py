@@ -10,11 +10,13 @@ from siftlake.operators import flow as fw
 from siftlake.operators import mapping_lint as ml
 from siftlake.operators import normalize as nz
 from siftlake.operators import roundtrip as rt
+from siftlake.operators.detections import DETECTIONS
 from siftlake.operators.predicates import mfa_state, mfa_unprotected_naive, mfa_unprotected_null_safe
 from siftlake.operators.predicates import mfa_unprotected_structural
 from siftlake.plans import tables as t
 from siftlake.plans.catalog import query
 from siftlake.plans.tables import sql
+from siftlake.session import materialise
 
 KEY = ("event_key",)
 OKTA_FIELDS = ("class_uid", "category_uid", "activity_id", "status_id", "user", "src_ip", "status")
@@ -286,18 +288,43 @@ def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = zeek.select(F.lit("zeek").alias("source"), F.parse_json(F.to_json(renamed)).alias("record"))
     nested = _cloudtrail(spark, sf_dir).select(F.lit("cloudtrail").alias("source"), "record")
     other = t.okta_raw(spark, sf_dir).select(F.lit("okta").alias("source"), F.parse_json("value").alias("record"))
-    return cw.observed_fields(flat.unionByName(nested).unionByName(other))
+    return materialise(cw.observed_fields(flat.unionByName(nested).unionByName(other)), "field-names")
+
+
+_EXPECTED = ", ".join(f"('{s}', {m.class_uid}, '{f.raw}', '{f.ocsf}')" for s, m in cw.CROSSWALK.items() for f in m.fields)
+_NEEDS = ", ".join(
+    f"('{d.id}', '{d.technique}', {d.class_uid}, '{f}')" for d in DETECTIONS for f in sorted(d.mapped_fields())
+)
+_ZEEK_SEEN = ", ".join(f"'{c}'" for c in ("src_host", *t.ZEEK_COLUMNS) if c not in ("id.orig_h", "orig_bytes"))
+_DRIFT = f"""
+, seen AS (SELECT DISTINCT 'zeek' AS source, unnest([{_ZEEK_SEEN}]) AS field FROM zk
+  UNION SELECT DISTINCT 'cloudtrail', unnest(['eventTime', 'eventName', 'sourceIPAddress', 'userIdentity.userName']) FROM ct
+  UNION SELECT DISTINCT 'cloudtrail', 'responseElements.ConsoleLogin' FROM ct WHERE class_uid = 3002
+  UNION SELECT DISTINCT 'cloudtrail', 'additionalEventData.MFAUsed' FROM ct WHERE is_mfa_present
+  UNION SELECT DISTINCT 'cloudtrail', 'errorCode' FROM ct WHERE class_uid = 6003 AND event_id % 10 = 0),
+expected(source, class_uid, raw_field, ocsf_field) AS (VALUES {_EXPECTED}),
+judged AS (SELECT e.*, s.field IS NOT NULL AS is_seen FROM expected AS e LEFT JOIN seen AS s
+  ON s.source = e.source AND s.field = e.raw_field WHERE e.source IN (SELECT source FROM seen)),
+gone AS (SELECT source, class_uid, ocsf_field FROM judged GROUP BY ALL HAVING NOT bool_or(is_seen)),
+needs(detection_id, technique, class_uid, ocsf_field) AS (VALUES {_NEEDS}),
+risk AS (SELECT source, detection_id, technique, string_agg(ocsf_field, ',' ORDER BY ocsf_field) AS lost_fields
+  FROM gone JOIN needs USING (class_uid, ocsf_field) GROUP BY ALL),
+drift AS (SELECT source, (SELECT count(*) FROM gone AS g WHERE g.source = s.source) AS n_unpopulated,
+  (SELECT count(*) FROM risk AS r WHERE r.source = s.source) AS n_at_risk,
+  CASE WHEN EXISTS (SELECT 1 FROM risk AS r WHERE r.source = s.source) THEN 'fail' ELSE 'pass' END AS status
+  FROM (SELECT DISTINCT source FROM seen) AS s)"""
+
+
+def drift_sql(body: str) -> str:
+    return sql("zk ct", _DRIFT + body)
 
 
 @query(
     "field_diff",
-    """
-SELECT * FROM (VALUES ('zeek', 'id.orig_h', 'missing'), ('zeek', 'orig_bytes', 'missing'),
-  ('zeek', 'src_host', 'unexpected'), ('zeek', 'ts', 'unexpected'), ('zeek', 'uid', 'unexpected'),
-  ('cloudtrail', 'eventTime', 'unexpected'), ('cloudtrail', 'errorCode', 'unexpected'),
-  ('cloudtrail', 'userIdentity', 'unexpected'), ('cloudtrail', 'responseElements', 'unexpected'),
-  ('cloudtrail', 'additionalEventData', 'unexpected')) AS d(source, field, change)
-WHERE (SELECT count(*) FROM events) > 0""",
+    drift_sql("""
+SELECT DISTINCT source, raw_field AS field, 'missing' AS change FROM judged WHERE NOT is_seen
+UNION ALL SELECT source, field, 'unexpected' FROM seen AS s
+WHERE NOT EXISTS (SELECT 1 FROM expected AS e WHERE e.source = s.source AND e.raw_field = s.field)"""),
 )
 def _field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cw.field_diff(_incoming(spark, sf_dir))
@@ -305,10 +332,7 @@ def _field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "drift_at_risk",
-    """
-SELECT * FROM (VALUES ('zeek', 'c2_beacon', 'T1071', 'bytes_out,src_ip'),
-  ('zeek', 'exfil_egress', 'T1048', 'bytes_out,src_ip')) AS d(source, detection_id, technique, lost_fields)
-WHERE (SELECT count(*) FROM events) > 0""",
+    drift_sql("SELECT source, detection_id, technique, lost_fields FROM risk"),
 )
 def _drift_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cw.drift_at_risk(_incoming(spark, sf_dir))
@@ -316,10 +340,7 @@ def _drift_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "drift_status",
-    """
-SELECT * FROM (VALUES ('zeek', 2, 2, 'fail'), ('cloudtrail', 0, 0, 'pass'), ('okta', 0, 0, 'unmeasured'),
-  ('sysmon', 0, 0, 'unmeasured')) AS d(source, n_unpopulated, n_at_risk, status)
-WHERE (SELECT count(*) FROM events) > 0""",
+    drift_sql("SELECT * FROM drift UNION ALL SELECT unnest(['okta', 'sysmon']), 0, 0, 'unmeasured'"),
 )
 def _drift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cw.drift_status(_incoming(spark, sf_dir))
@@ -445,10 +466,7 @@ def _lint_sql(body: str) -> str:
 SELECT source_field, ocsf_path, source_type, target_type, status, count(*) AS n FROM linted GROUP BY ALL"""),
 )
 def _mapping_type_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linted = ml.mapping_type_lint(t.mappings(spark, sf_dir))
-    return linted.groupBy("source_field", "ocsf_path", "source_type", "target_type", "status").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return ml.mapping_type_lint(ml.distinct_mappings(t.mappings(spark, sf_dir)))
 
 
 @query(
@@ -458,7 +476,7 @@ SELECT count(*) AS n_checked, count(*) FILTER (status <> 'untestable') AS n_test
   count(*) FILTER (status = 'crossing') AS n_crossing, 'fail' AS status FROM linted"""),
 )
 def _mapping_lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.lint_summary(ml.mapping_type_lint(t.mappings(spark, sf_dir)))
+    return ml.lint_summary(ml.mapping_type_lint(ml.distinct_mappings(t.mappings(spark, sf_dir))))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.plans import tables as t
 from siftlake.plans.catalog import query
+from siftlake.plans.mapping import drift_sql
 from siftlake.plans.tables import sql
 from siftlake.session import scratch_path
 from siftlake.sources import sinks as sk
@@ -90,16 +91,16 @@ def _stream_failed_auth_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "field_drift_stream",
-    """
-SELECT * FROM (VALUES ('cloudtrail', 0, 0, 'pass'), ('sysmon', 0, 0, 'unmeasured'), ('zeek', 0, 0, 'unmeasured'))
-  AS d(source, n_unpopulated, n_at_risk, status) WHERE (SELECT count(*) FROM events) > 0""",
+    drift_sql("""
+SELECT source, n_unpopulated, n_at_risk, status FROM drift WHERE source = 'cloudtrail'
+UNION ALL SELECT unnest(['sysmon', 'zeek']), 0, 0, 'unmeasured'"""),
 )
 def _field_drift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = t.cloudtrail_raw(spark, sf_dir).select(F.lit("cloudtrail").alias("source"), "value")
     stream = _as_stream(spark, raw, "drift-source").select("source", F.parse_json("value").alias("record"))
     path = scratch_path(spark, "drift")
     st.field_drift_stream(stream, path, scratch_path(spark, "stream-checkpoint")).awaitTermination()
-    return spark.read.parquet(path).select("source", "n_unpopulated", "n_at_risk", "status")
+    return spark.read.parquet(f"{path}/status").select("source", "n_unpopulated", "n_at_risk", "status")
 
 
 @query(

@@ -62,23 +62,27 @@ def read_ndjson_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     return parse_tolerant(spark.read.text(path))
 
 
-def zeek_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the ``#fields`` line of the files under ``path``.
+def zeek_header(spark: SparkSession, path: str, check_all: bool = False) -> list[str]:
+    """Column names from a ``#fields`` line under ``path``.
 
-    All files of one log share a header; differing headers are an error, not a silent misread.
+    Files of one log share a header, so the search stops at the first one met. ``check_all`` reads
+    every file instead and refuses a folder whose headers differ.
     """
-    headers = spark.read.text(path).filter(F.col("value").startswith("#fields")).distinct().limit(2).collect()
-    if not headers:
+    headers = spark.read.text(path).filter(F.col("value").startswith("#fields"))
+    found = headers.distinct().take(2) if check_all else headers.take(1)
+    if not found:
         raise ValueError(f"no #fields line in {path}")
-    if len(headers) > 1:
+    if len(found) > 1:
         raise ValueError(f"files under {path} carry different #fields lines")
-    return headers[0]["value"].split("\t")[1:]
+    return found[0]["value"].split("\t")[1:]
 
 
-def read_zeek_tsv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+def read_zeek_tsv(
+    spark: SparkSession, path: str, types: dict[str, str] | None = None, check_all: bool = False
+) -> DataFrame:
     """Tab-separated log with ``#`` metadata lines; ``-`` is NULL. Names keep their dots."""
     types = types or ZEEK_CONN_TYPES
-    names = zeek_header(spark, path)
+    names = zeek_header(spark, path, check_all)
     schema = T.StructType([T.StructField(n, T.DataType.fromDDL(types.get(n, "string"))) for n in names])
     return spark.read.csv(path, sep="\t", comment="#", schema=schema, nullValue="-", quote="")
 

@@ -54,8 +54,13 @@ def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:
-    """All committed rows, with their ``commit_id`` as a partition column."""
-    return spark.read.parquet(f"{path}/data")
+    """All committed rows, with their ``commit_id`` as a partition column.
+
+    Only commits with a log row are read: a batch whose writer died before the log was written stays
+    invisible. The log is the small side, and its ids prune the partitions.
+    """
+    committed = read_commit_log(spark, path).select("commit_id")
+    return spark.read.parquet(f"{path}/data").join(committed, "commit_id", "left_semi")
 
 
 def read_as_of(table: DataFrame, commit_id: int, commit_column: str = "commit_id") -> DataFrame:

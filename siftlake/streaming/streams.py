@@ -105,7 +105,11 @@ def field_drift_stream(events: DataFrame, path: str, checkpoint: str) -> Streami
     """Drift status per source for every micro-batch. Needs ``source`` and a VARIANT ``record``."""
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        drift_status(observed_fields(batch)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        # the names of a batch are few; they are kept, and every check reads the kept copy
+        names = f"{path}/names/batch_id={batch_id}"
+        observed_fields(batch).write.mode("overwrite").parquet(names)
+        seen = batch.sparkSession.read.schema("source string, field string").parquet(names)
+        drift_status(seen).coalesce(1).write.mode("overwrite").parquet(f"{path}/status/batch_id={batch_id}")
 
     return _run(events, checkpoint, "append", judge)
 

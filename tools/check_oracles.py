@@ -61,7 +61,8 @@ def main() -> int:
     args = parser.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
     catalog.load()
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+                           "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for table in TABLES:
