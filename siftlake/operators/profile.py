@@ -102,7 +102,15 @@ def analyze_table(df: DataFrame, top_n: int = TOP_N_SOURCES) -> tuple[DataFrame,
         *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)],
     )
     views = list(dims)
-    rolled = base.groupingSets([[v] for v in views] + [[]], *views).agg(
+    # a group of no rows keeps the totals there when the table is empty
+    nothing = df.sparkSession.range(1).select(
+        *[F.lit(None).cast("string").alias(v) for v in views],
+        F.lit(0).cast("bigint").alias("n"),
+        F.lit(None).cast(base.schema["first_time"].dataType).alias("first_time"),
+        F.lit(None).cast(base.schema["last_time"].dataType).alias("last_time"),
+        *[F.lit(0).cast("bigint").alias(f"c{i}") for i in range(len(df.columns))],
+    )
+    rolled = base.unionByName(nothing).groupingSets([[v] for v in views] + [[]], *views).agg(
         F.grouping_id().alias("gid"),
         F.sum("n").alias("n"),
         F.min("first_time").alias("first_time"),
@@ -124,7 +132,8 @@ def analyze_table(df: DataFrame, top_n: int = TOP_N_SOURCES) -> tuple[DataFrame,
     for i, view in enumerate(views):
         mine = none_grouped & ~(1 << (len(views) - 1 - i))
         out = F.when(F.col("gid") == mine, F.array(row(view, F.col(view), F.col("n")))).otherwise(out)
-    tidy = rolled.select(F.inline(out), "first_time", "last_time")
+    counted = rolled.filter((F.col("gid") == none_grouped) | (F.col("n") > 0))
+    tidy = counted.select(F.inline(out), "first_time", "last_time")
     # every key of the other views is a partition of its own, so one rank filter caps the sources only
     own = F.when(F.col("view") != "top_sources", F.col("key"))
     order = W.partitionBy("view", own).orderBy(F.desc("n"), F.asc("key"))
