@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IPV4_SHAPE = r"^[0-9]+(\.[0-9]+){3}$"
+_OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+IPV4_IN_RANGE = rf"^({_OCTET}\.){{3}}{_OCTET}$"
 
 
 def is_ipv4(c: Column) -> Column:
@@ -17,10 +19,12 @@ def is_ipv4(c: Column) -> Column:
 
 def ipv4_to_long(c: Column) -> Column:
     """Dotted IPv4 to its integer; NULL when the text is not four octets in range."""
-    octets = F.transform(F.split(c, "[.]"), lambda part: part.try_cast("bigint"))
-    valid = is_ipv4(c) & F.forall(octets, lambda o: F.coalesce(o.between(0, 255), F.lit(False)))
-    folded = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * F.lit(256) + o)
-    return F.when(valid, folded)
+    # the sum is evaluated on every row, so the shared split is computed once; a NULL term voids the rest
+    parts = F.split(c, "\\.")
+    number = F.when(c.rlike(IPV4_IN_RANGE), F.lit(0).cast("bigint"))
+    for i in range(4):
+        number = number + F.get(parts, F.lit(i)).try_cast("bigint") * F.lit(256 ** (3 - i)).cast("bigint")
+    return number
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:

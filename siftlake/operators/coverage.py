@@ -118,9 +118,16 @@ def required_ocsf_classes(edges: DataFrame, key: str, names: str = "shared_artif
 
 
 def _corpus_facts(corpus: DataFrame) -> DataFrame:
+    """Everything coverage asks of a technique, from one grouping of the corpus.
+
+    The class lists of detect cells are subsets of four ids, so few different ones exist.
+    """
+    cell_classes = F.when(F.col("band") == DETECT, required_classes(F.col("shared_artifact_names")))
     return corpus.groupBy(F.col("off_tech_id").alias("technique")).agg(
         F.bool_or(~F.col("band").isin("zero_defense", "_meta")).alias("has_cells"),
         F.bool_or(F.col("band") == "zero_defense").alias("is_zero_defense"),
+        F.count_if(F.col("band") == DETECT).alias("n_detect"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(cell_classes)))).alias("detect_classes"),
     )
 
 
@@ -191,18 +198,20 @@ def coverage_status(inventory: DataFrame, by_class: DataFrame, fired: DataFrame,
     """
     landed = by_class.filter(F.col("n") > 0).select("class_uid", F.lit(True).alias("landed"))
     hits = fired.groupBy("technique").agg(F.max("n_findings").alias("n_findings"))
-    edges = defenses_for(inventory, corpus).filter(F.col("reason").isNull())
-    per_technique = edges.groupBy("technique").agg(F.count(F.lit(1)).alias("inferred_edges"))
-    classes = required_ocsf_classes(edges, "technique")
-    curated = curated_defense_for(inventory).select("technique", F.col("trust").alias("curated_trust"))
+    curated = F.broadcast(curated_table(inventory.sparkSession)).select(
+        "technique", F.col("trust").alias("curated_trust")
+    )
     joined = (
         inventory.join(landed, "class_uid", "left")
         .join(hits, "technique", "left")
-        .join(corpus_membership(inventory, corpus), "technique")
-        .join(per_technique, "technique", "left")
-        .join(classes, "technique", "left")
+        .join(_corpus_facts(corpus), "technique", "left")
         .join(curated, "technique", "left")
     )
+    zero = F.coalesce("is_zero_defense", F.lit(False))
+    member = F.coalesce(F.col("has_cells"), F.lit(False)) | zero
+    # a zero-defence technique has no edges, whatever stray cells say
+    n_edges = F.when(~zero, F.col("n_detect"))
+    no_classes = F.array().cast("array<int>")
     visible = F.coalesce("landed", F.lit(False))
     has_fired = F.coalesce(F.col("n_findings") > 0, F.lit(False))
     status = (
@@ -211,7 +220,7 @@ def coverage_status(inventory: DataFrame, by_class: DataFrame, fired: DataFrame,
         .when(has_fired, "fired")
         .otherwise("covered")
     )
-    inferred = F.when(F.col("inferred_edges") > 0, F.lit(TRUST["artifact_cooccurrence"]))
+    inferred = F.when(n_edges > 0, F.lit(TRUST["artifact_cooccurrence"]))
     return joined.select(
         "technique",
         "tactic",
@@ -219,10 +228,10 @@ def coverage_status(inventory: DataFrame, by_class: DataFrame, fired: DataFrame,
         visible.alias("visible"),
         has_fired.alias("fired"),
         status.alias("status"),
-        "in_corpus",
-        "is_zero_defense",
-        F.coalesce("required_classes", F.array().cast("array<int>")).alias("required_classes"),
-        F.coalesce("inferred_edges", F.lit(0).cast("bigint")).alias("inferred_edges"),
+        member.alias("in_corpus"),
+        zero.alias("is_zero_defense"),
+        F.coalesce(F.when(~zero, F.col("detect_classes")), no_classes).alias("required_classes"),
+        F.coalesce(n_edges, F.lit(0).cast("bigint")).alias("inferred_edges"),
         F.coalesce(F.least(inferred, F.col("curated_trust")), F.lit(0.0)).alias("weakest_trust"),
     )
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.time import epoch_ms_utc, instant_of
-from siftlake.operators.schema import union_sources
 
 # Raw schemas.
 OKTA_SCHEMA = (
@@ -148,45 +147,34 @@ def normalize_cloudtrail(raw: DataFrame, record: str = "record", carry: tuple[st
     def text(path: str) -> Column:
         return F.try_variant_get(record, path, "string")
 
-    mfa = text("$.additionalEventData.MFAUsed")
-    name = text("$.eventName")
     base = raw.select(
         *_carried(raw, carry),
         epoch_ms_utc(text("$.eventTime")).alias("time"),
-        name.alias("event_name"),
+        text("$.eventName").alias("event_name"),
         text("$.userIdentity.userName").alias("who"),
         text("$.sourceIPAddress").alias("src_ip"),
         text("$.responseElements.ConsoleLogin").alias("outcome"),
         (text("$.errorCode").isNotNull() | text("$.errorMessage").isNotNull()).alias("errored"),
-        mfa.alias("mfa"),
+        text("$.additionalEventData.MFAUsed").alias("mfa"),
     )
-    is_login = F.coalesce(F.col("event_name") == "ConsoleLogin", F.lit(False))
-    common = [F.col(c) for c in carry if c in raw.columns]
-    logins = base.filter(is_login).select(
-        *common,
+    login = F.coalesce(F.col("event_name") == "ConsoleLogin", F.lit(False))
+    login_status = F.when(F.col("outcome") == "Success", 1).otherwise(2)
+    call_status = F.when(F.col("errored"), 2).otherwise(1)
+    return base.select(
+        *_carried(base, carry),
         "time",
-        F.lit(3002).alias("class_uid"),
-        F.lit(3).alias("category_uid"),
-        F.lit(1).alias("activity_id"),
-        F.when(F.col("outcome") == "Success", 1).otherwise(2).alias("status_id"),
-        F.col("who").alias("user"),
-        "src_ip",
-        F.col("outcome").alias("status"),
-        (F.col("mfa") == "Yes").alias("is_mfa"),
-        F.col("mfa").isNotNull().alias("is_mfa_present"),
-    )
-    calls = base.filter(~is_login).select(
-        *common,
-        "time",
-        F.lit(6003).alias("class_uid"),
-        F.lit(6).alias("category_uid"),
-        api_activity_id(F.col("event_name")).alias("activity_id"),
-        F.when(F.col("errored"), 2).otherwise(1).alias("status_id"),
-        F.col("who").alias("actor_user"),
+        F.when(login, 3002).otherwise(6003).alias("class_uid"),
+        F.when(login, 3).otherwise(6).alias("category_uid"),
+        F.when(login, 1).otherwise(api_activity_id(F.col("event_name"))).alias("activity_id"),
+        F.when(login, login_status).otherwise(call_status).alias("status_id"),
+        F.when(login, F.col("who")).alias("user"),
+        F.when(~login, F.col("who")).alias("actor_user"),
         "src_ip",
-        F.col("event_name").alias("api_operation"),
+        F.when(login, F.col("outcome")).alias("status"),
+        F.when(~login, F.col("event_name")).alias("api_operation"),
+        F.when(login, F.col("mfa") == "Yes").alias("is_mfa"),
+        F.when(login, F.col("mfa").isNotNull()).alias("is_mfa_present"),
     )
-    return union_sources(logins, calls)
 
 
 def lead_technique(tags: Column) -> Column:
