@@ -22,7 +22,7 @@ from siftlake.sources.sinks import cluster_layout  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 HEADLINE = (
     "count_all", "needle_count", "group_port_distribution", "distinct_src_ip", "top_talkers", "byte_rollup",

@@ -274,27 +274,26 @@ def detect_bruteforce(auth: DataFrame, threshold: int = 5) -> DataFrame:
 ABSENT = "—absent—"
 
 
-def regression_diff(before: DataFrame, after: DataFrame, key: str = "detection_id") -> DataFrame:
-    """Rules whose verdict changed, appeared or vanished."""
+def _side_by_side(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     old = before.select(key, F.col("verdict").alias("before"))
     new = after.select(key, F.col("verdict").alias("after"))
-    joined = old.join(new, key, "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
-    return joined.select(
+    return old.join(new, key, "full_outer")
+
+
+def regression_diff(before: DataFrame, after: DataFrame, key: str = "detection_id") -> DataFrame:
+    """Rules whose verdict changed, appeared or vanished."""
+    changed = _side_by_side(before, after, key).filter(~F.col("before").eqNullSafe(F.col("after")))
+    return changed.select(
         key, F.coalesce("before", F.lit(ABSENT)).alias("before"), F.coalesce("after", F.lit(ABSENT)).alias("after")
     )
 
 
 def regression_status(before: DataFrame, after: DataFrame, key: str = "detection_id") -> DataFrame:
     """pass when nothing changed, fail otherwise, unmeasured when either side is empty."""
-    sides = (
-        before.select(F.lit(1).alias("b"), F.lit(0).alias("a"), F.lit(0).alias("c"))
-        .unionAll(after.select(F.lit(0), F.lit(1), F.lit(0)))
-        .unionAll(regression_diff(before, after, key).select(F.lit(0), F.lit(0), F.lit(1)))
-    )
-    n = sides.agg(
-        F.coalesce(F.sum("b"), F.lit(0)).alias("n_before"),
-        F.coalesce(F.sum("a"), F.lit(0)).alias("n_after"),
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n_changed"),
+    n = _side_by_side(before, after, key).agg(
+        F.count("before").alias("n_before"),
+        F.count("after").alias("n_after"),
+        F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("n_changed"),
     )
     status = (
         F.when((F.col("n_before") == 0) | (F.col("n_after") == 0), "unmeasured")

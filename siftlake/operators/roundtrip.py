@@ -29,7 +29,7 @@ def roundtrip_pairs(expected: DataFrame, produced: DataFrame, key: str = "event_
 def field_value_checks(
     expected: DataFrame, produced: DataFrame, fields: Sequence[str], key: str = "event_key"
 ) -> DataFrame:
-    """Mismatches only: ``(key, field, expected, got, why)``.
+    """Mismatches only: ``(key, field, expected, got, why)``. The key names one raw event.
 
     A field that the produced table does not have is missing for every event. Types are compared
     through the schema, so a boolean never equals the integer that looks like it. NULL counts as a

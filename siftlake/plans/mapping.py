@@ -176,23 +176,30 @@ def _epoch_ms_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "lead_technique",
     """
-WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, 'T' || (1000 + l_partkey % 435) AS tag FROM lineitem)
-SELECT l_orderkey, first(tag ORDER BY l_linenumber, l_partkey) AS lead_tag, count(DISTINCT tag) AS n_tags
-FROM r GROUP BY l_orderkey""",
+WITH r AS (SELECT o_orderkey, CASE WHEN o_custkey % 8 <> 0 THEN [x FOR x IN ['T' || (1000 + o_custkey % 435),
+    CASE WHEN o_orderkey % 3 = 0 THEN 'T' || (1000 + o_orderkey % 435) END, 'T' || (1000 + o_custkey % 435)]
+    IF x IS NOT NULL] END AS tags FROM orders),
+lead AS (SELECT tags[1] AS technique, count(*) AS n_lead FROM r GROUP BY 1),
+bridge AS (SELECT technique, count(*) AS n_any FROM (SELECT DISTINCT o_orderkey, unnest(tags) AS technique FROM r)
+  GROUP BY 1)
+SELECT technique, coalesce(n_lead, 0) AS n_lead, n_any FROM lead FULL JOIN bridge USING (technique)""",
 )
 def _lead_technique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of an order in line order: the lead one, and how many the bridge keeps."""
-    tag = F.concat(F.lit("T"), (F.lit(1000) + F.col("l_partkey") % t.N_TECHNIQUES).cast("string"))
-    tagged = t.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", tag.alias("tag"))
-    # an order has a handful of lines
-    listed = tagged.groupBy("l_orderkey").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "tag"))), lambda s: s["tag"]
-        ).alias("tags")
+    """Findings per technique: by the lead tag alone, and by the bridge that keeps every tag."""
+    cust, order = (F.col(c) % t.N_TECHNIQUES for c in ("o_custkey", "o_orderkey"))
+
+    def tag(n: Column) -> Column:
+        return F.concat(F.lit("T"), (F.lit(1000) + n).cast("string"))
+
+    tags = F.array_compact(F.array(tag(cust), F.when(F.col("o_orderkey") % 3 == 0, tag(order)), tag(cust)))
+    tagged = t.read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_custkey") % 8 != 0, tags).alias("tags")
     )
-    bridge = nz.technique_bridge(listed, "l_orderkey", "tags")
-    n_tags = bridge.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_tags"))
-    return listed.select("l_orderkey", nz.lead_technique(F.col("tags")).alias("lead_tag")).join(n_tags, "l_orderkey")
+    n = F.count(F.lit(1))
+    lead = tagged.groupBy(nz.lead_technique(F.col("tags")).alias("technique")).agg(n.alias("n_lead"))
+    bridge = nz.technique_bridge(tagged, "o_orderkey", "tags").groupBy("technique").agg(n.alias("n_any"))
+    joined = lead.join(bridge, "technique", "full_outer")
+    return joined.select("technique", F.coalesce("n_lead", F.lit(0).cast("bigint")).alias("n_lead"), "n_any")
 
 
 # -- MFA states

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,6 +43,8 @@ def stream_normalize_land(
 
     def land(batch: DataFrame, batch_id: int) -> None:
         good = F.col("event.published").isNotNull()
+        # both sinks read the batch; the lines are fetched and parsed once
+        batch.persist(StorageLevel.DISK_ONLY)
         land_append_commit(
             normalize_okta(batch.filter(good).select("event.*")),
             table,
@@ -51,6 +54,7 @@ def stream_normalize_land(
         )
         bad = batch.filter(~F.coalesce(good, F.lit(False))).select("value")
         bad.write.mode("overwrite").text(f"{table}/quarantine/batch_id={batch_id}")
+        batch.unpersist()
 
     return _run(parsed, checkpoint, "append", land)
 
