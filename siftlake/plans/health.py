@@ -257,7 +257,7 @@ WHERE (SELECT count(class_uid) FROM ev) > 0"""),
 def _table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A landed table with one class that no commit refers to."""
     path = scratch_path(spark, "audited")
-    landed = sk.land_replace(t.events(spark, sf_dir).coalesce(1), path)
+    landed = sk.land_replace(t.events(spark, sf_dir), path)
     referenced = fl.files_of(landed.filter(F.col("class_uid") != 6003))
     return ql.table_audit(
         landed,

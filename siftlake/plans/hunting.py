@@ -189,10 +189,15 @@ def _by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.by_enum(t.ocsf(spark, sf_dir), "class_uid")
 
 
-@query("by_activity", sql("oc", """
-SELECT coalesce(CAST(status_id AS VARCHAR), '<null>') AS key, count(*) AS n FROM oc GROUP BY 1"""))
+@query("by_activity", sql("oc", "SELECT CAST(activity_id AS VARCHAR) AS key, count(*) AS n FROM oc GROUP BY 1"))
 def _by_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over an enum that is NULL for process events."""
+    return pf.by_enum(t.ocsf(spark, sf_dir), "activity_id")
+
+
+@query("by_status", sql("oc", """
+SELECT coalesce(CAST(status_id AS VARCHAR), '<null>') AS key, count(*) AS n FROM oc GROUP BY 1"""))
+def _by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An enum that is NULL for process events."""
     return pf.by_enum(t.ocsf(spark, sf_dir), "status_id")
 
 

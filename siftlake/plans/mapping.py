@@ -355,16 +355,18 @@ def _drift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- flow counts
 
+INGESTED_TO_US = t.END_US - t.DAY_US // 4
 _EVENT_TYPES = {"signup": 3002, "error": 3002, "view": 4001, "click": 4001, "purchase": 6003}
 
 
 def _hops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Emitted from raw types, ingested with a few lost rows, landed without one whole class."""
+    """Emitted from raw types; the last hours are not ingested yet, and one whole class never landed."""
     raw = t.read(spark, sf_dir, "events")
     emitted = fw.emitted_counts(raw, F.col("event_type"), _EVENT_TYPES)
     events = t.events(spark, sf_dir)
-    ingested = fw.hop_counts(events.filter(F.col("event_id") % 200 != 0), "ingested")
-    landed = fw.hop_counts(events.filter((F.col("event_id") % 200 != 0) & (F.col("class_uid") != 6003)), "landed")
+    arrived = events.filter(F.col("time_us") < INGESTED_TO_US)
+    ingested = fw.hop_counts(arrived, "ingested")
+    landed = fw.hop_counts(arrived.filter(F.col("class_uid") != 6003), "landed")
     return emitted, ingested, landed
 
 
@@ -375,21 +377,22 @@ def _emitted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hop_counts",
-    sql("ev", """
-SELECT 'ingested' AS hop, class_uid, count(*) AS n FROM ev WHERE event_id % 200 <> 0 GROUP BY class_uid
-UNION ALL SELECT 'landed', class_uid, count(*) FROM ev WHERE event_id % 200 <> 0 AND class_uid <> 6003 GROUP BY 2"""),
+    sql("ev", f"""
+SELECT 'ingested' AS hop, class_uid, count(*) AS n FROM ev WHERE time_us < {INGESTED_TO_US} GROUP BY class_uid
+UNION ALL SELECT 'landed', class_uid, count(*) FROM ev WHERE time_us < {INGESTED_TO_US} AND class_uid <> 6003
+GROUP BY 2"""),
 )
 def _hop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ingested, landed = _hops(spark, sf_dir)
     return ingested.unionByName(landed)
 
 
-_RECONCILED = """
+_RECONCILED = f"""
 SELECT class_uid, emitted, ingested, landed, emitted - landed AS n_dropped,
   round((emitted - landed) / emitted, 4) AS drop_frac,
   CASE WHEN emitted - landed > emitted * 0.01 THEN 'fail' ELSE 'pass' END AS status
-FROM (SELECT class_uid, count(*) AS emitted, count(*) FILTER (event_id % 200 <> 0) AS ingested,
-  count(*) FILTER (event_id % 200 <> 0 AND class_uid <> 6003) AS landed FROM ev GROUP BY class_uid)"""
+FROM (SELECT class_uid, count(*) AS emitted, count(*) FILTER (time_us < {INGESTED_TO_US}) AS ingested,
+  count(*) FILTER (time_us < {INGESTED_TO_US} AND class_uid <> 6003) AS landed FROM ev GROUP BY class_uid)"""
 
 
 @query("flow_reconcile", sql("ev", _RECONCILED))
@@ -407,10 +410,10 @@ def _flow_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "flow_gate",
-    sql("ev", """
+    sql("ev", f"""
 SELECT class_uid, emitted, landed, emitted - landed AS vanished, CASE WHEN emitted = landed THEN 'ok' ELSE 'DROP' END
-  AS status FROM (SELECT class_uid, count(*) AS emitted, count(*) FILTER (event_id % 200 <> 0 AND class_uid <> 6003)
-  AS landed FROM ev GROUP BY class_uid)"""),
+  AS status FROM (SELECT class_uid, count(*) AS emitted,
+  count(*) FILTER (time_us < {INGESTED_TO_US} AND class_uid <> 6003) AS landed FROM ev GROUP BY class_uid)"""),
 )
 def _flow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     emitted, _, landed = _hops(spark, sf_dir)

@@ -292,10 +292,9 @@ def _orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql("oc", "SELECT count(DISTINCT class_uid) >= 1 AS has_files, 'pass' AS status, 8 AS max_small FROM oc"),
 )
 def _small_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file of this table is small; with one file per class there are few enough of them."""
+    """Files of this table are small, but the rebalanced write leaves few enough of them."""
     path = scratch_path(spark, "small-files")
-    landed = sk.land_replace(t.ocsf(spark, sf_dir).coalesce(1), path)
-    del landed
+    sk.land_replace(t.ocsf(spark, sf_dir), path)
     checked = fl.small_files(fl.list_table_files(spark, path))
     return checked.select((F.col("total_files") > 0).alias("has_files"), "status", "max_small")
 

@@ -259,13 +259,10 @@ def techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("p_partkey") % N_TECHNIQUES
-    return (
-        read(spark, sf_dir, "part")
-        .filter(t % 7 == 0)
-        .groupBy(_technique(t).alias("technique"))
-        .agg(F.count(F.lit(1)).alias("n_findings"))
-    )
+    """Findings per technique: one for each brand-tagged part, none for most techniques."""
+    technique = _technique(F.col("p_partkey") % N_TECHNIQUES).alias("technique")
+    hit = F.count_if(F.col("p_brand") == "Brand#7")
+    return read(spark, sf_dir, "part").groupBy(technique).agg(hit.alias("n_findings"))
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,8 +334,8 @@ def semantic(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t = F.col("l_partkey") % N_TECHNIQUES
     class_map = (
         read(spark, sf_dir, "lineitem")
-        .filter(t % 10 == 0)
-        .select(_technique(t).alias("attack_technique_id"), _pick(CLASS_CYCLE, t % 4).alias("ocsf_class_uid"))
+        .select(_technique(t).alias("attack_technique_id"), _pick(CLASS_CYCLE, t % 5).alias("ocsf_class_uid"))
+        .filter(F.col("ocsf_class_uid") != 6001)
         .distinct()
     )
     auth = (
@@ -564,8 +561,8 @@ SELECT DISTINCT 'T' || (1000 + t) AS technique, 'tactic-' || (t % 14) AS tactic,
   {_sql_list(CLASS_CYCLE)}[t % 5 + 1] AS class_uid, t % 3 <> 0 AS has_detection
 FROM (SELECT DISTINCT p_partkey % {N_TECHNIQUES} AS t FROM part)"""),
     "fi": ((), f"""
-SELECT 'T' || (1000 + p_partkey % {N_TECHNIQUES}) AS technique, count(*) AS n_findings FROM part
-WHERE p_partkey % {N_TECHNIQUES} % 7 = 0 GROUP BY 1"""),
+SELECT 'T' || (1000 + p_partkey % {N_TECHNIQUES}) AS technique, count(*) FILTER (p_brand = 'Brand#7') AS n_findings
+FROM part GROUP BY 1"""),
     "ms": ((), f"""
 SELECT 'T' || (1000 + t) AS att_ck, CASE t % 4 WHEN 0 THEN 'DETECTED' WHEN 1 THEN 'MISSED' ELSE 'NOISY' END AS state,
   (t % 10) / 10.0 AS precision, matches
@@ -594,9 +591,9 @@ SELECT off_tech_id AS attack_technique_id, d3fend_id, phase AS d3fend_tactic, sh
 FROM co WHERE band <> 'zero_defense'"""),
     "d3": ((), f"SELECT DISTINCT 'D3-' || (s_suppkey % {N_DEFENSES}) AS d3fend_id FROM supplier"),
     "cmap": ((), f"""
-SELECT DISTINCT 'T' || (1000 + l_partkey % {N_TECHNIQUES}) AS attack_technique_id,
-  {_sql_list(CLASS_CYCLE)}[l_partkey % {N_TECHNIQUES} % 4 + 1] AS ocsf_class_uid
-FROM lineitem WHERE l_partkey % {N_TECHNIQUES} % 10 = 0"""),
+SELECT DISTINCT * FROM (SELECT 'T' || (1000 + l_partkey % {N_TECHNIQUES}) AS attack_technique_id,
+  {_sql_list(CLASS_CYCLE)}[l_partkey % {N_TECHNIQUES} % 5 + 1] AS ocsf_class_uid FROM lineitem)
+WHERE ocsf_class_uid <> 6001"""),
     "auth": (("ev",), "SELECT time AS event_time, status_id FROM ev WHERE class_uid = 3002"),
     "vr": ((), f"""
 SELECT event_type AS table_name, strftime(ts, '%Y-%m-%d') AS day,

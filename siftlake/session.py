@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A side is broadcast only when its measured or declared row count stays under this.
-BROADCAST_ROW_LIMIT = 200_000
-
 _local_roots: dict[str, str] = {}
 
 
@@ -79,10 +76,3 @@ def _literal(value: object, data_type: T.DataType) -> Column:
     if isinstance(value, (list, tuple)):
         return F.array(*[F.lit(v) for v in value]).cast(data_type)
     return F.lit(value).cast(data_type)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting at most ``limit + 1`` rows; a larger side is left to shuffle."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.text import basename
-from siftlake.session import broadcast_if_small
 
 # Compaction threshold and the number of small files tolerated.
 MIN_FILE_BYTES = 128 * 1024 * 1024
@@ -73,8 +72,7 @@ def footprint_by_source(events: DataFrame, files: DataFrame, source: str = "sour
     sizes = files.groupBy(source).agg(
         F.sum("file_size").cast("bigint").alias("total_bytes"), F.count(F.lit(1)).alias("n_files")
     )
-    joined = sizes.join(broadcast_if_small(counts), source, "left")
-    return joined.select(
+    return sizes.join(counts, source, "left").select(
         source,
         "n_files",
         "total_bytes",

@@ -96,6 +96,24 @@ def test_one_pass_equals_the_single_hunts(planted):
     assert not got
 
 
+def test_sql_text_and_dataframe_agree(spark, planted):
+    planted.createOrReplaceTempView("landed_events")
+    for spec in dt.DETECTIONS:
+        through_sql = spark.sql(dt.findings_sql(spec, "landed_events"))
+        mine = dt.findings(planted, spec)
+        assert through_sql.columns == mine.columns
+        assert {tuple(r) for r in through_sql.collect()} == {tuple(r) for r in mine.collect()} != set()
+
+
+def test_sql_literals_are_quoted(make):
+    spec = dt.DetectionSpec("q", "T0", "t", (("cmd_line", "contains", "it's a\\b%"),), ("device_hostname",),
+                            (dt.Measure("n", "count"),), (("n", ">=", 1),), "n")
+    df = make(EVENT, process("h", "x IT'S A\\B% y") + process("i", "its ab"))
+    df.createOrReplaceTempView("quoted_events")
+    rows = df.sparkSession.sql(dt.findings_sql(spec, "quoted_events")).collect()
+    assert [tuple(r) for r in rows] == [tuple(r) for r in dt.findings(df, spec).collect()] == [("h", 1)]
+
+
 def test_boundary_four_is_not_five(make):
     four = make(EVENT, login("9.9.9.9", "a", False, 4))
     five = make(EVENT, login("9.9.9.9", "a", False, 5))

@@ -70,13 +70,15 @@ def test_hunts_over_all_classes_take_one_scan_per_source(spark):
 
 
 def test_class_partitions_are_pruned(spark, tmp_path):
-    from siftlake.operators.detections import BY_ID, findings
+    from siftlake.operators.detections import BY_ID, findings, run_detections
     from siftlake.sources.sinks import land_replace
 
     landed = land_replace(t.ocsf(spark, SMALL), str(tmp_path / "ocsf"))
     plan = final_plan(findings(landed, BY_ID["lsass_credential_access"]))
     assert "PartitionFilters: [isnotnull(class_uid" in plan
     assert "dst_port" not in plan
+    every = final_plan(run_detections(landed))
+    assert "PartitionFilters: [class_uid" in every and " IN (1007,3002,4001,6003)" in every
 
 
 def test_top_peers_are_limited_before_the_shuffle(spark):
