@@ -11,6 +11,7 @@ import sys
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -57,12 +58,16 @@ def compare(spark, con, name: str, sf_dir: str) -> str:
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--plain", action="store_true", help="a session with Spark's own defaults")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
     catalog.load()
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-                           "spark.ui.showConsoleProgress": "false"})
+    if args.plain:
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        settings = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+        spark = build_session("check", "local[8]", **{"spark.ui.showConsoleProgress": "false"}, **settings)
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for table in TABLES:
