@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm.common import read_table, tokenizer_path
+from siftlake.llm.line_dedup import line_digest
 from siftlake.llm.packing import pack_documents
+from siftlake.llm.simhash import near_duplicates
 from siftlake.llm.token_files import token_file_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +27,20 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(_documents(spark, sf_dir))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_files": op4_token_files,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_simhash": op9_simhash,
     }
 
 

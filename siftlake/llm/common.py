@@ -16,17 +16,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 BLANK_RE = r"[\x20\x09-\x0D]+"
 
-#: Arrow rows per batch for tables that hold whole texts: even texts of a megabyte fit in a Python worker.
-TEXT_BATCH_ROWS = 500
+#: Arrow rows per batch where rows hold whole texts (even texts of a megabyte then fit in a Python worker), and where
+#: they hold a few numbers.
+TEXT_BATCH_ROWS, NUMBER_BATCH_ROWS = 500, 20_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the Python stages that follow, so that long texts do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
+    """Bound the Arrow batches of the Python stages that run from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shuffle_width(spark: SparkSession) -> int:
