@@ -16,9 +16,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 BLANK_RE = r"[\x20\x09-\x0D]+"
 
-#: Arrow rows per batch where rows hold whole texts (even texts of a megabyte then fit in a Python worker), and where
+#: Arrow rows per batch where rows hold whole texts (Spark bounds the bytes of a batch as well), and where
 #: they hold a few numbers.
-TEXT_BATCH_ROWS, NUMBER_BATCH_ROWS = 500, 20_000
+TEXT_BATCH_ROWS, NUMBER_BATCH_ROWS = 2_000, 20_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,10 @@ def map_arrow(
 
 def text_list(column: pa.Array) -> list[str]:
     """The texts of a batch; a null text is empty."""
-    return [x or "" for x in column.to_pylist()]
+    return [x or "" for x in column.to_numpy(zero_copy_only=False).tolist()]
 
 
-def slices(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts with about so many characters, one text at least."""
     begin, total = 0, 0
     for i, text in enumerate(texts):
@@ -69,6 +69,21 @@ def slices(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_chars: int) -> Iterator[tuple[list, list[str]]]:
+    """The first two columns, doc_id and text, of batches put together up to about so many characters."""
+    ids, texts, total = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        own = text_list(batch.column(1))
+        texts += own
+        total += sum(map(len, own))
+        if total >= most_chars:
+            yield ids, texts
+            ids, texts, total = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each range, one range after the other."""
     ends = np.cumsum(lengths)
