@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftlake.llm.bpe import encode_documents
 from siftlake.llm.common import read_table, tokenizer_path
 from siftlake.llm.line_dedup import line_digest
 from siftlake.llm.packing import pack_documents
 from siftlake.llm.simhash import near_duplicates
+from siftlake.llm.substring_dedup import repeat_digest
 from siftlake.llm.token_files import token_file_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(_documents(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(_documents(spark, sf_dir))
 
@@ -39,6 +49,8 @@ def queries() -> dict[str, Query]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_files": op4_token_files,
+        "op5_trie_bpe": op5_trie_bpe,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
     }
