@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm.bpe import encode_documents
 from siftlake.llm.common import read_table, tokenizer_path
+from siftlake.llm.langid import identify
 from siftlake.llm.line_dedup import line_digest
 from siftlake.llm.packing import pack_documents
 from siftlake.llm.simhash import near_duplicates
 from siftlake.llm.substring_dedup import repeat_digest
 from siftlake.llm.token_files import token_file_digest
+from siftlake.llm.topk import top_products, whole_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +35,10 @@ def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_kd_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(whole_vectors(read_table(spark, sf_dir, "embeddings")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(_documents(spark, sf_dir))
 
@@ -45,14 +51,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_files": op4_token_files,
         "op5_trie_bpe": op5_trie_bpe,
+        "op6_kd_tree_topk": op6_kd_tree_topk,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
+        "op10_language_id": op10_language_id,
     }
 
 
