@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm.bpe import encode_documents
 from siftlake.llm.common import read_table, tokenizer_path
 from siftlake.llm.langid import identify
 from siftlake.llm.line_dedup import line_digest
+from siftlake.llm.license_scan import oracle_sql as license_sql
+from siftlake.llm.license_scan import scan_licenses
 from siftlake.llm.packing import pack_documents
+from siftlake.llm.quality_rules import ORACLE_SQL as QUALITY_SQL
+from siftlake.llm.quality_rules import judge
 from siftlake.llm.simhash import near_duplicates
 from siftlake.llm.substring_dedup import repeat_digest
 from siftlake.llm.token_files import token_file_digest
@@ -23,6 +28,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_documents(spark, sf_dir))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
@@ -57,6 +70,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_license_scan": op2_license_scan,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_files": op4_token_files,
         "op5_trie_bpe": op5_trie_bpe,
@@ -65,8 +80,10 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
         "op10_language_id": op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    known = {"op1_quality_rules": QUALITY_SQL, "op2_license_scan": license_sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in known.items() if sql}

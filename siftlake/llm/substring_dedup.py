@@ -40,7 +40,7 @@ NO_ID = -(1 << 63)
 
 ASKED = "bucket int, shard long, hashes binary, docs binary"
 SHARD_ROWS = "shard long, hashes binary"
-CUT = "doc_id long, text string, n_words long, n_removed long, kept_text string, kept_sha256 string"
+_CUT = (("doc_id", "long"), ("kept_text", "string"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"))
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -154,11 +154,11 @@ def _located(hashes: np.ndarray, counts: np.ndarray, confirmed: np.ndarray, wind
     return np.cumsum(marks)[:total] > 0
 
 
-def _in_order(docs: pa.Table) -> tuple[list, list[str | None]]:
-    """doc_id and text of a shard's rows by doc_id, then text; nulls first."""
-    rows = list(zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True))
-    rows.sort(key=lambda r: (NO_ID if r[0] is None else r[0], r[1] or ""))
-    return [r[0] for r in rows], [r[1] for r in rows]
+def _in_order(docs: pa.Table) -> tuple[list[int], list, list[str | None]]:
+    """The order of a shard's rows by doc_id, then text, nulls first; and doc_id and text in that order."""
+    ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], texts[i] or ""))
+    return order, [ids[i] for i in order], [texts[i] for i in order]
 
 
 def _replies(table: pa.Table) -> np.ndarray:
@@ -167,8 +167,8 @@ def _replies(table: pa.Table) -> np.ndarray:
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """One row per row of docs: doc_id, text, n_words, n_removed, the text without the words taken out, and the SHA-256
-    of the words that stay, joined by blanks.
+    """One row per row of docs: doc_id, kept_text without the words taken out, n_words, n_removed, kept_sha256 of the
+    words that stay, joined by blanks, and rest, a struct of the other columns.
 
     kept_text is the text itself where nothing goes; else each run of words that goes is cut out from its first byte to
     the next word that stays. A null or short text has no window and stays as it is. Rows with the same doc_id come in
@@ -177,7 +177,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
     """
     spark = docs.sparkSession
     text_batches(spark)
-    docs = docs.select("doc_id", "text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("int")).alias("rest"))
     shards = max(1, docs.count() // SHARD_DOCS)
     buckets = max(64, shuffle_width(spark))
     shard = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards))
@@ -208,7 +209,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
             yield from rows()
 
     def find(key, own: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, texts = _in_order(own)
+        _, ids, texts = _in_order(own)
         hashes, _, _, counts = hash_words([(x or "").encode() for x in texts])
         marked = _located(hashes, counts, _replies(replies), window, phrase)
         windows = runs_of(hashes, window)
@@ -219,7 +220,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
         return pa.Table.from_pylist(rows, _ASKED_ARROW)
 
     def cut(key, own: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, texts = _in_order(own)
+        order, ids, texts = _in_order(own)
         raw = [(x or "").encode() for x in texts]
         hashes, starts, ends, counts = hash_words(raw)
         windows = runs_of(hashes, window)
@@ -235,23 +236,20 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
         for doc_id, text, data, count in zip(ids, texts, raw, counts.tolist(), strict=True):
             rows.append(_cut_one(doc_id, text, data, starts[begin : begin + count], ends[begin : begin + count], gone[begin : begin + count]))
             begin += count
-        return pa.Table.from_pylist(rows, _CUT_ARROW)
+        return pa.Table.from_pylist(rows, _CUT_ARROW).append_column("rest", own.column("rest").take(pa.array(order, pa.int64())))
 
     def asked_of(rows: DataFrame, answer) -> DataFrame:
         return rows.groupBy("bucket").applyInArrow(answer, SHARD_ROWS)
 
     asked = dealt.select("text", "shard").mapInArrow(ask, ASKED)
     confirmed = asked_of(asked, _confirm)
-    by_shard = dealt.groupBy("shard")
-    found = by_shard.cogroup(confirmed.groupBy("shard")).applyInArrow(find, ASKED)
+    found = dealt.drop("rest").groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(find, ASKED)
     repeats = materialise(asked_of(found, _earlier), "repeated-windows")
-    return by_shard.cogroup(repeats.groupBy("shard")).applyInArrow(cut, CUT)
+    schema = ", ".join(f"{name} {kind}" for name, kind in _CUT) + f", rest {docs.schema['rest'].dataType.simpleString()}"
+    return dealt.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(cut, schema)
 
 
-_CUT_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())]
-    + [("kept_text", pa.string()), ("kept_sha256", pa.string())]
-)
+_CUT_ARROW = pa.schema([(name, pa.int64() if kind == "long" else pa.string()) for name, kind in _CUT])
 
 
 def _cut_one(doc_id, text, data: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> dict:
@@ -266,10 +264,9 @@ def _cut_one(doc_id, text, data: bytes, starts: np.ndarray, ends: np.ndarray, go
         kept = b"".join([*parts, data[at:]]).decode()
     return {
         "doc_id": doc_id,
-        "text": text,
+        "kept_text": kept,
         "n_words": len(gone),
         "n_removed": int(gone.sum()),
-        "kept_text": kept,
         "kept_sha256": sha256(b" ".join(words)).hexdigest(),
     }
 
