@@ -166,7 +166,10 @@ def mask(bits: tuple[int, ...] | list[int]) -> int:
 
 
 def links_of_run(fp: np.ndarray, first: np.ndarray, exact: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    """Links within runs of rows; first marks the first row of a run, exact the rows that are no variants."""
+    """Links within runs of rows; first marks the first row of a run, exact the rows that are no variants.
+
+    Fingerprints are unsigned: numpy counts the bits of a signed number's absolute value.
+    """
     run = np.cumsum(first) - 1
     sizes = np.bincount(run)
     found = []
@@ -199,6 +202,7 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 3, block: int = 512) ->
 
     Every linked pair of different fingerprints is compared; in crowded runs some pairs are only implied by a path.
     """
+    text_batches(nodes.sparkSession, NUMBER_BATCH_ROWS)
     choices = []
     for part, (bits, t) in enumerate(allocate(nodes, max_bits)):
         flips = [()] + [c for k in range(1, t + 1) for c in combinations(bits, k)]
@@ -221,8 +225,9 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 3, block: int = 512) ->
         def links(columns: list[np.ndarray]) -> pa.RecordBatch:
             run, fp, exact = columns
             first = np.append(True, run[1:] != run[:-1])
-            a, b = np.concatenate(links_of_run(fp, first, exact, max_bits) or [np.zeros((2, 0), np.int64)], axis=1)
-            ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            found = links_of_run(fp.view(np.uint64), first, exact, max_bits)
+            a, b = np.concatenate(found or [np.zeros((2, 0), np.uint64)], axis=1)
+            ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
 
         for batch in batches:
