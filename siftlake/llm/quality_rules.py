@@ -205,7 +205,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge keeps; a row is named by doc_id and the hash of its text, lang and source."""
-    named = docs.withColumn("_row", F.xxhash64("doc_id", "text", "lang", "source"))
-    stats = materialise(text_statistics(named.select(F.col("_row").alias("doc_id"), "text", "lang", "source")), "text-statistics")
-    kept = _verdict(stats).where("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return named.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"))
+    parts = [F.col("_doc").getField(c) for c in ("doc_id", "text", "lang", "source")]
+    named = rows.withColumn("_row", F.xxhash64(*parts))
+    judged = named.select(F.col("_row").alias("doc_id"), "_doc.text", "_doc.lang", "_doc.source")
+    kept = _verdict(materialise(text_statistics(judged), "text-statistics")).where("kept")
+    return named.join(kept.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_semi").select("_doc.*")
