@@ -57,44 +57,44 @@ def correlate_ordered(
 
 
 def cidr_table(cidrs: DataFrame, column: str = "cidr") -> DataFrame:
-    """CIDR text to (prefix_length, network) columns; text that does not parse is dropped by the filter."""
+    """CIDR text to (prefix_length, network) columns; the network is NULL for text that does not parse."""
     parts = F.split(F.col(column), "/")
     length = F.coalesce(parts[1].try_cast("int"), F.lit(32))
     parsed = cidrs.withColumn("prefix_length", length).withColumn("base", ipv4_to_long(parts[0]))
     shift = F.lit(32) - F.col("prefix_length")
     network = F.call_function("shiftleft", F.call_function("shiftright", F.col("base"), shift), shift)
-    return (
-        parsed.filter(F.col("base").isNotNull() & F.col("prefix_length").between(0, 32))
-        .withColumn("network", network)
-        .drop("base")
-    )
+    valid = F.col("base").isNotNull() & F.col("prefix_length").between(0, 32)
+    return parsed.withColumn("network", F.when(valid, network)).drop("base")
 
 
 def cidr_join(ips: DataFrame, cidrs: DataFrame, ip_num: str = "ip_num", column: str = "cidr") -> DataFrame:
     """Addresses and events per CIDR block, for any number of blocks, overlapping or not.
 
     Every address has exactly one network per prefix length, so membership is an equi-join on
-    (prefix_length, network). Only lengths in use are expanded, at most 33, after repeated addresses
-    have been counted; networks are counted before the join, so both sides hold unique keys.
+    (prefix_length, network), 33 networks at most, after repeated addresses have been counted; networks
+    are counted before the join, so both sides hold unique keys. A block that does not parse comes out with
+    the status ``unparsable`` and no counts.
     """
     blocks = cidr_table(cidrs.select(column).distinct(), column)
-    lengths = sorted(r[0] for r in blocks.select("prefix_length").distinct().collect())
-    if not lengths:
-        return blocks.select(column, F.lit(0).cast("bigint").alias("n_ips"), F.lit(0).cast("bigint").alias("n_events"))
     counted = ips.filter(F.col(ip_num).isNotNull()).groupBy(ip_num).agg(F.count(F.lit(1)).alias("n"))
     keys = F.array(
         *[
             F.struct(F.lit(n).alias("prefix_length"), prefix_network(F.col(ip_num), n).alias("network"))
-            for n in lengths
+            for n in range(33)
         ]
     )
+    in_use = blocks.filter(F.col("network").isNotNull()).select("prefix_length", "network").distinct()
     networks = (
         counted.select(F.inline(keys), "n")
+        .join(in_use, ["prefix_length", "network"], "left_semi")
         .groupBy("prefix_length", "network")
         .agg(F.count(F.lit(1)).alias("n_ips"), F.sum("n").alias("n_events"))
     )
     joined = blocks.join(networks, ["prefix_length", "network"], "left")
-    zero = F.lit(0).cast("bigint")
+    parsed, zero = F.col("network").isNotNull(), F.lit(0).cast("bigint")
     return joined.select(
-        column, F.coalesce("n_ips", zero).alias("n_ips"), F.coalesce("n_events", zero).alias("n_events")
+        column,
+        F.when(parsed, "ok").otherwise("unparsable").alias("status"),
+        F.when(parsed, F.coalesce("n_ips", zero)).alias("n_ips"),
+        F.when(parsed, F.coalesce("n_events", zero)).alias("n_events"),
     )

@@ -282,13 +282,21 @@ def measured_overlay(design: DataFrame, measured: DataFrame, validated_at: str |
     """Design-time status next to the measured verdict, with a reconciliation label.
 
     A technique without a usable verdict, or any technique of a stale import, is not_measured. The
-    design-time trust is carried through as it is.
+    design-time trust is carried through as it is, and so are further columns of the measured table. Of several
+    verdicts for one technique the worst counts: missed before noisy before detected, then the least precise.
+    Technique ids are compared trimmed and in upper case.
     """
     stale = import_stale(validated_at, now)
     known = F.col("state").isin("DETECTED", "MISSED", "NOISY")
     usable = known & ~stale
-    verdicts = measured.select(F.col("att_ck").alias("technique"), "state", "precision", "matches")
-    joined = design.join(verdicts, "technique", "left").withColumn("usable", F.coalesce(usable, F.lit(False)))
+    others = [c for c in measured.columns if c not in ("att_ck", "technique", "state", "precision", "matches", *design.columns)]
+    place = F.when(F.col("state") == "MISSED", 0).when(F.col("state") == "NOISY", 1).when(F.col("state") == "DETECTED", 2)
+    row = F.struct("state", "precision", "matches", *others)
+    worst = F.min_by(row, F.struct(F.coalesce(place, F.lit(3)), "precision", "matches"))
+    key = F.upper(F.trim("att_ck"))
+    verdicts = measured.groupBy(key.alias("verdict_key")).agg(worst.alias("verdict")).select("verdict_key", "verdict.*")
+    same = F.upper(F.trim(design["technique"])) == verdicts["verdict_key"]
+    joined = design.join(verdicts, same, "left").withColumn("usable", F.coalesce(usable, F.lit(False)))
     label = (
         F.when(~F.col("usable"), "not_measured")
         .when(F.col("state") == "DETECTED", "confirmed_fired")
@@ -304,6 +312,7 @@ def measured_overlay(design: DataFrame, measured: DataFrame, validated_at: str |
         F.when(F.col("usable"), F.col("matches")).alias("matches"),
         "weakest_trust",
         stale.alias("import_stale"),
+        *others,
     )
 
 

@@ -18,7 +18,6 @@ from siftlake.operators.predicates import conjunction, key_allow_list
 from siftlake.session import fixed_table
 
 TOP_N = 10
-MAX_KEYS = 2
 
 
 @dataclass(frozen=True)
@@ -27,6 +26,11 @@ class Measure:
     agg: str
     field: str | None = None
 
+    @property
+    def slot(self) -> str:
+        """The column that carries this measure's input, and then its value, when all hunts run in one pass."""
+        return f"{self.agg}({self.field})" if self.field else self.agg
+
     def column(self) -> Column:
         if self.agg == "count":
             return F.count(F.lit(1)).alias(self.name)
@@ -49,11 +53,6 @@ class DetectionSpec:
 
     def __post_init__(self) -> None:
         key_allow_list(self.group, f"detection {self.id}")
-        if len(self.group) > MAX_KEYS:
-            raise ValueError(f"detection {self.id} has more than {MAX_KEYS} keys")
-        for agg in ("sum", "avg", "distinct"):
-            if len({m.field for m in self.measures if m.agg == agg}) > 1:
-                raise ValueError(f"detection {self.id} uses {agg} on more than one field")
 
     @property
     def class_uid(self) -> int | None:
@@ -168,25 +167,26 @@ def split_runnable(df: DataFrame, specs: Iterable[DetectionSpec]) -> tuple[list[
     return runnable, [s.id for s in specs if s not in runnable]
 
 
-def _slot(spec: DetectionSpec, agg: str, data_type: str) -> Column:
-    field = next((m.field for m in spec.measures if m.agg == agg), None)
-    return (F.col(field) if field else F.lit(None)).cast(data_type)
+def _key_count(specs: Sequence[DetectionSpec]) -> int:
+    return max(len(s.group) for s in specs)
+
+
+def _slots(specs: Sequence[DetectionSpec]) -> list[Measure]:
+    """One measure for each aggregate of a field that any hunt asks for."""
+    return list({m.slot: m for s in specs for m in s.measures if m.field}.values())
 
 
 def _tagged(df: DataFrame, specs: Sequence[DetectionSpec]) -> DataFrame:
-    """One row per (event, satisfied spec), carrying keys and measure inputs only."""
+    """One row per (event, satisfied spec), carrying keys and measure inputs only, the inputs in their own types."""
     tags = []
     for spec in specs:
-        keys = [F.col(g).cast("string") for g in spec.group] + [F.lit(None).cast("string")] * (
-            MAX_KEYS - len(spec.group)
-        )
-        tag = F.struct(
-            F.lit(spec.id).alias("detection_id"),
-            *[k.alias(f"key_{i}") for i, k in enumerate(keys)],
-            _slot(spec, "sum", "bigint").alias("to_sum"),
-            _slot(spec, "avg", "bigint").alias("to_avg"),
-            _slot(spec, "distinct", "string").alias("to_count"),
-        )
+        keys = [F.col(g).cast("string") for g in spec.group]
+        keys += [F.lit(None).cast("string")] * (_key_count(specs) - len(spec.group))
+        used = {m.slot for m in spec.measures}
+        inputs = [
+            F.when(F.lit(m.slot in used), F.col(str(m.field))).alias(f"in_{i}") for i, m in enumerate(_slots(specs))
+        ]
+        tag = F.struct(F.lit(spec.id).alias("detection_id"), *[k.alias(f"key_{i}") for i, k in enumerate(keys)], *inputs)
         tags.append(F.when(conjunction(spec.where), tag))
     fields = sorted(set().union(*[s.required_fields() for s in specs]))
     wanted = df.select(*fields)
@@ -198,18 +198,17 @@ def _tagged(df: DataFrame, specs: Sequence[DetectionSpec]) -> DataFrame:
 
 
 def _grouped(df: DataFrame, specs: Sequence[DetectionSpec]) -> DataFrame:
-    grouped = _tagged(df, specs).groupBy("detection_id", *[f"key_{i}" for i in range(MAX_KEYS)])
-    return grouped.agg(
-        F.count(F.lit(1)).alias("m_count"),
-        F.sum("to_sum").alias("m_sum"),
-        F.avg("to_avg").alias("m_avg"),
-        F.count_distinct("to_count").alias("m_distinct"),
-    )
+    grouped = _tagged(df, specs).groupBy("detection_id", *[f"key_{i}" for i in range(_key_count(specs))])
+    values = [Measure(f"m_{m.slot}", m.agg, f"in_{i}").column() for i, m in enumerate(_slots(specs))]
+    return grouped.agg(F.count(F.lit(1)).alias("m_count"), *values)
+
+
+def _value_name(spec: DetectionSpec, name: str) -> str:
+    return f"m_{next(m for m in spec.measures if m.name == name).slot}"
 
 
 def _measure_value(spec: DetectionSpec, name: str) -> Column:
-    measure = next(m for m in spec.measures if m.name == name)
-    return F.col(f"m_{measure.agg}").cast("double")
+    return F.col(f"`{_value_name(spec, name)}`").cast("double")
 
 
 def _over_threshold(grouped: DataFrame, specs: Sequence[DetectionSpec]) -> DataFrame:
@@ -217,9 +216,7 @@ def _over_threshold(grouped: DataFrame, specs: Sequence[DetectionSpec]) -> DataF
     rank = F.lit(None).cast("double")
     for spec in specs:
         mine = F.col("detection_id") == F.lit(spec.id)
-        tests = [(m.name, m.agg) for m in spec.measures]
-        columns = {name: f"m_{agg}" for name, agg in tests}
-        keep = keep | (mine & conjunction([(columns[n], op, v) for n, op, v in spec.having]))
+        keep = keep | (mine & conjunction([(f"`{_value_name(spec, n)}`", op, v) for n, op, v in spec.having]))
         rank = F.when(mine, _measure_value(spec, spec.rank)).otherwise(rank)
     return grouped.filter(keep).withColumn("rank_value", rank)
 
@@ -231,7 +228,7 @@ def run_detections(df: DataFrame, specs: Sequence[DetectionSpec] = DETECTIONS, t
         return df.sparkSession.createDataFrame([], FINDING_SCHEMA)
     over = _over_threshold(_grouped(df, runnable), runnable)
     order = W.partitionBy("detection_id").orderBy(
-        F.desc("rank_value"), *[F.asc_nulls_first(f"key_{i}") for i in range(MAX_KEYS)]
+        F.desc("rank_value"), *[F.asc_nulls_first(f"key_{i}") for i in range(_key_count(runnable))]
     )
     # the rank filter becomes a per-task limit before the shuffle, so no task holds all findings of a hunt
     top = over.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)

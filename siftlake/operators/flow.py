@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake.functions.logic import status_rollup
@@ -90,14 +91,20 @@ COUNTERS = {
 PLUMBING = ("internal_metrics", "prometheus_exporter")
 
 
-def scrape_counters(lines: DataFrame, column: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+def scrape_counters(
+    lines: DataFrame, column: str = "value", by: tuple[str, ...] = (), at: str | None = None
+) -> DataFrame:
     """Throughput counters from captured metrics text; all NULL when no data metric was seen.
 
-    ``by`` names columns of the capture (a host, a scrape id) to count apart.
+    ``by`` names columns (a host) to count apart, ``at`` the column that orders the captures. The counters are
+    cumulative: of each series what it has grown by since its start counts, a fall being a restart from zero.
+    Without ``at`` the highest reading of a series counts.
     """
     line = F.col(column)
     parsed = lines.select(
         *by,
+        (F.col(at) if at else F.lit(0)).alias("captured"),
+        F.trim(F.substring_index(line, "}", 1)).alias("series"),
         F.regexp_extract(line, r"^([A-Za-z0-9_:]+)\{", 1).alias("name"),
         F.regexp_extract(line, r'[{,]component_kind="([^"]*)"', 1).alias("kind"),
         F.regexp_extract(line, r'[{,]component_type="([^"]*)"', 1).alias("type"),
@@ -107,6 +114,12 @@ def scrape_counters(lines: DataFrame, column: str = "value", by: tuple[str, ...]
     usable = parsed.filter(
         F.col("name").isin(names) & ~F.col("type").isin(*PLUMBING) & F.col("reading").isNotNull()
     )
+    if at:
+        before = F.lag("reading").over(W.partitionBy(*by, "series").orderBy("captured"))
+        step = F.col("reading") - F.when(F.col("reading") >= before, before).otherwise(0)
+        usable = usable.withColumn("reading", step)
+    folded = F.sum("reading") if at else F.max("reading")
+    usable = usable.groupBy(*by, "series", "name", "kind").agg(folded.alias("reading"))
     totals = []
     for label, (name, kind) in COUNTERS.items():
         mine = F.col("name") == name

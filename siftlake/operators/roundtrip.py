@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.logic import field_value_check
@@ -69,8 +69,9 @@ def roundtrip_validate(
     """One verdict row: unmeasured when nothing was produced, fail on any drop, duplicate or mismatch.
 
     Both sides go into one grouping by key and compared values: a record that is on both sides is done
-    with there, exactly. What is left of a key is compared field by field through value hashes, only
-    to count which fields differ. No join, and a repeated event is one row after the first grouping.
+    with there, exactly, and a repeated event is one row from then on. A field of an event differs if the
+    values expected of it and those produced are not the same; only events with a record on one side alone
+    are taken apart to find out, value by value.
     """
     alike = [f for f in fields if _kind(expected, f) == _kind(produced, f)]
     n_unlike = len(fields) - len(alike)
@@ -81,24 +82,22 @@ def roundtrip_validate(
 
     both = side(expected, 1, 0).unionAll(side(produced, 0, 1))
     records = both.groupBy(key, *alike).agg(F.sum("e").alias("e"), F.sum("p").alias("p"))
-    on_one_side = F.when(F.col("e") > 0, 1).otherwise(0) - F.when(F.col("p") > 0, 1).otherwise(0)
-    records = records.withColumn("w", on_one_side)
-
-    def balance(field: str) -> Column:
-        # zero when the field's values on both sides cancel; some spare bits let many values add up
-        value_hash = F.shiftright(F.xxhash64(F.coalesce(field, F.lit("∅"))), 11)
-        return F.try_sum(F.col("w") * value_hash)
-
-    events = records.groupBy(key).agg(
-        F.sum("e").alias("e"),
-        F.sum("p").alias("p"),
-        F.count_if(F.col("w") != 0).alias("n_odd"),
-        *[balance(f).alias(f"d_{f}") for f in alike],
-    )
+    on_one_side = (F.col("e") > 0) != (F.col("p") > 0)
+    events = records.groupBy(key).agg(F.sum("e").alias("e"), F.sum("p").alias("p"), F.count_if(on_one_side).alias("n_odd"))
+    odd = records.filter(on_one_side).select(F.col(key).alias("odd_key")).distinct()
+    parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in alike]
+    if parts:
+        apart = records.join(odd, F.col(key).eqNullSafe(F.col("odd_key")), "left_semi").select(
+            key, "e", "p", F.inline(F.array(*parts))
+        )
+        per_value = apart.groupBy(key, "field", "value").agg((F.max("e") > 0).alias("in_e"), (F.max("p") > 0).alias("in_p"))
+        per_field = per_value.groupBy(key, "field").agg(F.max((F.col("in_e") != F.col("in_p")).cast("int")).alias("differs"))
+        counted = per_field.groupBy(F.col(key).alias("odd_key")).agg(F.sum("differs").alias("n_alike_differ"))
+        events = events.join(counted, F.col(key).eqNullSafe(F.col("odd_key")), "left").drop("odd_key")
+    else:
+        events = events.withColumn("n_alike_differ", F.lit(0))
     found = (F.col("e") > 0) & (F.col("p") > 0)
-    n_differ = F.lit(n_unlike)
-    for f in alike:
-        n_differ = n_differ + F.when(F.coalesce(F.col(f"d_{f}") == 0, F.lit(False)), 0).otherwise(1)
+    n_differ = F.lit(n_unlike) + F.coalesce("n_alike_differ", F.lit(0))
     bad = found & ((F.col("n_odd") > 0) | F.lit(n_unlike > 0))
     zero = F.lit(0).cast("bigint")
     verdict = events.agg(

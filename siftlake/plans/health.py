@@ -323,3 +323,23 @@ def _exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     lines = t.read(spark, sf_dir, "lineitem").select("l_returnflag", cents.alias("cents"))
     return exact_quantiles(lines, ["l_returnflag"], "cents", [0.5, 0.99])
+
+
+_FAR = 10**15
+
+
+@query(
+    "exact_quantiles_outlier",
+    f"""
+SELECT l_returnflag, quantile_cont(v, 0.5) AS q0, quantile_cont(v, 0.99) AS q1, quantile_cont(v, 1.0) AS q2 FROM (
+  SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem
+  UNION ALL SELECT DISTINCT l_returnflag, {_FAR} FROM lineitem) GROUP BY 1""",
+)
+def _exact_quantiles_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value far above all others per group: the ranks of the rest must not end in one slice."""
+    from siftlake.operators.quantiles import exact_quantiles
+
+    lines = t.read(spark, sf_dir, "lineitem")
+    cents = lines.select("l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    far = lines.select("l_returnflag", F.lit(_FAR).cast("bigint").alias("cents")).distinct()
+    return exact_quantiles(cents.unionByName(far), ["l_returnflag"], "cents", [0.5, 0.99, 1.0])

@@ -115,12 +115,14 @@ def _cidrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT '172.' || (16 + p_partkey % 3) || '.' || ((p_partkey // 250) % 250) || '.' || (p_partkey % 250) AS base,
       [12, 16, 20, 24, 27, 30, 32][p_partkey % 7 + 1] AS len FROM part))),
 ips AS (SELECT ip, count(*) AS n FROM (SELECT {_IP_NUM.format(c="dst_ip")} AS ip FROM fl) GROUP BY ip)
-SELECT cidr, count(ip) AS n_ips, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_events
-FROM blocks LEFT JOIN ips ON ip // (1::BIGINT << (32 - len)) = net GROUP BY cidr"""),
+SELECT cidr, 'ok' AS status, count(ip) AS n_ips, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_events
+FROM blocks LEFT JOIN ips ON ip // (1::BIGINT << (32 - len)) = net GROUP BY cidr
+UNION ALL SELECT DISTINCT 'block ' || p_size || '/24', 'unparsable', NULL, NULL FROM part"""),
 )
 def _cidr_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ips = t.flows(spark, sf_dir).select(ipv4_to_long(F.col("dst_ip")).alias("ip_num"))
-    return co.cidr_join(ips, _cidrs(spark, sf_dir))
+    bad = t.read(spark, sf_dir, "part").select(F.concat(F.lit("block "), F.col("p_size").cast("string"), F.lit("/24")).alias("cidr"))
+    return co.cidr_join(ips, _cidrs(spark, sf_dir).unionByName(bad))
 
 
 @query("key_allow_list", sql("ev", "SELECT 'url,cmd_line' AS refused, count(DISTINCT src_ip) AS n_groups FROM ev"))
@@ -379,6 +381,54 @@ def _run_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dt.run_detections(t.ocsf(spark, sf_dir))
 
 
+_PRICE_HUNT = dt.DetectionSpec(
+    "price_sums", "T0000", "Test",
+    where=(("class_uid", "=", 4001), ("discount", "<", 0.095)),
+    group=("src", "dst_port", "status_id"),
+    measures=(dt.Measure("flows", "count"), dt.Measure("price", "sum", "price"), dt.Measure("discount", "sum", "discount"),
+              dt.Measure("tax", "avg", "tax")),
+    having=(("price", ">=", 100_000), ("discount", "<", 1.25)),
+    rank="price",
+)
+
+
+@query(
+    "hunt_paths_on_doubles",
+    """
+WITH f AS (SELECT l_returnflag || ' → ' || l_suppkey || ' → ' || l_linenumber AS finding_key, count(*) AS flows,
+  sum(l_extendedprice) AS price, sum(l_discount) AS discount, avg(l_tax) AS tax FROM lineitem WHERE l_discount < 0.095e0
+  GROUP BY l_returnflag, l_suppkey, l_linenumber HAVING sum(l_extendedprice) >= 100000 AND sum(l_discount) < 1.25e0)
+SELECT path, finding_key, flows, CAST(round(price) AS BIGINT) AS price, CAST(round(discount * 1000) AS BIGINT) AS discount,
+  CAST(round(tax * 100000) AS BIGINT) AS tax FROM f, (SELECT unnest(['single', 'one pass']) AS path)""",
+)
+def _hunt_paths_on_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three keys and two sums over columns of doubles, through the single hunt and through the one-pass run."""
+    lines = t.read(spark, sf_dir, "lineitem").select(
+        F.lit(4001).alias("class_uid"), F.col("l_returnflag").alias("src"), F.col("l_suppkey").alias("dst_port"),
+        F.col("l_linenumber").alias("status_id"), F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
+    )
+    names = [m.name for m in _PRICE_HUNT.measures]
+    one = dt.findings(lines, _PRICE_HUNT)
+    key = F.concat_ws(dt.KEY_ARROW, *[F.col(g).cast("string") for g in _PRICE_HUNT.group])
+    one = one.select(F.lit("single").alias("path"), key.alias("finding_key"), *[F.col(n).cast("double") for n in names])
+    every = dt.run_detections(lines, [_PRICE_HUNT], top_n=1 << 30)
+    every = every.groupBy(F.lit("one pass").alias("path"), "finding_key").pivot("measure", names).agg(F.first("value"))
+    scale = {"flows": 1, "price": 1, "discount": 1000, "tax": 100_000}
+    whole = [F.round(F.col(n) * k).cast("bigint").alias(n) for n, k in scale.items()]
+    return one.unionByName(every).select("path", "finding_key", *whole)
+
+
+@query(
+    "finding_counts",
+    _hunts_sql("""
+SELECT id AS detection_id, count(*) AS n_findings FROM f GROUP BY id"""),
+)
+def _finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each hunt without the cap of the top list."""
+    return dt.finding_counts(t.ocsf(spark, sf_dir))
+
+
 @query(
     "detection_verdicts",
     _hunts_sql("""

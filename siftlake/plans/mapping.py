@@ -423,15 +423,17 @@ def _flow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scrape_counters",
     """
-WITH r AS (SELECT event_type AS host, event_id, CAST(floor(value) AS BIGINT) AS v FROM events)
+WITH r AS (SELECT event_type AS host, event_id, event_id % 6 AS series, CAST(floor(value) AS BIGINT) AS v FROM events),
+g AS (SELECT host, series, v - CASE WHEN v >= lag(v) OVER w THEN lag(v) OVER w ELSE 0 END AS step FROM r
+  WINDOW w AS (PARTITION BY host, series ORDER BY event_id))
 SELECT host,
-  CAST(sum(CASE WHEN event_id % 6 = 0 THEN v ELSE 0 END) AS BIGINT) AS events_in,
-  CAST(sum(CASE WHEN event_id % 6 = 2 THEN v ELSE 0 END) AS BIGINT) AS events_out,
-  CAST(sum(CASE WHEN event_id % 6 = 4 THEN v ELSE 0 END) AS BIGINT) AS errors
-FROM r WHERE event_id % 6 IN (0, 1, 2, 4) GROUP BY host""",
+  CAST(sum(CASE WHEN series = 0 THEN step ELSE 0 END) AS BIGINT) AS events_in,
+  CAST(sum(CASE WHEN series = 2 THEN step ELSE 0 END) AS BIGINT) AS events_out,
+  CAST(sum(CASE WHEN series = 4 THEN step ELSE 0 END) AS BIGINT) AS errors
+FROM g WHERE series IN (0, 1, 2, 4) GROUP BY host""",
 )
 def _scrape_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics pages captured from many hosts, with plumbing, comments and unrelated series."""
+    """Metrics pages captured again and again from many hosts, with restarts, plumbing, comments and other series."""
     n, v = F.col("event_id"), F.floor("value").cast("string")
 
     def series(name: str, kind: str, component: str) -> Column:
@@ -446,8 +448,8 @@ def _scrape_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 6 == 4, series("vector_component_errors_total", "transform", "remap"))
         .otherwise(F.concat(F.lit("# HELP vector_uptime_seconds "), v))
     )
-    lines = t.read(spark, sf_dir, "events").select(F.col("event_type").alias("host"), line.alias("value"))
-    return fw.scrape_counters(lines, by=("host",))
+    lines = t.read(spark, sf_dir, "events").select(F.col("event_type").alias("host"), "event_id", line.alias("value"))
+    return fw.scrape_counters(lines, by=("host",), at="event_id")
 
 
 # -- mapping lint

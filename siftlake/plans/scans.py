@@ -51,6 +51,24 @@ def _read_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "read_ndjson_junk",
+    sql("ev", """
+SELECT coalesce(status, '<none>') AS outcome, count(*) AS n FROM ev WHERE event_id % 7 <> 0 GROUP BY 1
+UNION ALL SELECT CASE WHEN event_id % 2 = 0 THEN 'not a JSON object' ELSE 'broken, or a value does not fit the schema' END,
+  count(*) FROM ev WHERE event_id % 7 = 0 GROUP BY 1"""),
+)
+def _read_ndjson_junk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh line is cut short or replaced by junk: none of them may become a login."""
+    path = scratch_path(spark, "okta-junk")
+    junk = F.when(F.col("event_key") % 2 == 0, F.lit("junk")).otherwise(F.substring("value", 1, 25))
+    lines = t.okta_raw(spark, sf_dir).select(F.when(F.col("event_key") % 7 == 0, junk).otherwise(F.col("value")).alias("value"))
+    lines.write.text(path)
+    records, bad = rd.read_ndjson_checked(spark, path, OKTA_SCHEMA)
+    outcome = normalize_okta(records).select(F.coalesce("status", F.lit("<none>")).alias("outcome"))
+    return outcome.unionAll(bad.select("reason")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "read_ndjson_tolerant",
     sql("ev", """
@@ -77,13 +95,8 @@ SELECT conn_state, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS orig_bytes,
   min(time) AS first_ms FROM zk GROUP BY conn_state"""),
 )
 def _read_zeek_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "conn-log")
-    raw = t.zeek_raw(spark, sf_dir)
-    rows = raw.select(F.concat_ws("\t", *[F.col(f"`{c}`") for c in t.ZEEK_COLUMNS]).alias("value"))
-    head = "\n".join(["#separator \\x09", "#path\tconn", "\t".join(("#fields", *t.ZEEK_COLUMNS))])
-    spark.range(1).select(F.explode(F.split(F.lit(head), "\n")).alias("value")).coalesce(1).write.text(f"{path}/head")
-    rows.write.text(f"{path}/rows")
-    log = rd.read_zeek_tsv(spark, f"{path}/*")
+    """Two files of one log; the second one, after a rotation, has its columns the other way round."""
+    log = rd.read_zeek_tsv(spark, f"{_rotated_log(spark, sf_dir)}/*")
     return log.groupBy("conn_state").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("orig_bytes").alias("orig_bytes"),
@@ -92,6 +105,19 @@ def _read_zeek_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rotated_log(spark: SparkSession, sf_dir: str) -> str:
+    """Log files whose rows follow a header line, as one sorted file for each order of the columns."""
+    path, raw = scratch_path(spark, "conn-log"), t.zeek_raw(spark, sf_dir).withColumn("half", F.hash("uid") % 2 == 0)
+    for label, half, names in (("a", F.col("half"), t.ZEEK_COLUMNS), ("b", ~F.col("half"), t.ZEEK_COLUMNS[::-1])):
+        head = "\n".join(["#separator \\x09", "#path\tconn", "\t".join(("#fields", *names))])
+        lines = spark.range(1).select(F.posexplode(F.split(F.lit(head), "\n")).alias("n", "value"))
+        rows = raw.filter(half).select(F.lit(9).alias("n"), F.concat_ws("\t", *[F.col(f"`{c}`") for c in names]).alias("value"))
+        # a log file is one task's by its nature: its header comes first
+        one = lines.unionByName(rows).coalesce(1).sortWithinPartitions("n")
+        one.select("value").write.text(f"{path}/{label}")
+    return path
+
+
 @query("read_mapping_csv", sql("mp", "SELECT source_field, ocsf_path, count(*) AS n FROM mp GROUP BY 1, 2"))
 def _read_mapping_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "mapping-csv")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake.plans import tables as t
 from siftlake.plans.catalog import query
 from siftlake.plans.mapping import drift_sql
 from siftlake.plans.tables import sql
-from siftlake.session import scratch_path
+from siftlake.session import materialise, scratch_path
 from siftlake.sources import sinks as sk
 from siftlake.streaming import streams as st
 
@@ -63,6 +64,32 @@ def _stream_minute_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.read_minute_volume(spark, path)
 
 
+@query(
+    "stream_late_rows",
+    """
+WITH e AS (SELECT epoch_us(ts) AS us, event_type AS source, event_id FROM events),
+b AS (SELECT *, row_number() OVER (ORDER BY us, event_id) % 4 = 0 AS held FROM e),
+newest AS (SELECT max(us) // 1000 AS ms FROM b WHERE NOT held)
+SELECT source, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS n_late FROM (
+  SELECT source, held AND (us // 60000000 + 1) * 60000 <= ms - 300000 AS late FROM b, newest) GROUP BY source""",
+)
+def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the events arrives in a second file, most of them long after their minute has closed."""
+    rows = t.read(spark, sf_dir, "events").select(t.utc().alias("ts"), F.col("event_type").alias("source"), "event_id")
+    place = F.row_number().over(W.orderBy("ts", "event_id"))
+    marked = materialise(rows.withColumn("held", place % 4 == 0), "late-marked")
+    path, feed = scratch_path(spark, "late-volume"), scratch_path(spark, "late-source")
+    for held in (False, True):
+        part = marked.filter(F.col("held") == held).select("ts", "source").coalesce(1)
+        part.write.mode("append" if held else "errorifexists").parquet(feed)
+    stream = spark.readStream.schema("ts timestamp, source string").option("maxFilesPerTrigger", 1).parquet(feed)
+    st.stream_minute_volume(stream, path, scratch_path(spark, "stream-checkpoint")).awaitTermination()
+    counted = st.read_minute_volume(spark, path).groupBy("source").agg(F.sum("n").alias("n"))
+    joined = counted.join(st.read_late_rows(spark, path, ["source"]), "source", "full_outer")
+    zero = F.lit(0).cast("bigint")
+    return joined.select("source", F.coalesce("n", zero).alias("n"), F.coalesce("n_late", zero).alias("n_late"))
+
+
 @query("stream_dedup", "SELECT event_type AS source, count(*) AS n FROM events GROUP BY 1")
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A retry storm: every third event arrives three times."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +35,37 @@ ZEEK_CONN_TYPES = {
 }
 
 
-def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """One JSON object per line with a declared schema; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+BAD_LINE = "_bad_line"
+
+
+def read_ndjson_checked(
+    spark: SparkSession, path: str, schema: T.StructType | str
+) -> tuple[DataFrame, DataFrame]:
+    """``(records, quarantine)``: objects that fit the schema, and every other line with the reason.
+
+    Blank lines are skipped. A line that is broken, or holds a value of another type than declared, is
+    never a record, not even one of NULLs.
+    """
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    checked = T.StructType([*wanted.fields, T.StructField(BAD_LINE, T.StringType())])
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    parsed = lines.select("value", F.from_json("value", checked, {"columnNameOfCorruptRecord": BAD_LINE}).alias("event"))
+    is_object = F.trim("value").startswith("{")
+    good = is_object & F.col("event").isNotNull() & F.col(f"event.{BAD_LINE}").isNull()
+    records = parsed.filter(good).select([F.col("event").getField(f.name).alias(f.name) for f in wanted.fields])
+    reason = F.when(is_object, "broken, or a value does not fit the schema").otherwise("not a JSON object")
+    return records, parsed.filter(~good).select(F.col("value").alias("line"), reason.alias("reason"))
+
+
+def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
+    """The records of ``read_ndjson_checked``; with ``strict`` the first bad line fails the job instead."""
+    records, bad = read_ndjson_checked(spark, path, schema)
+    if not strict:
+        return records
+    refuse = F.raise_error(F.concat(F.lit("bad line: "), F.substring("line", 1, 200)))
+    nothing = bad.select(refuse.alias("refused")).filter(F.col("refused").isNotNull())
+    names = records.columns
+    return records.unionByName(nothing.select([F.lit(None).cast(records.schema[n].dataType).alias(n) for n in names]))
 
 
 def parse_tolerant(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -77,14 +107,45 @@ def zeek_header(spark: SparkSession, path: str, check_all: bool = False) -> list
     return found[0]["value"].split("\t")[1:]
 
 
-def read_zeek_tsv(
-    spark: SparkSession, path: str, types: dict[str, str] | None = None, check_all: bool = False
-) -> DataFrame:
-    """Tab-separated log with ``#`` metadata lines; ``-`` is NULL. Names keep their dots."""
+def zeek_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The ``#fields`` names of every file under ``path``; a file must have exactly one such line.
+
+    What is collected is one line per file, and a driver that lists files holds their names anyway.
+    """
+    text = spark.read.text(path)
+    lines = text.filter(F.col("value").startswith("#fields")).select("_metadata.file_path", "value").distinct()
+    found: dict[str, list[str]] = {}
+    for file, value in lines.collect():
+        if unquote(file) in found:
+            raise ValueError(f"{file} carries different #fields lines")
+        found[unquote(file)] = value.split("\t")[1:]
+    without = [f for f in map(unquote, text.inputFiles()) if _bare(f) not in set(map(_bare, found))]
+    if without or not found:
+        raise ValueError(f"no #fields line in {without[0] if without else path}")
+    return found
+
+
+def _bare(uri: str) -> str:
+    """A file's address in one spelling: file:/x and file:///x are the same."""
+    scheme, _, rest = uri.partition(":")
+    return f"{scheme}:/{rest.lstrip('/')}"
+
+
+def read_zeek_tsv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+    """Tab-separated log with ``#`` metadata lines; ``-`` is NULL. Names keep their dots.
+
+    Each file is read by its own header, in one scan per different header, so a rotated log whose columns
+    come in another order keeps its values in their columns. Columns that a file lacks are NULL.
+    """
     types = types or ZEEK_CONN_TYPES
-    names = zeek_header(spark, path, check_all)
-    schema = T.StructType([T.StructField(n, T.DataType.fromDDL(types.get(n, "string"))) for n in names])
-    return spark.read.csv(path, sep="\t", comment="#", schema=schema, nullValue="-", quote="")
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file, names in sorted(zeek_headers(spark, path).items()):
+        by_header.setdefault(tuple(names), []).append(file)
+    parts = []
+    for names, files in by_header.items():
+        schema = T.StructType([T.StructField(n, T.DataType.fromDDL(types.get(n, "string"))) for n in names])
+        parts.append(spark.read.csv(files, sep="\t", comment="#", schema=schema, nullValue="-", quote=""))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:

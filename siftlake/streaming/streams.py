@@ -2,7 +2,7 @@
 
 Every sink writes a folder per micro-batch and overwrites it as a whole on a retry, so a restarted
 query lands each batch once. Aggregating sinks keep one row per batch and key; the matching ``read_``
-function folds them, taking the newest row of a key.
+function adds them up.
 """
 
 from __future__ import annotations
@@ -45,42 +45,76 @@ def stream_normalize_land(
         good = F.col("event.published").isNotNull()
         # both sinks read the batch; the lines are fetched and parsed once
         batch.persist(StorageLevel.DISK_ONLY)
-        land_append_commit(
-            normalize_okta(batch.filter(good).select("event.*")),
-            table,
-            commit_id=batch_id,
-            committed_ms=committed_ms(batch_id),
-            parent_id=batch_id - 1 if batch_id > 0 else None,
-        )
-        bad = batch.filter(~F.coalesce(good, F.lit(False))).select("value")
-        bad.write.mode("overwrite").text(f"{table}/quarantine/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            land_append_commit(
+                normalize_okta(batch.filter(good).select("event.*")),
+                table,
+                commit_id=batch_id,
+                committed_ms=committed_ms(batch_id),
+                parent_id=batch_id - 1 if batch_id > 0 else None,
+            )
+            bad = batch.filter(~F.coalesce(good, F.lit(False))).select("value")
+            bad.write.mode("overwrite").text(f"{table}/quarantine/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return _run(parsed, checkpoint, "append", land)
 
 
+def _count_windows(
+    events: DataFrame, keys: Sequence[str], path: str, checkpoint: str, width: str, late: str
+) -> StreamingQuery:
+    """Partial counts per batch, window and key. Nothing is dropped: a row whose window had closed, by the newest
+    time of earlier batches less the allowed lateness, is counted as late instead."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = None
+        if batch_id > 0:
+            earlier = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+            newest = earlier.agg(F.max("newest_ms")).first()[0]
+        floor = F.timestamp_millis(F.lit(newest).cast("bigint")) - F.expr(f"INTERVAL {late}")
+        window = F.window("ts", width)
+        counted = batch.groupBy(window.alias("w"), *keys).agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.unix_millis("ts")).alias("newest_ms")
+        )
+        out = counted.select(
+            F.unix_millis("w.start").alias("window_ms"), *keys, "n", "newest_ms",
+            F.coalesce(F.col("w.end") <= floor, F.lit(False)).alias("late"),
+        )
+        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _run(events, checkpoint, "append", add)
+
+
+def read_late_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Rows that came after their window had closed, per key: they are in no window's count."""
+    return spark.read.parquet(path).filter("late").groupBy(*keys).agg(F.sum("n").alias("n_late"))
+
+
 def stream_minute_volume(
     events: DataFrame, path: str, checkpoint: str, width: str = "1 minute", late: str = "5 minutes"
 ) -> StreamingQuery:
-    """Events per source and minute, updated as they arrive. Needs ``ts`` (timestamp) and ``source``."""
-    counted = (
-        events.withWatermark("ts", late)
-        .groupBy(F.window("ts", width).alias("w"), "source")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.unix_millis("w.start").alias("minute_ms"), "source", "n")
-    )
-    return _run(counted, checkpoint, "update", _per_batch_folder(path))
+    """Events per source and minute, added up as they arrive. Needs ``ts`` (timestamp) and ``source``; rows
+    without a ``ts`` have no minute and are left out. ``read_late_rows`` reports what came too late."""
+    return _count_windows(events, ["source"], path, checkpoint, width, late)
 
 
 def read_minute_volume(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.groupBy("minute_ms", "source").agg(F.max_by("n", "batch_id").alias("n"))
+    rows = spark.read.parquet(path).filter("NOT late")
+    return rows.groupBy(F.col("window_ms").alias("minute_ms"), "source").agg(F.sum("n").alias("n"))
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that a finished query's stateful operators have refused as later than the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def stream_dedup(
     events: DataFrame, keys: Sequence[str], path: str, checkpoint: str, late: str = "5 minutes"
 ) -> StreamingQuery:
-    """First copy of each key that repeats within the watermark. Needs ``ts``."""
+    """First copy of each key that repeats within the watermark. Needs ``ts``. Whether a row later than the
+    watermark is a copy can't be told; ``dropped_late`` says how many there were."""
     unique = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
     return _run(unique, checkpoint, "append", _per_batch_folder(path))
 
@@ -90,19 +124,13 @@ def stream_failed_auth_burst(
 ) -> StreamingQuery:
     """Failed logins per source and window. The threshold is applied when the table is read."""
     failed = events.filter((F.col("class_uid") == 3002) & (F.col("status_id") == 2))
-    counted = (
-        failed.withWatermark("ts", late)
-        .groupBy(F.window("ts", width).alias("w"), "src_ip")
-        .agg(F.count(F.lit(1)).alias("fails"))
-        .select(F.unix_millis("w.start").alias("window_ms"), "src_ip", "fails")
-    )
-    return _run(counted, checkpoint, "update", _per_batch_folder(path))
+    return _count_windows(failed, ["src_ip"], path, checkpoint, width, late)
 
 
 def read_failed_auth_burst(spark: SparkSession, path: str, threshold: int = 5) -> DataFrame:
-    rows = spark.read.parquet(path)
-    newest = rows.groupBy("window_ms", "src_ip").agg(F.max_by("fails", "batch_id").alias("fails"))
-    return newest.filter(F.col("fails") >= threshold)
+    rows = spark.read.parquet(path).filter("NOT late")
+    found = rows.groupBy("window_ms", "src_ip").agg(F.sum("n").alias("fails"))
+    return found.filter(F.col("fails") >= threshold)
 
 
 def field_drift_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -16,6 +16,24 @@ from siftlake.sources import sinks as sk
 MIN = ql.MINUTE_US
 
 
+def test_an_outlier_does_not_widen_the_last_slice(make, monkeypatch):
+    """However far the largest value lies, a final slice spans 4096 integers at most."""
+    from siftlake.operators import quantiles
+
+    spans = []
+    plain = quantiles._in_range
+
+    def watched(counted, wanted, keys):
+        spans.append(wanted.agg(F.max(quantiles._span())).first()[0])
+        return plain(counted, wanted, keys)
+
+    monkeypatch.setattr(quantiles, "_in_range", watched)
+    values = [*range(0, 40_000, 2), 1_700_000_000_000_000, -(1 << 62), (1 << 62) + 5]
+    got = exact_quantiles(make("v bigint", [(v,) for v in values]), [], "v", [0.0, 0.5, 1.0]).first()
+    assert spans[-1] < 4096 and got["q1"] == float(np.median(np.array(values)))
+    assert (got["q0"], got["q2"]) == (float(min(values)), float(max(values)))
+
+
 def test_quantiles_equal_numpy(make):
     rnd = random.Random(1)
     rows = []

@@ -96,6 +96,36 @@ def test_one_pass_equals_the_single_hunts(planted):
     assert not got
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(12,3)", "bigint"])
+def test_one_pass_keeps_the_type_of_its_inputs(make, kind):
+    """Any number of keys, several sums, fractions and NULLs: both paths of a spec agree."""
+    spec = dt.DetectionSpec(
+        "w", "T0", "t", (("class_uid", "=", 4001),), ("src_ip", "dst_ip", "dst_port"),
+        (dt.Measure("out", "sum", "b_out"), dt.Measure("inn", "sum", "b_in"), dt.Measure("mean", "avg", "b_out"),
+         dt.Measure("users", "distinct", "user"), dt.Measure("ports", "distinct", "port"), dt.Measure("n", "count")),
+        (("out", ">=", 3),), "inn",
+    )
+    rows = [(4001, "a", "b", i % 2, None if i % 5 == 0 else f"{i % 7}.9", f"{i}.25", f"u{i % 3}", i) for i in range(60)]
+    df = make("class_uid int, src_ip string, dst_ip string, dst_port int, o string, i string, user string, port int", rows)
+    cast = "double" if kind == "bigint" else kind
+    df = df.withColumn("b_out", F.col("o").cast(cast).cast(kind)).withColumn("b_in", F.col("i").cast(cast).cast(kind))
+    other = dt.BY_ID["credential_stuffing"]
+    more = df.withColumn("status_id", F.lit(1)).withColumn("bytes_out", F.lit(0))
+    got = {(r["finding_key"], r["measure"]): r["value"] for r in dt.run_detections(more, [other, spec]).collect()}
+    want = {}
+    for row in dt.findings(df, spec).collect():
+        for m in spec.measures:
+            want[(f"a → b → {row['dst_port']}", m.name)] = float(row[m.name])
+    assert len(want) == 12 and got == pytest.approx(want)
+
+
+def test_fractions_make_a_finding(make):
+    rows = [(4001, "10.0.0.1", 0.9)] * 20_000
+    df = make("class_uid int, src_ip string, bytes_out double", rows)
+    found = dt.run_detections(df, [dt.BY_ID["exfil_egress"]]).filter("measure = 'total_bytes_out'").collect()
+    assert [round(r["value"]) for r in found] == [18_000]
+
+
 def test_sql_text_and_dataframe_agree(spark, planted):
     planted.createOrReplaceTempView("landed_events")
     for spec in dt.DETECTIONS:
@@ -287,7 +317,10 @@ def test_cidr_join_against_brute_force(make):
     blocks = ["10.0.0.0/8", "10.1.0.0/16", "10.1.2.0/24", "10.1.2.128/25", "10.2.3.4/32", "0.0.0.0/0", "11.0.0.0/8"]
     blocks += ["10.1.2.77/24", "bad/24", "10.0.0.0/40"]
     df = make("ip string", [(i,) for i in ips]).select(ipv4_to_long(F.col("ip")).alias("ip_num"))
-    got = {r["cidr"]: (r["n_ips"], r["n_events"]) for r in co.cidr_join(df, make("cidr string", [(b,) for b in blocks])).collect()}
+    rows = co.cidr_join(df, make("cidr string", [(b,) for b in blocks])).collect()
+    got = {r["cidr"]: (r["n_ips"], r["n_events"]) for r in rows if r["status"] == "ok"}
+    bad = {r["cidr"]: (r["status"], r["n_ips"], r["n_events"]) for r in rows if r["status"] != "ok"}
+    assert bad == {b: ("unparsable", None, None) for b in ("bad/24", "10.0.0.0/40")}
     want = {}
     for b in blocks[:8]:
         inside = [i for i in ips if ipaddress.ip_address(i) in ipaddress.ip_network(b, strict=False)]

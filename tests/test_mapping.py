@@ -96,15 +96,36 @@ def test_zeek_directions_states_and_protocols(zeek):
     )
 
 
-def test_zeek_headers_must_agree(spark, tmp_path):
-    (tmp_path / "a.log").write_text("#fields\tts\tuid\n1.0\tC\n")
-    (tmp_path / "b.log").write_text("#fields\tuid\tts\nC\t1.0\n")
+def test_zeek_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a b.log").write_text("#fields\tts\tuid\torig_bytes\tresp_bytes\n1.0\tC\t10\t99\n")
+    (tmp_path / "b.log").write_text("#fields\tuid\tts\tresp_bytes\torig_bytes\nD\t2.0\t98\t11\n")
+    (tmp_path / "c.log").write_text("#fields\tts\tuid\n3.0\tE\n")
+    rows = rd.read_zeek_tsv(spark, str(tmp_path)).select("ts", "uid", "orig_bytes", "resp_bytes").orderBy("ts").collect()
+    assert [tuple(r) for r in rows] == [(1.0, "C", 10, 99), (2.0, "D", 11, 98), (3.0, "E", None, None)]
+
+
+def test_zeek_file_needs_one_header(spark, tmp_path):
+    (tmp_path / "a.log").write_text("#fields\tts\tuid\n1.0\tC\n#fields\tuid\tts\nC\t1.0\n")
     with pytest.raises(ValueError, match="different"):
-        rd.zeek_header(spark, str(tmp_path), check_all=True)
+        rd.read_zeek_tsv(spark, str(tmp_path))
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.log").write_text("1.0\tC\n")
+    (tmp_path / "c" / "y.log").write_text("#fields\tts\tuid\n1.0\tC\n")
     with pytest.raises(ValueError, match="no #fields"):
-        rd.zeek_header(spark, str(tmp_path / "c"))
+        rd.read_zeek_tsv(spark, str(tmp_path / "c"))
+
+
+def test_broken_lines_are_no_logins(spark, tmp_path):
+    good = json.dumps({"published": "2026-03-01T00:00:01Z", "eventType": "user.session.start",
+                       "outcome": {"result": "SUCCESS"}, "actor": {"alternateId": "a"}, "client": {"ipAddress": "1.1.1.1"}})
+    (tmp_path / "x.log").write_text("\n".join([good, good[:30], "junk", "", "[1]", "7", '{"outcome": 5}']))
+    records, bad = rd.read_ndjson_checked(spark, str(tmp_path), nz.OKTA_SCHEMA)
+    assert [r["status_id"] for r in nz.normalize_okta(records).collect()] == [1]
+    reasons = sorted(r["reason"] for r in bad.collect())
+    assert reasons == ["broken, or a value does not fit the schema"] * 2 + ["not a JSON object"] * 3
+    assert rd.read_ndjson(spark, str(tmp_path), nz.OKTA_SCHEMA).count() == 1
+    with pytest.raises(Exception, match="bad line"):
+        rd.read_ndjson(spark, str(tmp_path), nz.OKTA_SCHEMA, strict=True).collect()
 
 
 def test_sysmon_roles(make):
@@ -328,6 +349,15 @@ def test_scrape_counters(make):
     assert none == [{"events_in": None, "events_out": None, "errors": None}]
 
 
+def test_scrape_counters_over_several_captures(make):
+    line = 'vector_component_received_events_total{component_id="raw",component_kind="source",component_type="file"} %d'
+    rows = [("h", 1, line % 100), ("h", 2, line % 150), ("h", 3, line % 20), ("g", 1, line % 7)]
+    lines = make("host string, at int, value string", rows)
+    got = {r["host"]: r["events_in"] for r in fw.scrape_counters(lines, by=("host",), at="at").collect()}
+    assert got == {"h": 170, "g": 7}
+    assert fw.scrape_counters(lines, by=("host",)).filter("host = 'h'").first()["events_in"] == 150
+
+
 # -- lint
 
 SOUND = [

@@ -58,6 +58,28 @@ def test_minute_volume_over_several_batches(spark, feed, tmp_path):
     assert got == {(0, "a"): 3, (0, "b"): 1, (60_000, "a"): 1}
 
 
+def test_every_row_is_counted_or_reported_late(spark, feed, tmp_path):
+    first = [("2026-03-01 00:00:01Z", "a")] * 2 + [("2026-03-01 01:00:00Z", "b")]
+    second = [("2026-03-01 00:00:30Z", "a"), ("2026-03-01 00:58:00Z", "a")]
+    third = [("2026-03-01 00:00:40Z", "b"), ("2026-03-01 02:00:00Z", "b"), ("2026-03-01 00:00:41Z", "a")]
+    stream = feed("ts string, source string", [first, second, third])
+    path = str(tmp_path / "out")
+    st.stream_minute_volume(stream, path, str(tmp_path / "mark")).awaitTermination()
+    counted = {r["source"]: r["n"] for r in st.read_minute_volume(spark, path).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    late = {r["source"]: r["n_late"] for r in st.read_late_rows(spark, path, ["source"]).collect()}
+    assert counted == {"a": 3, "b": 2} and late == {"a": 2, "b": 1}
+
+
+def test_dedup_reports_what_came_too_late(spark, feed, tmp_path):
+    batches = [[("2026-03-01 01:00:00Z", 1)], [("2026-03-01 01:00:01Z", 2)], [("2026-03-01 00:00:01Z", 3)]]
+    stream = feed("ts string, event_id int", batches)
+    path = str(tmp_path / "out")
+    run = st.stream_dedup(stream, ["event_id"], path, str(tmp_path / "mark"))
+    run.awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(path).collect()) == [1, 2]
+    assert st.dropped_late(run) == 1
+
+
 def test_dedup_across_batches(spark, feed, tmp_path):
     first = [("2026-03-01 00:00:01Z", 1), ("2026-03-01 00:00:01Z", 1), ("2026-03-01 00:00:02Z", 2)]
     second = [("2026-03-01 00:00:01Z", 1), ("2026-03-01 00:00:03Z", 3)]
