@@ -49,8 +49,9 @@ class KdTree:
         self.high.append(own.max(0))
         self.children.append(())
         self.rows.append(order)
-        widest = int((self.high[node] - self.low[node]).argmax())
-        if len(order) > leaf_rows and self.high[node][widest] > self.low[node][widest]:
+        sides = self.high[node] - self.low[node]
+        if len(order) > leaf_rows and sides.any():
+            widest = int(sides.argmax())
             half = np.argpartition(own[:, widest], len(order) // 2)
             self.rows[node] = None
             left = self._grow(order[half[: len(order) // 2]], leaf_rows)
@@ -104,7 +105,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """The vectors of a table's column; the shards hold vectors of one length only."""
     flat = column.combine_chunks()
     flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
-    return flat.flatten().to_numpy().reshape(len(flat), -1)
+    values = flat.flatten().to_numpy()
+    return values.reshape(len(flat), len(values) // max(1, len(flat)))
 
 
 def top_products(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tests.llm.conftest import DOCS, SMALL, words
+from llm_cases import DOCS, SMALL, words, odd_docs  # noqa: F401
 
 from siftlake.llm import line_dedup, simhash, substring_dedup
 from siftlake.llm.components import components

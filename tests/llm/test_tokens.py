@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tests.llm.conftest import DOCS, SMOKE
+from llm_cases import DOCS, SMOKE, odd_docs  # noqa: F401
 from tokenizers import Tokenizer
 
 from siftlake.llm import bpe, packing, token_files
