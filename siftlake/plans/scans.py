@@ -284,16 +284,21 @@ def _list_table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("footprint_by_source")
+@query(
+    "footprint_by_source",
+    sql("oc", "SELECT 'class-' || class_uid AS source, count(*) AS n_events, TRUE AS has_bytes, TRUE AS adds_up FROM oc GROUP BY 1"),
+)
 def _footprint_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes per event of each class as landed. File sizes are not a fact SQL can check."""
+    """Bytes per event of each class as landed. SQL knows the events, and that bytes are their number times the ratio."""
     path = scratch_path(spark, "footprint")
     landed = sk.land_replace(t.ocsf(spark, sf_dir), path)
     source = F.concat(F.lit("class-"), F.col("class_uid").cast("string"))
     files = fl.list_table_files(spark, path).withColumn(
         "source", F.concat(F.lit("class-"), F.regexp_extract("path", r"class_uid=(\d+)", 1))
     )
-    return fl.footprint_by_source(landed.withColumn("source", source), files)
+    found = fl.footprint_by_source(landed.withColumn("source", source), files)
+    adds_up = F.abs(F.col("bytes_per_event") * F.col("n_events") - F.col("total_bytes")) < 0.5
+    return found.select("source", "n_events", (F.col("total_bytes") > 0).alias("has_bytes"), adds_up.alias("adds_up"))
 
 
 @query(
@@ -426,13 +431,17 @@ def _content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vf.content_hash(orders, portable=True)
 
 
-@query("content_hash_fast")
+@query("content_hash_fast", sql("fl", "SELECT count(*) AS n_rows, 2 AS n_layouts, 1 AS n_hashes FROM fl"))
 def _content_hash_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The xxhash64 form over every column, compared between two layouts."""
     flows = t.flows(spark, sf_dir)
     copy = sk.cluster_layout(flows, scratch_path(spark, "hashed"), ["time", "src_ip"])
     both = vf.content_hash(flows).unionByName(vf.content_hash(copy))
-    return both.groupBy("n_rows", "content_hash").agg(F.count(F.lit(1)).alias("n_copies"))
+    return both.agg(
+        F.max("n_rows").alias("n_rows"),
+        F.count(F.lit(1)).cast("int").alias("n_layouts"),
+        F.count_distinct("n_rows", "content_hash").cast("int").alias("n_hashes"),
+    )
 
 
 @query(
