@@ -68,10 +68,23 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
+def _distinct_share(df: DataFrame) -> DataFrame:
+    """``score``, distinct rows over rows, exact. Rows are counted by a 64-bit hash, and only those whose hash
+    occurs again are compared as a whole, so what moves is a number per row where rows seldom repeat."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    row_hash = F.xxhash64(*columns, *[c.isNull() for c in columns])
+    hashed = df.withColumn("__row_hash", row_hash)
+    counts = hashed.groupBy("__row_hash").agg(F.count(F.lit(1)).alias("__copies"))
+    again = counts.filter(F.col("__copies") > 1).select("__row_hash")
+    repeated = hashed.join(again, "__row_hash", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+    n_repeated = repeated.agg(F.count(F.lit(1))).scalar()
+    total = F.nullif(F.sum("__copies"), F.lit(0))
+    return counts.agg(((F.count_if(F.col("__copies") == 1) + n_repeated) / total).alias("score"))
+
+
 def dq_uniqueness(df: DataFrame) -> DataFrame:
-    """Distinct rows over rows, exact: one grouping by the whole row gives both numbers."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
-    return groups.agg((F.count(F.lit(1)) / F.nullif(F.sum("__copies"), F.lit(0))).alias("score"))
+    """Distinct rows over rows, exact."""
+    return _distinct_share(df)
 
 
 def guard_epoch_type(df: DataFrame, field: str = "time") -> bool:
@@ -95,24 +108,15 @@ def _dimension(name: str, score: Column, threshold: float) -> Column:
 def dq_scorecard(df: DataFrame, class_uid: int = 4001) -> DataFrame:
     """Five dimensions and the guards as verdict rows.
 
-    Grouping by the whole row serves the uniqueness score; the shares are weighted by copies on the
-    same groups, so the table is read once.
+    The shares are added up where the rows are read; uniqueness moves a hash per row.
     """
-    copies = F.col("__copies")
-
-    def weighted(condition: Column) -> Column:
-        hits = F.sum(F.when(condition, copies).otherwise(0))
-        return hits / F.nullif(F.sum(copies), F.lit(0))
-
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
-    totals = groups.agg(
-        weighted(F.col("src_ip").isNotNull() & F.col("dst_port").isNotNull()).alias("completeness"),
-        (F.count(F.lit(1)) / F.nullif(F.sum(copies), F.lit(0))).alias("uniqueness"),
-        weighted(F.col("dst_port").between(0, 65535) & is_ipv4(F.col("src_ip"))).alias("validity"),
-        weighted(F.col("class_uid") == class_uid).alias("consistency"),
-        weighted(F.col("time") > F.lit(EPOCH_MS_FLOOR)).alias("timeliness"),
+    totals = df.agg(
+        share(F.col("src_ip").isNotNull() & F.col("dst_port").isNotNull()).alias("completeness"),
+        share(F.col("dst_port").between(0, 65535) & is_ipv4(F.col("src_ip"))).alias("validity"),
+        share(F.col("class_uid") == class_uid).alias("consistency"),
+        share(F.col("time") > F.lit(EPOCH_MS_FLOOR)).alias("timeliness"),
         F.count_if(F.col("dst_port").isNull()).alias("null_ports"),
-    )
+    ).withColumn("uniqueness", _distinct_share(df).scalar())
     guards = {
         "guard_no_null_in_exclusion": F.when(F.col("null_ports") == 0, 1.0).otherwise(0.0),
         "guard_epoch_type": F.lit(1.0 if guard_epoch_type(df) else 0.0),
