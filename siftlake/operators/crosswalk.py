@@ -106,22 +106,35 @@ def crosswalk_long(raw: DataFrame, ocsf: DataFrame, source: str, key: str = "eve
     return raw_values.join(mapped, key).select(key, F.inline(F.array(*pairs)))
 
 
+def _nesting(record: Column) -> Column:
+    """How deep objects and arrays lie in each other, from the schema text of a VARIANT."""
+    marks = F.split(F.regexp_replace(F.schema_of_variant(record), "[^<>]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, mark: Column) -> Column:
+        now = state["now"] + F.when(mark == "<", 1).when(mark == ">", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step, lambda state: state["most"])
+
+
 def observed_fields(df: DataFrame, record: str = "record", source: str = "source") -> DataFrame:
-    """Field names seen per source, top level and one nested level, over all rows.
+    """Field names seen per source at any depth, over all rows; elements of an array go by the array's name.
 
-    Each task reduces its rows to distinct names before the shuffle, so what moves is bounded by the
-    number of names, not by the number of events. Materialise the result when it feeds several checks.
+    The depth is that of the data, which one pass finds out. Each task reduces its rows to distinct names
+    before the shuffle, so what moves is bounded by the number of names, not by the number of events.
+    Materialise the result when it feeds several checks.
     """
-    top = df.select(source, record).lateralJoin(
-        df.sparkSession.tvf.variant_explode(F.col(record).outer())
-    )
-    nested = top.filter(F.schema_of_variant("value").startswith("OBJECT")).select(
-        source, F.col("key").alias("parent"), F.col("value").alias("child")
-    )
-    inner = nested.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("child").outer())).select(
-        source, F.concat_ws(".", "parent", "key").alias("field")
-    )
-    return top.select(source, F.col("key").alias("field")).unionByName(inner).distinct()
+    deepest = df.agg(F.max(_nesting(F.col(record)))).first()[0] or 1
+    rows = df.select(source, F.lit(None).cast("string").alias("path_0"), F.col(record).alias("node"))
+    for i in range(1, deepest + 1):
+        opened = rows.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("node").outer()))
+        above, key = F.col(f"path_{i - 1}"), F.col("key")
+        path = F.when(key.isNotNull(), F.concat_ws(".", above, key)).when(F.col("value").isNotNull(), above)
+        kept = [f"path_{k}" for k in range(i)]
+        rows = opened.select(source, *kept, path.alias(f"path_{i}"), F.col("value").alias("node"))
+    names = F.explode(F.array(*[f"path_{i}" for i in range(1, deepest + 1)]))
+    return rows.select(source, names.alias("field")).filter(F.col("field").isNotNull()).distinct()
 
 
 def expected_fields(spark: SparkSession) -> DataFrame:
@@ -139,8 +152,9 @@ def field_diff(incoming: DataFrame) -> DataFrame:
     expected = expected_fields(spark)
     judged = expected.select("source").distinct().join(seen.select("source").distinct(), "source", "left_semi")
     # the object that holds an expected nested field is not a field of its own
-    nested = F.col("field").contains(".")
-    holders = expected.filter(nested).select("source", F.substring_index("field", ".", 1).alias("field")).distinct()
+    parts = F.split("field", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    holders = expected.filter(F.size(parts) > 1).select("source", F.explode(above).alias("field")).distinct()
     seen = seen.join(F.broadcast(holders), ["source", "field"], "left_anti")
     left = expected.withColumn("is_expected", F.lit(True))
     right = seen.withColumn("is_seen", F.lit(True))

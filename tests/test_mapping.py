@@ -288,6 +288,14 @@ def test_hostile_field_name_is_inert(make):
     assert [r["field"] for r in cw.field_diff(seen).collect()] == ["&lt;script&gt;x"]
 
 
+def test_observed_fields_at_any_depth(make):
+    deep = {"a": {"b": {"c": {"d": 1}, "e": []}}, "f": [{"g": {"h": 1}}, 3], "i": None}
+    df = make("source string, value string", [("s", json.dumps(deep)), ("t", "{}"), ("t", "7"), ("u", None)])
+    seen = cw.observed_fields(df.select("source", F.parse_json("value").alias("record")))
+    want = {"a", "a.b", "a.b.c", "a.b.c.d", "a.b.e", "f", "f.g", "f.g.h", "i"}
+    assert {tuple(r) for r in seen.collect()} == {("s", x) for x in want}
+
+
 def test_observed_fields_sees_nested_names(make):
     df = make("source string, value string", [("s", '{"a":{"b":1},"c":null}'), ("s", '{"a":{},"d":2}')])
     seen = cw.observed_fields(df.select("source", F.parse_json("value").alias("record")))
