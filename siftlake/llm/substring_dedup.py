@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import shuffle_width, text_batches
+from siftlake.llm.common import text_batches
 from siftlake.llm.wordhash import chosen, hash_words, runs_of
 from siftlake.session import materialise
 
 WINDOW, PHRASE = 20, 8
-#: Documents in a shard, on average.
-SHARD_DOCS = 1024
+#: Documents in a shard, and documents whose hashes meet in a bucket, on average.
+SHARD_DOCS, BUCKET_DOCS = 1024, 4096
 #: Hashes that a task of the first pass holds before it hands them on.
 HELD = 2_000_000
 #: Stands for a null doc_id, which comes before all others.
@@ -179,8 +179,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
     text_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     docs = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("int")).alias("rest"))
-    shards = max(1, docs.count() // SHARD_DOCS)
-    buckets = max(64, shuffle_width(spark))
+    total = docs.count()
+    shards, buckets = max(1, total // SHARD_DOCS), max(64, total // BUCKET_DOCS)
     shard = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards))
     dealt = docs.withColumn("shard", shard)
 
