@@ -55,35 +55,54 @@ def _segment(length: Column, t: int, j: int) -> tuple[Column, Column]:
     return size * j + F.greatest(F.lit(0), over), size + F.when(over >= 0, 1).otherwise(0)
 
 
-def _keys(line: Column, length: Column, t: int, chosen: list[tuple], *salt: Column, fits) -> list[Column]:
-    """For each (d, j, shift) of chosen a struct of the key and where the segment lies, null where it does not fit."""
-    found = []
-    for d, j, shift in chosen:
-        start, size = _segment(length - d, t, j)
-        begin = (start + shift).cast("int")
-        key = F.xxhash64(*salt, length - d, F.lit(j), F.substring(line, begin + 1, size.cast("int")))
-        fields = {"key": key, "exact": F.lit(d == 0 and shift == 0), "t": F.lit(t), "d": F.lit(d), "begin": begin}
-        fields["size"] = size.cast("int")
-        found.append(F.when(fits(d), F.struct(*[v.alias(k) for k, v in fields.items()])))
-    return found
-
-
-def _first_keys(lines: DataFrame, bounds: Bounds) -> DataFrame:
-    """(h, key, exact, ...): the segments by which each line is found (exact) and with which it finds others."""
-    length, every = F.length("line"), []
-    for t in sorted({t for _, t in bounds}):
-        every += _keys(F.col("line"), length, t, places(t), fits=lambda d, t=t: _bound(length - d, bounds) == t)
-    return lines.select("h", F.explode(F.array(*every)).alias("s")).where("s is not null").select("h", "s.*")
+def _choices(bounds: Bounds) -> list[tuple[int, int, int, int]]:
+    """(bound, difference, segment, shift) of every key that a line may have."""
+    return [(t, *place) for t in sorted({t for _, t in bounds}) for place in places(t)]
+
+
+def _key(line: Column, length: Column, choice: tuple[int, int, int, int], *salt: Column) -> Column:
+    t, d, j, shift = choice
+    start, size = _segment(length - d, t, j)
+    return F.xxhash64(*salt, length - d, F.lit(j), F.substring(line, (start + shift + 1).cast("int"), size.cast("int")))
+
+
+def line_keys(line: Column, bounds: Bounds) -> list[Column]:
+    """The keys key0, key1, ... of a line by which it is found, or with which it finds others; null where none fits."""
+    length = F.length(line)
+    return [
+        F.when(_bound(length - c[1], bounds) == c[0], _key(line, length, c)).alias(f"key{i}")
+        for i, c in enumerate(_choices(bounds))
+    ]
+
+
+def _exact(choice: tuple[int, int, int, int]) -> bool:
+    """Whether the key is of a segment of the line itself, by which others find it."""
+    return choice[1] == choice[3] == 0
+
+
+def _first_keys(keyed: DataFrame, bounds: Bounds) -> DataFrame:
+    """(h, key, exact, choice), a row for each key of each line."""
+    names = {"key": lambda i, c: F.col(f"key{i}"), "exact": lambda i, c: F.lit(_exact(c)), "choice": lambda i, c: F.lit(i)}
+    every = [F.struct(*[f(i, c).alias(n) for n, f in names.items()]) for i, c in enumerate(_choices(bounds))]
+    return keyed.select("h", F.explode(F.array(*every)).alias("s")).select("h", "s.*").where("key is not null")
 
 
 def _second_keys(crowded: DataFrame, bounds: Bounds) -> DataFrame:
-    """The keys of crowded rows, each joined with a segment of the rest of the line."""
-    size_at = F.col("begin") + F.col("size")
-    rest = F.concat(F.expr("substring(line, 1, begin)"), F.substring("line", size_at + 1, F.length("line")))
-    rows = crowded.select("h", "key", "exact", "t", "d", rest.alias("rest"))
-    length, every = F.length("rest"), []
-    for t in sorted({t for _, t in bounds}):
-        every += _keys(F.col("rest"), length, t, places(t), F.col("key"), fits=lambda d, t=t: (F.col("t") == t) & (F.col("d") == d))
+    """From (h, key, exact, choice, line): the keys of crowded rows, each joined with a segment of the rest of the line."""
+    choices, length = _choices(bounds), F.length("line")
+    begin, size = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for i, (t, d, j, shift) in enumerate(choices):
+        start, own = _segment(length - d, t, j)
+        begin = F.when(F.col("choice") == i, (start + shift).cast("int")).otherwise(begin)
+        size = F.when(F.col("choice") == i, own.cast("int")).otherwise(size)
+    cut = crowded.withColumns({"begin": begin, "size": size})
+    rest = F.concat(F.expr("substring(line, 1, begin)"), F.expr("substring(line, begin + size + 1)"))
+    rows = cut.select("h", "key", "exact", "choice", rest.alias("rest"))
+    every = []
+    for c in choices:
+        same = [i for i, x in enumerate(choices) if x[:2] == c[:2]]  # the same bound and difference in length
+        entry = F.struct(_key(F.col("rest"), F.length("rest"), c, F.col("key")).alias("key"), F.lit(_exact(c)).alias("exact"))
+        every.append(F.when(F.col("choice").isin(same), entry))
     found = rows.select("h", F.col("exact").alias("own"), F.explode(F.array(*every)).alias("s")).where("s is not null")
     return found.select("h", "s.key", (F.col("own") & F.col("s.exact")).alias("exact"))
 
@@ -130,23 +149,25 @@ def edits_within(a: Column, b: Column, t: int) -> Column:
     return let(let(F.when(b == "", F.array().cast("array<string>")).otherwise(F.split(b, "")), over), distance)
 
 
-def line_links(lines: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDED) -> DataFrame:
-    """(a, b): the hashes of near-equal distinct lines, from a table (h, line) of distinct lines."""
-    if not bounds:
-        return lines.sparkSession.createDataFrame([], "a long, b long")
-    keys = _first_keys(lines, bounds)
+def line_links(keyed: DataFrame, lines: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDED) -> DataFrame:
+    """(a, b): the hashes of near-equal distinct lines.
+
+    keyed has a row (h, key0, key1, ...) for each distinct line; lines has (h, line), and may repeat.
+    """
+    keys = _first_keys(keyed, bounds)
     crowds = keys.where("exact").groupBy("key").count().where(F.col("count") > crowd).select("key")
     crowded = materialise(keys.join(crowds, "key", "left_semi"), "crowded-segments")
-    candidates = _meet(keys.join(crowds, "key", "left_anti").select("h", "key", "exact"))
+    pairs = materialise(_meet(keys.join(crowds, "key", "left_anti")).distinct(), "line-pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(crowded.select("h")).distinct()
+    wanted = lines.join(met, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    wanted = materialise(wanted, "line-texts")
     if not crowded.isEmpty():
-        second = _second_keys(crowded.join(lines, "h"), bounds)
-        candidates = candidates.unionByName(_meet(second))
-    left = lines.select(F.col("h").alias("a"), F.col("line").alias("la"))
-    right = lines.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-    pairs = candidates.distinct().join(left, "a").join(right, "b")
+        pairs = pairs.unionByName(_meet(_second_keys(crowded.join(wanted, "h"), bounds))).distinct()
+    left = wanted.select(F.col("h").alias("a"), F.col("line").alias("la"))
+    right = wanted.select(F.col("h").alias("b"), F.col("line").alias("lb"))
     shorter = _bound(F.least(F.length("la"), F.length("lb")), bounds)
     near = edits_within(F.col("la"), F.col("lb"), max(t for _, t in bounds))
-    return pairs.where(near <= shorter).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(near <= shorter).select("a", "b")
 
 
 def _meet(keys: DataFrame) -> DataFrame:
@@ -160,27 +181,33 @@ def _split(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with what names a row: doc_id, null as the smallest number, and a hash of the text."""
-    return docs.withColumns({"_k": F.coalesce("doc_id", F.lit(-(1 << 63))), "_th": F.xxhash64("text")})
+    """_doc, the whole row as a struct, and what names it: doc_id, null as the smallest number, and a hash of the text."""
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"))
+    named = {"_k": F.coalesce("_doc.doc_id", F.lit(-(1 << 63))), "_th": F.xxhash64("_doc.text")}
+    return rows.withColumns(named)
 
 
 def repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDED) -> DataFrame:
     """(_k, _th, _gone): the numbers, from 0, of the lines to take out of each row of docs that has such lines."""
     own = docs.select("doc_id", "text")
-    lines = _keyed(own).select("_k", "_th", F.posexplode(_split(F.col("text"))).alias("pos", "line"))
-    lines = lines.where(F.col("line").rlike(WORD_RE))
-    seen = lines.select("_k", "_th", "pos", F.xxhash64("line").alias("h")).dropDuplicates(["_k", "_th", "pos"])
-    seen = materialise(seen, "lines")
-    least = min((n for n, _ in bounds), default=0)
-    longer = lines.where(F.length("line") >= least).select(F.xxhash64("line").alias("h"), "line")
-    distinct = longer.groupBy("h").agg(F.first("line").alias("line"))
-    roots = components(materialise(line_links(distinct, bounds, crowd), "line-links")).withColumnRenamed("node", "h")
-    counted = seen.groupBy("h").agg(F.min("_k").alias("k"), F.count("*").alias("n"))
+    lines = _keyed(own).select("_k", "_th", F.posexplode(_split(F.col("_doc.text"))).alias("pos", "line"))
+    lines = lines.where(F.col("line").rlike(WORD_RE)).withColumn("h", F.xxhash64("line"))
+    keys = line_keys(F.col("line"), bounds) if bounds else []
+    seen = materialise(lines.select("_k", "_th", "pos", "h", *keys), "lines")
+    firsts = [F.first(f"key{i}").alias(f"key{i}") for i in range(len(keys))]
+    counted = seen.groupBy("h").agg(F.min("_k").alias("k"), F.count("*").alias("n"), *firsts)
+    counted = materialise(counted, "distinct-lines")
+    if bounds:
+        links = materialise(line_links(counted, lines.select("h", "line"), bounds, crowd), "line-links")
+        roots = components(links).withColumnRenamed("node", "h")
+    else:
+        roots = counted.select("h", F.col("h").alias("root")).limit(0)
+    counted = counted.select("h", "k", "n")
     rooted = counted.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     classes = rooted.groupBy("root").agg(F.min("k").alias("first_k"), F.sum("n").alias("total")).where("total > 1")
     repeated = materialise(rooted.select("h", "root").join(classes.drop("total"), "root"), "repeated-lines")
     entry = F.struct("root", "pos", (F.col("first_k") == F.col("_k")).alias("first"))
-    per_row = seen.join(repeated, "h").groupBy("_k", "_th").agg(F.sort_array(F.collect_list(entry)).alias("own"))
+    per_row = seen.join(repeated, "h").groupBy("_k", "_th").agg(F.sort_array(F.collect_set(entry)).alias("own"))
 
     def later(own: Column) -> Column:
         before = lambda i: F.coalesce(F.get(own, i - 1)["root"], F.lit(None).cast("long"))
@@ -196,7 +223,8 @@ def drop_repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = C
     Only lines with a word count as repeated; others stay where they are, as do all rows, even those left without a
     line. A null text stays null and has no line. Rows equal in doc_id and text are taken as one document and get the
     same result; rows of one doc_id and different texts are each searched, and each keep a class's first line. A null
-    doc_id comes before all others. Other columns are passed on; an empty table stays empty.
+    doc_id comes before all others. Other columns are passed on, but for two of the new columns' names; an empty table
+    stays empty.
     """
     gone = repeated_lines(docs, bounds, crowd)
     found = _keyed(docs).join(gone, ["_k", "_th"], "left")
@@ -205,10 +233,12 @@ def drop_repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = C
         numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
         return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
 
-    words = F.filter(_split(F.col("text")), lambda line: line.rlike(WORD_RE))
+    text = F.col("_doc.text")
+    new_text = F.when(F.col("_gone").isNull(), text).otherwise(let(_split(text), kept))
+    passed = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    words = F.filter(_split(text), lambda line: line.rlike(WORD_RE))
     return found.select(
-        *[c for c in docs.columns if c != "text"],
-        F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(_split(F.col("text")), kept)).alias("text"),
+        *[(new_text if c == "text" else F.col("_doc").getField(c)).alias(c) for c in passed],
         F.size(words).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
