@@ -166,6 +166,9 @@ def _verdict(stats: DataFrame) -> DataFrame:
     for name, sql in verdict_steps():
         used = {x: df for x, df in frames.items() if f"{{{x}}}" in sql}
         frames[name] = stats.sparkSession.sql(sql, **used)
+        if name.startswith("e"):
+            # a row per group; written, as a plan of all steps in one would unfold their terms again and again
+            frames[name] = materialise(frames[name], "estimates")
     return frames["verdict"]
 
 
@@ -209,5 +212,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     parts = [F.col("_doc").getField(c) for c in ("doc_id", "text", "lang", "source")]
     named = rows.withColumn("_row", F.xxhash64(*parts))
     judged = named.select(F.col("_row").alias("doc_id"), "_doc.text", "_doc.lang", "_doc.source")
-    kept = _verdict(materialise(text_statistics(judged), "text-statistics")).where("kept")
+    verdict = _verdict(materialise(text_statistics(judged), "text-statistics")).select("doc_id", "kept")
+    # written before it is filtered: a filter on kept would be pushed into the steps and unfold their terms
+    kept = materialise(verdict, "verdicts").where("kept")
     return named.join(kept.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_semi").select("_doc.*")
