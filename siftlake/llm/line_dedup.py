@@ -159,7 +159,8 @@ def line_links(keyed: DataFrame, lines: DataFrame, bounds: Bounds = BOUNDS, crow
     crowded = materialise(keys.join(crowds, "key", "left_semi"), "crowded-segments")
     pairs = materialise(_meet(keys.join(crowds, "key", "left_anti")).distinct(), "line-pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(crowded.select("h")).distinct()
-    wanted = lines.join(met, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    # a merge join at every size: the lines met grow with the corpus, so their broadcast would only suit small ones
+    wanted = lines.join(met.hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     wanted = materialise(wanted, "line-texts")
     if not crowded.isEmpty():
         pairs = pairs.unionByName(_meet(_second_keys(crowded.join(wanted, "h"), bounds))).distinct()
