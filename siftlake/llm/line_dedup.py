@@ -12,6 +12,9 @@ verified with the diagonals of the band as the bits of a word, one word per erro
 A segment that very many lines of one length share says little. Lines that meet in such a crowded segment must share a
 second one in what is left of them without the first, by the same argument, and only then are they compared.
 
+The registered query and the pipeline take GROWING in the place of bounds: the bound then grows with the length without
+a limit, and long_lines finds the links.
+
 Distinct lines are told apart by a 64-bit hash of their text.
 """
 
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.common import WORD_RE, let
 from siftlake.llm.components import components
+from siftlake.llm.long_lines import PER_EDIT, growing_links
 from siftlake.session import materialise
 
 #: (characters, edits): lines of at least so many characters may differ by so many edits; shorter ones must be equal.
@@ -31,6 +35,9 @@ CROWDED = 100
 
 Bounds = tuple[tuple[int, int], ...]
 
+#: In the place of bounds: an edit for every PER_EDIT characters.
+GROWING = None
+
 
 def _bound(length: Column, bounds: Bounds) -> Column:
     chosen = F.lit(0)
@@ -188,7 +195,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumns(named)
 
 
-def repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDED) -> DataFrame:
+def repeated_lines(docs: DataFrame, bounds: Bounds | None = BOUNDS, crowd: int = CROWDED) -> DataFrame:
     """(_k, _th, _gone): the numbers, from 0, of the lines to take out of each row of docs that has such lines."""
     own = docs.select("doc_id", "text")
     lines = _keyed(own).select("_k", "_th", F.posexplode(_split(F.col("_doc.text"))).alias("pos", "line"))
@@ -198,7 +205,11 @@ def repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDE
     firsts = [F.first(f"key{i}").alias(f"key{i}") for i in range(len(keys))]
     counted = seen.groupBy("h").agg(F.min("_k").alias("k"), F.count("*").alias("n"), *firsts)
     counted = materialise(counted, "distinct-lines")
-    if bounds:
+    if bounds is GROWING:
+        long = lines.where(F.length("line") >= PER_EDIT).groupBy("h").agg(F.first("line").alias("line"))
+        links = materialise(growing_links(materialise(long, "line-texts")), "line-links")
+        roots = components(links).withColumnRenamed("node", "h")
+    elif bounds:
         links = materialise(line_links(counted, lines.select("h", "line"), bounds, crowd), "line-links")
         roots = components(links).withColumnRenamed("node", "h")
     else:
@@ -218,7 +229,7 @@ def repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDE
     return per_row.select("_k", "_th", gone.alias("_gone")).where(F.size("_gone") > 0)
 
 
-def drop_repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDED) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, bounds: Bounds | None = BOUNDS, crowd: int = CROWDED) -> DataFrame:
     """docs with the repeated lines taken out of text, and two more columns: n_lines and n_removed.
 
     Only lines with a word count as repeated; others stay where they are, as do all rows, even those left without a
@@ -247,6 +258,6 @@ def drop_repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = C
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """Per document: lines with a word, those taken out, and the SHA-256 of the text that is left."""
-    done = drop_repeated_lines(docs.select("doc_id", "text"))
+    done = drop_repeated_lines(docs.select("doc_id", "text"), GROWING)
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return done.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))

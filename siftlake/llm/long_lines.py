@@ -1,0 +1,96 @@
+"""Near-equal lines with a bound that grows with their length. DataFrame functions only.
+
+Two lines link where their edit distance is at most a PER_EDIT-th of the length of the shorter one, whatever that is.
+t edits leave some run of (n - t) / (t + 1) or more characters of a line of length n as it is. Of every stretch of such
+a length the smallest hash of its grams is kept (winnowing), so two near-equal lines always have one in common. Lengths
+are dealt to classes, each with a gram and a stretch of its own; a line is found in its class, and also looks in the
+class below where a shorter near-equal line can lie.
+
+All lines of a kept gram are first compared with the first of their length and with the shortest; what is connected
+after that is left alone, and the other pairs of the gram are compared each.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from siftlake.llm.common import let
+from siftlake.llm.components import components
+from siftlake.session import materialise
+
+#: Characters for each edit.
+PER_EDIT = 24
+#: The least length of each class, up to the longest text there can be.
+CLASSES = [24, 48, 72, 96, 120, 168, 264, 360, 552]
+while CLASSES[-1] < 1 << 31:
+    CLASSES.append(CLASSES[-1] * 4 // 3)
+
+
+def gram_and_window(least: int) -> tuple[int, int]:
+    """Characters of a gram, and grams of a stretch, in the class that begins with that length.
+
+    The run that is left whole is shortest where the length is a multiple of PER_EDIT, and grows with the length.
+    """
+    t = least // PER_EDIT
+    run = -(-(least - t) // (t + 1))
+    gram = min(12, run // 2 + 2)
+    return gram, run + 1 - gram
+
+
+def _grams(line: Column, number: Column) -> Column:
+    """The kept grams' hashes of a line by the sizes of the class of that number, from 1."""
+    sizes = [gram_and_window(n) for n in CLASSES]
+    of_class = lambda i: F.get(F.array(*[F.lit(s[i]) for s in sizes[:9]]), F.least(number, F.lit(9)) - 1)
+    size, window = of_class(0), of_class(1)
+    starts = F.sequence(F.lit(1), F.length(line) - size + 1)
+    hashes = F.transform(starts, lambda i: F.xxhash64(number, F.substring(line, i, size)))
+    pairs = lambda own: F.transform(own, lambda x, i: F.least(x, F.get(own, i + 1)))
+    fours = lambda own: F.transform(own, lambda x, i: F.least(x, F.get(own, i + 2)))
+
+    def stretch(own: Column) -> Column:
+        # stretches of at most 12 grams by three of 4; those at the line's end are cut short and only add grams
+        return F.transform(
+            own, lambda x, i: F.least(x, F.get(own, i + F.least(F.lit(4), window - 4)), F.get(own, i + window - 4))
+        )
+
+    return F.array_distinct(let(let(let(hashes, pairs), fours), stretch))
+
+
+def line_grams(lines: DataFrame) -> DataFrame:
+    """(h, n, key) from (h, line): a line's length and each key by which it is found or finds others."""
+    edges = F.array(*[F.lit(n) for n in CLASSES])
+    number = lambda n: F.size(F.filter(edges, lambda e: e <= n))
+    sized = lines.withColumn("n", F.length("line")).where(F.col("n") >= PER_EDIT)
+    sized = sized.withColumn("own", number(F.col("n"))).withColumn("low", number(F.col("n") - F.expr(f"n div {PER_EDIT}")))
+    classes = F.array_distinct(F.array("own", F.greatest("low", F.lit(1))))
+    each = sized.select("h", "n", "line", F.explode(classes).alias("number"))
+    return each.select("h", "n", F.explode(_grams(F.col("line"), F.col("number"))).alias("key"))
+
+
+def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    left, right = (lines.select(F.col("h").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
+    # a merge join at every size: the lines met grow with the corpus, so their broadcast would only suit small ones
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
+    shorter = f"cast(least(length(la), length(lb)) div {PER_EDIT} as int)"
+    return both.where(F.expr(f"levenshtein(la, lb, {shorter}) >= 0")).select("a", "b")
+
+
+def growing_links(lines: DataFrame) -> DataFrame:
+    """(a, b): links of line hashes whose connected components are those of all near-equal pairs of (h, line)."""
+    rows = materialise(line_grams(lines), "line-grams")
+    leads = rows.groupBy("key").agg(F.min(F.struct("n", "h")).alias("lead"), F.max(F.struct("n", "h")).alias("last"))
+    met = materialise(rows.join(leads.where("lead.h <> last.h").drop("last"), "key"), "line-met")
+    firsts = met.groupBy("key", "n").agg(F.min("h").alias("first"), F.count("*").alias("many")).where("many > 1")
+    fits = F.col("n") - F.col("lead.n") <= F.expr(f"lead.n div {PER_EDIT}")
+    star = met.where(fits).select(F.col("lead.h").alias("x"), "h")
+    star = star.unionByName(met.join(firsts, ["key", "n"]).select(F.col("first").alias("x"), "h")).where("x <> h")
+    star = materialise(star.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b")).distinct(), "line-stars")
+    links = materialise(_near(star, lines), "line-star-links")
+    roots = components(links).withColumnRenamed("node", "h")
+    rooted = met.select("key", "h", "n").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    left = rooted.select("key", F.col("h").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    right = rooted.select("key", F.col("h").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    met_twice = left.join(right, "key").where(f"rx <> ry and ny >= nx and (ny > nx or y > x) and ny - nx <= nx div {PER_EDIT}")
+    others = met_twice.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return links.unionByName(_near(materialise(others, "line-others"), lines))

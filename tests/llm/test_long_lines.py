@@ -1,0 +1,36 @@
+"""Line dedup with a bound that grows with the length, against a plain version over all pairs."""
+
+from __future__ import annotations
+
+import random
+
+from llm_cases import DOCS
+from pyspark.sql import functions as F
+from test_near import closure, edited, edits
+
+from siftlake.llm import line_dedup, long_lines
+
+
+def test_growing_bound_connects_all_near_lines(make):
+    rng = random.Random(11)
+    lengths = [20, 23, 24, 25, 47, 48, 50, 71, 74, 97, 121, 170, 265]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice(lengths))) for _ in range(40)]
+    lines = list(base)
+    for _ in range(130):
+        one = rng.choice(lines)
+        lines.append(edited(rng, one, rng.choice([0, 1, len(one) // 24, len(one) // 24 + 1])))
+    lines += ["-" * n for n in (24, 25, 60, 62, 63, 200)]
+    lines = list(dict.fromkeys(lines))
+    near = lambda a, b: abs(len(a) - len(b)) <= min(len(a), len(b)) // 24 and edits(a, b) <= min(len(a), len(b)) // 24
+    want = closure(lines, [(a, b) for i, a in enumerate(lines) for b in lines[:i] if near(a, b)])
+    df = make("line string", [(x,) for x in lines]).withColumn("h", F.xxhash64("line"))
+    name = {r.h: r.line for r in df.collect()}
+    got = closure(lines, [(name[r.a], name[r.b]) for r in long_lines.growing_links(df).collect()])
+    assert got == want
+
+
+def test_query_takes_out_long_lines_with_some_edits(make):
+    line = "The quick brown fox jumps over the lazy dog while five wizards watch from the old tower at dawn."
+    texts = [line, line.replace("fox", "cat"), "other text\n" + line.replace("quick", "quikc").replace("dawn", "down")]
+    done = line_dedup.line_digest(make(DOCS, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.n_removed for r in done} == {0: 0, 1: 1, 2: 1}
