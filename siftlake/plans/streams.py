@@ -64,6 +64,17 @@ def _stream_minute_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.read_minute_volume(spark, path)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with place, their number from 1 by ts and event_id: what lies in earlier minutes, and the number within."""
+    timed = rows.withColumn("minute", F.expr("unix_micros(ts) div 60000000"))
+    counts = timed.groupBy("minute").agg(F.count(F.lit(1)).alias("rows_in"))
+    before = F.sum("rows_in").over(W.orderBy("minute")) - F.col("rows_in")  # a row per minute
+    offsets = counts.select(F.col("minute").alias("m"), before.alias("before"))
+    within = timed.withColumn("within", F.row_number().over(W.partitionBy("minute").orderBy("ts", "event_id")))
+    placed = within.join(offsets, F.col("minute").eqNullSafe(F.col("m")))
+    return placed.select(*rows.columns, (F.col("before") + F.col("within")).alias("place"))
+
+
 @query(
     "stream_late_rows",
     """
@@ -74,16 +85,17 @@ SELECT source, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS n_late
   SELECT source, held AND (us // 60000000 + 1) * 60000 <= ms - 300000 AS late FROM b, newest) GROUP BY source""",
 )
 def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter of the events arrives in a second file, most of them long after their minute has closed."""
+    """A quarter of the events arrives in a second batch of files, most of them long after their minute has closed."""
     rows = t.read(spark, sf_dir, "events").select(t.utc().alias("ts"), F.col("event_type").alias("source"), "event_id")
-    place = F.row_number().over(W.orderBy("ts", "event_id"))
-    marked = materialise(rows.withColumn("held", place % 4 == 0), "late-marked")
+    marked = materialise(_numbered(rows).withColumn("held", F.col("place") % 4 == 0), "late-marked")
     path, feed = scratch_path(spark, "late-volume"), scratch_path(spark, "late-source")
+    checkpoint = scratch_path(spark, "stream-checkpoint")
     for held in (False, True):
-        part = marked.filter(F.col("held") == held).select("ts", "source").coalesce(1)
+        # a run takes all files that are new to it as one batch
+        part = marked.filter(F.col("held") == held).select("ts", "source")
         part.write.mode("append" if held else "errorifexists").parquet(feed)
-    stream = spark.readStream.schema("ts timestamp, source string").option("maxFilesPerTrigger", 1).parquet(feed)
-    st.stream_minute_volume(stream, path, scratch_path(spark, "stream-checkpoint")).awaitTermination()
+        stream = spark.readStream.schema("ts timestamp, source string").parquet(feed)
+        st.stream_minute_volume(stream, path, checkpoint).awaitTermination()
     counted = st.read_minute_volume(spark, path).groupBy("source").agg(F.sum("n").alias("n"))
     joined = counted.join(st.read_late_rows(spark, path, ["source"]), "source", "full_outer")
     zero = F.lit(0).cast("bigint")
