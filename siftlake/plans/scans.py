@@ -95,8 +95,8 @@ SELECT conn_state, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS orig_bytes,
   min(time) AS first_ms FROM zk GROUP BY conn_state"""),
 )
 def _read_zeek_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two files of one log; the second one, after a rotation, has its columns the other way round."""
-    log = rd.read_zeek_tsv(spark, f"{_rotated_log(spark, sf_dir)}/*")
+    """Files of one log; half of them, after a rotation, have their columns the other way round."""
+    log = rd.read_zeek_tsv(spark, f"{_rotated_log(spark, sf_dir)}/*/*")
     return log.groupBy("conn_state").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("orig_bytes").alias("orig_bytes"),
@@ -106,15 +106,21 @@ def _read_zeek_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rotated_log(spark: SparkSession, sf_dir: str) -> str:
-    """Log files whose rows follow a header line, as one sorted file for each order of the columns."""
-    path, raw = scratch_path(spark, "conn-log"), t.zeek_raw(spark, sf_dir).withColumn("half", F.hash("uid") % 2 == 0)
-    for label, half, names in (("a", F.col("half"), t.ZEEK_COLUMNS), ("b", ~F.col("half"), t.ZEEK_COLUMNS[::-1])):
-        head = "\n".join(["#separator \\x09", "#path\tconn", "\t".join(("#fields", *names))])
-        lines = spark.range(1).select(F.posexplode(F.split(F.lit(head), "\n")).alias("n", "value"))
-        rows = raw.filter(half).select(F.lit(9).alias("n"), F.concat_ws("\t", *[F.col(f"`{c}`") for c in names]).alias("value"))
-        # a log file is one task's by its nature: its header comes first
-        one = lines.unionByName(rows).coalesce(1).sortWithinPartitions("n")
-        one.select("value").write.text(f"{path}/{label}")
+    """Log files whose rows follow a header line, many for each of two orders of the columns."""
+    path, raw = scratch_path(spark, "conn-log"), t.zeek_raw(spark, sf_dir)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heads, values = [], F.lit(None).cast("string")
+    for label, names in (("a", t.ZEEK_COLUMNS), ("b", t.ZEEK_COLUMNS[::-1])):
+        for n, line in enumerate(["#separator \\x09", "#path\tconn", "\t".join(("#fields", *names))]):
+            heads.append(F.struct(F.lit(label).alias("order"), F.lit(n).alias("n"), F.lit(line).alias("value")))
+        values = F.when(F.col("order") == label, F.concat_ws("\t", *[F.col(f"`{c}`") for c in names])).otherwise(values)
+    order = F.when(F.hash("uid") % 2 == 0, "a").otherwise("b")
+    file = F.pmod(F.xxhash64("uid", "ts"), F.lit(files)).cast("int")
+    rows = raw.withColumns({"order": order, "file": file}).select("order", "file", F.lit(9).alias("n"), values.alias("value"))
+    each = spark.range(files).select(F.col("id").cast("int").alias("file"), F.inline(F.array(*heads)))
+    lines = rows.unionByName(each.select("order", "file", "n", "value")).repartition("file")
+    # the task that writes a file puts its header first
+    lines.sortWithinPartitions("order", "file", "n").select("order", "file", "value").write.partitionBy("order", "file").text(path)
     return path
 
 

@@ -7,7 +7,7 @@ from pathlib import Path
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from siftlake.plans import streams
+from siftlake.plans import scans, streams
 
 
 def test_late_rows_are_numbered_without_a_window_over_all(make):
@@ -30,3 +30,14 @@ def test_late_rows_come_in_many_files_and_two_batches(spark, tmp_path, monkeypat
     streams._stream_late_rows(spark, SMALL).collect()
     assert len(list(Path(made["late-source"]).glob("part-*"))) > 2
     assert sorted(p.name for p in Path(made["late-volume"]).glob("batch_id=*")) == ["batch_id=0", "batch_id=1"]
+
+
+def test_rotated_log_is_many_files_with_their_own_headers(spark):
+    path = Path(scans._rotated_log(spark, SMALL))
+    for order in "ab":
+        files = list(path.glob(f"order={order}/*/part-*"))
+        assert len(files) > 1
+        for file in files:
+            lines = file.read_text().splitlines()
+            assert [x.startswith("#") for x in lines[:4]] == [True, True, True, False][: len(lines)]
+            assert not any(x.startswith("#") for x in lines[3:])
