@@ -12,9 +12,6 @@ verified with the diagonals of the band as the bits of a word, one word per erro
 A segment that very many lines of one length share says little. Lines that meet in such a crowded segment must share a
 second one in what is left of them without the first, by the same argument, and only then are they compared.
 
-The registered query and the pipeline take GROWING in the place of bounds: the bound then grows with the length without
-a limit, and long_lines finds the links.
-
 Distinct lines are told apart by a 64-bit hash of their text.
 """
 
@@ -23,21 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import WORD_RE, let
+from siftlake.llm.common import WORD_RE, let, settle
 from siftlake.llm.components import components
-from siftlake.llm.long_lines import PER_EDIT, growing_links
-from siftlake.session import materialise
 
 #: (characters, edits): lines of at least so many characters may differ by so many edits; shorter ones must be equal.
-BOUNDS = ((24, 1),)
+BOUNDS = ((24, 1), (96, 2))
 #: Lines with the same segment before a second one is asked for.
 CROWDED = 100
 
 Bounds = tuple[tuple[int, int], ...]
 
-#: In the place of bounds: an edit for every PER_EDIT characters.
-GROWING = None
-
 
 def _bound(length: Column, bounds: Bounds) -> Column:
     chosen = F.lit(0)
@@ -87,10 +79,10 @@ def _exact(choice: tuple[int, int, int, int]) -> bool:
     return choice[1] == choice[3] == 0
 
 
-def _first_keys(keyed: DataFrame, bounds: Bounds) -> DataFrame:
-    """(h, key, exact, choice), a row for each key of each line."""
+def _first_keys(keyed: DataFrame, bounds: Bounds, own: bool = False) -> DataFrame:
+    """(h, key, exact, choice), a row for each key of each line, or for those of its own segments."""
     names = {"key": lambda i, c: F.col(f"key{i}"), "exact": lambda i, c: F.lit(_exact(c)), "choice": lambda i, c: F.lit(i)}
-    every = [F.struct(*[f(i, c).alias(n) for n, f in names.items()]) for i, c in enumerate(_choices(bounds))]
+    every = [F.struct(*[f(i, c).alias(n) for n, f in names.items()]) for i, c in enumerate(_choices(bounds)) if _exact(c) or not own]
     return keyed.select("h", F.explode(F.array(*every)).alias("s")).select("h", "s.*").where("key is not null")
 
 
@@ -161,16 +153,21 @@ def line_links(keyed: DataFrame, lines: DataFrame, bounds: Bounds = BOUNDS, crow
 
     keyed has a row (h, key0, key1, ...) for each distinct line; lines has (h, line), and may repeat.
     """
-    keys = _first_keys(keyed, bounds)
-    crowds = keys.where("exact").groupBy("key").count().where(F.col("count") > crowd).select("key")
-    crowded = materialise(keys.join(crowds, "key", "left_semi"), "crowded-segments")
-    pairs = materialise(_meet(keys.join(crowds, "key", "left_anti")).distinct(), "line-pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(crowded.select("h")).distinct()
+    keys, own = _first_keys(keyed, bounds), _first_keys(keyed, bounds, own=True)
+    crowds = settle(own.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowds")
+    if crowds.isEmpty():
+        pairs = settle(_meet(own, keys).distinct(), "line-pairs")
+        met = pairs.select(F.explode(F.array("a", "b")).alias("h"))
+    else:
+        crowded = settle(keys.join(crowds, "key", "left_semi"), "crowded-segments")
+        pairs = settle(_meet(*(k.join(crowds, "key", "left_anti") for k in (own, keys))).distinct(), "line-pairs")
+        met = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(crowded.select("h"))
     # a merge join at every size: the lines met grow with the corpus, so their broadcast would only suit small ones
-    wanted = lines.join(met.hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    wanted = materialise(wanted, "line-texts")
-    if not crowded.isEmpty():
-        pairs = pairs.unionByName(_meet(_second_keys(crowded.join(wanted, "h"), bounds))).distinct()
+    wanted = lines.join(met.distinct().hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    wanted = settle(wanted, "line-texts")
+    if not crowds.isEmpty():
+        second = settle(_second_keys(crowded.join(wanted, "h"), bounds), "second-segments")
+        pairs = pairs.unionByName(_meet(second.where("exact"), second)).distinct()
     left = wanted.select(F.col("h").alias("a"), F.col("line").alias("la"))
     right = wanted.select(F.col("h").alias("b"), F.col("line").alias("lb"))
     shorter = _bound(F.least(F.length("la"), F.length("lb")), bounds)
@@ -178,8 +175,8 @@ def line_links(keyed: DataFrame, lines: DataFrame, bounds: Bounds = BOUNDS, crow
     return pairs.join(left, "a").join(right, "b").where(near <= shorter).select("a", "b")
 
 
-def _meet(keys: DataFrame) -> DataFrame:
-    own = keys.where("exact").select("key", F.col("h").alias("x"))
+def _meet(own: DataFrame, keys: DataFrame) -> DataFrame:
+    own = own.select("key", F.col("h").alias("x"))
     pairs = own.join(keys.select("key", "h"), "key").where("x <> h")
     return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"))
 
@@ -195,29 +192,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumns(named)
 
 
-def repeated_lines(docs: DataFrame, bounds: Bounds | None = BOUNDS, crowd: int = CROWDED) -> DataFrame:
+def repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDED) -> DataFrame:
     """(_k, _th, _gone): the numbers, from 0, of the lines to take out of each row of docs that has such lines."""
     own = docs.select("doc_id", "text")
     lines = _keyed(own).select("_k", "_th", F.posexplode(_split(F.col("_doc.text"))).alias("pos", "line"))
     lines = lines.where(F.col("line").rlike(WORD_RE)).withColumn("h", F.xxhash64("line"))
-    keys = line_keys(F.col("line"), bounds) if bounds else []
-    seen = materialise(lines.select("_k", "_th", "pos", "h", *keys), "lines")
-    firsts = [F.first(f"key{i}").alias(f"key{i}") for i in range(len(keys))]
-    counted = seen.groupBy("h").agg(F.min("_k").alias("k"), F.count("*").alias("n"), *firsts)
-    counted = materialise(counted, "distinct-lines")
-    if bounds is GROWING:
-        long = lines.where(F.length("line") >= PER_EDIT).groupBy("h").agg(F.first("line").alias("line"))
-        links = materialise(growing_links(materialise(long, "line-texts")), "line-links")
-        roots = components(links).withColumnRenamed("node", "h")
-    elif bounds:
-        links = materialise(line_links(counted, lines.select("h", "line"), bounds, crowd), "line-links")
-        roots = components(links).withColumnRenamed("node", "h")
+    seen = settle(lines.select("_k", "_th", "pos", "h"), "lines")
+    counted = settle(seen.groupBy("h").agg(F.min("_k").alias("k"), F.count("*").alias("n")), "distinct-lines")
+    if bounds:
+        long = lines.where(F.length("line") >= min(least for least, _ in bounds))
+        texts = settle(long.groupBy("h").agg(F.first("line").alias("line")), "distinct-texts")
+        links = line_links(texts.select("h", *line_keys(F.col("line"), bounds)), texts, bounds, crowd)
+        roots = components(settle(links, "line-links")).withColumnRenamed("node", "h")
     else:
         roots = counted.select("h", F.col("h").alias("root")).limit(0)
-    counted = counted.select("h", "k", "n")
     rooted = counted.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     classes = rooted.groupBy("root").agg(F.min("k").alias("first_k"), F.sum("n").alias("total")).where("total > 1")
-    repeated = materialise(rooted.select("h", "root").join(classes.drop("total"), "root"), "repeated-lines")
+    repeated = settle(rooted.select("h", "root").join(classes.drop("total"), "root"), "repeated-lines")
     entry = F.struct("root", "pos", (F.col("first_k") == F.col("_k")).alias("first"))
     per_row = seen.join(repeated, "h").groupBy("_k", "_th").agg(F.sort_array(F.collect_set(entry)).alias("own"))
 
@@ -229,7 +220,7 @@ def repeated_lines(docs: DataFrame, bounds: Bounds | None = BOUNDS, crowd: int =
     return per_row.select("_k", "_th", gone.alias("_gone")).where(F.size("_gone") > 0)
 
 
-def drop_repeated_lines(docs: DataFrame, bounds: Bounds | None = BOUNDS, crowd: int = CROWDED) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDED) -> DataFrame:
     """docs with the repeated lines taken out of text, and two more columns: n_lines and n_removed.
 
     Only lines with a word count as repeated; others stay where they are, as do all rows, even those left without a
@@ -258,6 +249,6 @@ def drop_repeated_lines(docs: DataFrame, bounds: Bounds | None = BOUNDS, crowd:
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """Per document: lines with a word, those taken out, and the SHA-256 of the text that is left."""
-    done = drop_repeated_lines(docs.select("doc_id", "text"), GROWING)
+    done = drop_repeated_lines(docs.select("doc_id", "text"))
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return done.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
