@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import read_table, tokenizer_path
-from siftlake.llm.line_dedup import GROWING, drop_repeated_lines
-from siftlake.llm.near_texts import one_of_each_text
+from siftlake.llm.line_dedup import drop_repeated_lines
 from siftlake.llm.packing import pack_documents
 from siftlake.llm.quality_rules import keep_good
+from siftlake.llm.simhash import one_of_each
 from siftlake.llm.substring_dedup import cut_repeats
 from siftlake.session import materialise
 
@@ -29,12 +29,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines equal or near-equal to an earlier one go; a document may be left without a line."""
-    return _counted(drop_repeated_lines(docs, GROWING), docs.columns)
+    return _counted(drop_repeated_lines(docs), docs.columns)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-equal texts stays, the one with the smallest doc_id."""
-    return one_of_each_text(docs)
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-equal fingerprints stays, the one with the smallest doc_id."""
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,12 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
+    ("simhash_dedup", simhash_dedup),
     ("substring_dedup", substring_dedup),
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL has no tokenizer and no SimHash; tests hold run() against a brute-force version.
+#: SQL has no tokenizer and no XXH64 of shingles; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
