@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from hashlib import sha256
@@ -126,6 +127,18 @@ def test_line_dedup_on_odd_documents(odd_docs, make):
     assert got == plain_line_dedup([(r.doc_id, r.text) for r in docs.collect()], line_dedup.BOUNDS)
 
 
+def test_digest_of_lines_with_one_and_two_edits(make):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (22, 24, 25, 94, 95, 96, 97, 98, 130)]
+    texts = ["\n".join(edited(rng, x, e) for x in rng.sample(base, 5) for e in (0, rng.randrange(4))) for _ in range(12)]
+    done = line_dedup.line_digest(make(DOCS, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    want = [
+        (i, n, gone, hashlib.sha256(text.encode()).hexdigest())
+        for i, text, n, gone in plain_line_dedup(list(enumerate(texts)), line_dedup.BOUNDS)
+    ]
+    assert sorted(map(tuple, done), key=str) == sorted(want, key=str) and sum(r.n_removed for r in done) > 60
+
+
 def test_line_dedup_long_texts_and_empty_table(odd_docs, make):
     done = {r.doc_id: r for r in line_dedup.drop_repeated_lines(odd_docs.where("doc_id in (5, 6)")).collect()}
     assert done[6].text == "" and done[6].n_removed == done[6].n_lines == 4000
