@@ -214,7 +214,8 @@ def samples(docs: DataFrame, labels: DataFrame, most_toxic: int = TOXIC, most_un
     usable = _in_fold(docs).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
     by_hash = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     confirmed = _lowest(judged.where("bad"), bad, most_toxic, "doc_id").select("doc_id")
-    toxic = usable.join(confirmed, "doc_id", "left_semi").orderBy(by_hash, F.col("text")).limit(most_toxic)
+    # at most about most_toxic ids: their cut of the hash's range has so many of the distinct, evenly dealt ids
+    toxic = usable.join(F.broadcast(confirmed), "doc_id", "left_semi").orderBy(by_hash, F.col("text")).limit(most_toxic)
     rows_in = usable.count()
     others = _lowest(usable, rows_in, most_unlabelled, "doc_id").orderBy(by_hash, F.col("text")).limit(most_unlabelled)
     prior = bad / n if 0 < bad < n else PRIOR
