@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,29 +69,30 @@ def cidr_table(cidrs: DataFrame, column: str = "cidr") -> DataFrame:
     return parsed.withColumn("network", F.when(valid, network)).drop("base")
 
 
+def network_counts(ips: DataFrame, lengths: Sequence[int], ip_num: str = "ip_num") -> DataFrame:
+    """(prefix_length, network, n_ips, n_events) of the addresses at the given prefix lengths."""
+    counted = ips.filter(F.col(ip_num).isNotNull()).groupBy(ip_num).agg(F.count(F.lit(1)).alias("n"))
+    if not lengths:
+        lengths, counted = [32], counted.limit(0)
+    keys = [
+        F.struct(F.lit(n).alias("prefix_length"), prefix_network(F.col(ip_num), n).alias("network")) for n in lengths
+    ]
+    per_network = counted.select(F.inline(F.array(*keys)), "n").groupBy("prefix_length", "network")
+    return per_network.agg(F.count(F.lit(1)).alias("n_ips"), F.sum("n").alias("n_events"))
+
+
 def cidr_join(ips: DataFrame, cidrs: DataFrame, ip_num: str = "ip_num", column: str = "cidr") -> DataFrame:
     """Addresses and events per CIDR block, for any number of blocks, overlapping or not.
 
-    Every address has exactly one network per prefix length, so membership is an equi-join on
-    (prefix_length, network), 33 networks at most, after repeated addresses have been counted; networks
-    are counted before the join, so both sides hold unique keys. A block that does not parse comes out with
-    the status ``unparsable`` and no counts.
+    An address has one network per prefix length, so membership is an equi-join on (prefix_length, network). Only
+    the lengths that the blocks use are looked up, 33 numbers at most, which the driver asks for first; repeated
+    addresses are counted, then each network's addresses, before anything is joined. For short prefixes that leaves a
+    row per task and network to shuffle, for ``/0`` a row per task. A block that does not parse comes out with the
+    status ``unparsable`` and no counts.
     """
     blocks = cidr_table(cidrs.select(column).distinct(), column)
-    counted = ips.filter(F.col(ip_num).isNotNull()).groupBy(ip_num).agg(F.count(F.lit(1)).alias("n"))
-    keys = F.array(
-        *[
-            F.struct(F.lit(n).alias("prefix_length"), prefix_network(F.col(ip_num), n).alias("network"))
-            for n in range(33)
-        ]
-    )
-    in_use = blocks.filter(F.col("network").isNotNull()).select("prefix_length", "network").distinct()
-    networks = (
-        counted.select(F.inline(keys), "n")
-        .join(in_use, ["prefix_length", "network"], "left_semi")
-        .groupBy("prefix_length", "network")
-        .agg(F.count(F.lit(1)).alias("n_ips"), F.sum("n").alias("n_events"))
-    )
+    used = blocks.filter(F.col("network").isNotNull()).select("prefix_length").distinct().orderBy("prefix_length")
+    networks = network_counts(ips, [r["prefix_length"] for r in used.collect()], ip_num)
     joined = blocks.join(networks, ["prefix_length", "network"], "left")
     parsed, zero = F.col("network").isNotNull(), F.lit(0).cast("bigint")
     return joined.select(

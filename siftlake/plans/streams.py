@@ -58,10 +58,10 @@ def _stream_normalize_land(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _stream_minute_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.read(spark, sf_dir, "events").select(t.utc().alias("ts"), F.col("event_type").alias("source"))
-    path = scratch_path(spark, "minute-volume")
+    path, checkpoint = scratch_path(spark, "minute-volume"), scratch_path(spark, "stream-checkpoint")
     stream = _as_stream(spark, rows, "minute-source")
-    st.stream_minute_volume(stream, path, scratch_path(spark, "stream-checkpoint")).awaitTermination()
-    return st.read_minute_volume(spark, path)
+    st.stream_minute_volume(stream, path, checkpoint).awaitTermination()
+    return st.read_minute_volume(spark, path, checkpoint)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -96,8 +96,8 @@ def _stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.write.mode("append" if held else "errorifexists").parquet(feed)
         stream = spark.readStream.schema("ts timestamp, source string").parquet(feed)
         st.stream_minute_volume(stream, path, checkpoint).awaitTermination()
-    counted = st.read_minute_volume(spark, path).groupBy("source").agg(F.sum("n").alias("n"))
-    joined = counted.join(st.read_late_rows(spark, path, ["source"]), "source", "full_outer")
+    counted = st.read_minute_volume(spark, path, checkpoint).groupBy("source").agg(F.sum("n").alias("n"))
+    joined = counted.join(st.read_late_rows(spark, path, checkpoint, ["source"]), "source", "full_outer")
     zero = F.lit(0).cast("bigint")
     return joined.select("source", F.coalesce("n", zero).alias("n"), F.coalesce("n_late", zero).alias("n_late"))
 
@@ -125,7 +125,7 @@ def _stream_failed_auth_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _as_stream(spark, _events(spark, sf_dir), "burst-source")
     checkpoint = scratch_path(spark, "stream-checkpoint")
     st.stream_failed_auth_burst(stream, path, checkpoint, width="1 day").awaitTermination()
-    return st.read_failed_auth_burst(spark, path, threshold=2)
+    return st.read_failed_auth_burst(spark, path, checkpoint, threshold=2)
 
 
 @query(

@@ -1,13 +1,14 @@
 """Streams over landed files. Each is a thin shell around a batch operator.
 
 Every sink writes a folder per micro-batch and overwrites it as a whole on a retry, so a restarted
-query lands each batch once. Aggregating sinks keep one row per batch and key; the matching ``read_``
-function adds them up.
+query lands each batch once. Windows are counted in the state store and written when they close; rollups
+keep one row per batch and key. The matching ``read_`` function puts the parts together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -61,48 +62,81 @@ def stream_normalize_land(
     return _run(parsed, checkpoint, "append", land)
 
 
+@dataclass(frozen=True)
+class WindowRun:
+    """The two queries of a window count: windows in the state store, and arrivals per key."""
+
+    windows: StreamingQuery
+    arrivals: StreamingQuery
+
+    def awaitTermination(self) -> None:
+        self.windows.awaitTermination()
+        self.arrivals.awaitTermination()
+
+
 def _count_windows(
     events: DataFrame, keys: Sequence[str], path: str, checkpoint: str, width: str, late: str
-) -> StreamingQuery:
-    """Partial counts per batch, window and key. Nothing is dropped: a row whose window had closed, by the newest
-    time of earlier batches less the allowed lateness, is counted as late instead."""
+) -> WindowRun:
+    """Counts per window and key in the state store. A window is written once, when the watermark passes its end, and
+    leaves the state then; no run reads what earlier ones have written. A row whose window is still held is counted, also
+    in the batch that closes it; rows of windows that have left are refused, and the arrivals per key, counted beside,
+    tell how many those were.
+    """
+    timed = events.filter(F.col("ts").isNotNull())
+    window = F.window("ts", width).alias("w")
+    counted = timed.withWatermark("ts", late).groupBy(window, *keys).agg(F.count(F.lit(1)).alias("n"))
+
+    def close(batch: DataFrame, batch_id: int) -> None:
+        closed = batch.select(F.unix_millis("w.start").alias("window_ms"), *keys, "n")
+        closed.write.mode("overwrite").parquet(f"{path}/closed/batch_id={batch_id}")
+
+    return WindowRun(
+        _run(counted, f"{checkpoint}/windows", "append", close),
+        stream_rollup(timed, keys, f"{path}/arrived", f"{checkpoint}/arrivals"),
+    )
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = None
-        if batch_id > 0:
-            earlier = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-            newest = earlier.agg(F.max("newest_ms")).first()[0]
-        floor = F.timestamp_millis(F.lit(newest).cast("bigint")) - F.expr(f"INTERVAL {late}")
-        window = F.window("ts", width)
-        counted = batch.groupBy(window.alias("w"), *keys).agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.unix_millis("ts")).alias("newest_ms")
-        )
-        out = counted.select(
-            F.unix_millis("w.start").alias("window_ms"), *keys, "n", "newest_ms",
-            F.coalesce(F.col("w.end") <= floor, F.lit(False)).alias("late"),
-        )
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _run(events, checkpoint, "append", add)
+def open_windows(spark: SparkSession, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """The windows that the last committed batch has left in the state store: ``(window_ms, *keys, n)``."""
+    state = spark.read.format("statestore").option("batchId", _last_batch(spark, checkpoint))
+    rows = state.load(f"{checkpoint}/windows")
+    return rows.select(
+        F.unix_millis("key.window.start").alias("window_ms"),
+        *[F.col("key").getField(k).alias(k) for k in keys],
+        F.col("value").getField("count").alias("n"),
+    )
+
+
+def _last_batch(spark: SparkSession, checkpoint: str) -> int:
+    found = spark.read.format("state-metadata").load(f"{checkpoint}/windows")
+    return found.agg(F.max("maxBatchId")).first()[0]
 
 
-def read_late_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Rows that came after their window had closed, per key: they are in no window's count."""
-    return spark.read.parquet(path).filter("late").groupBy(*keys).agg(F.sum("n").alias("n_late"))
+def _read_windows(spark: SparkSession, path: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """Closed windows and those still open, each once. What a batch wrote before it failed is left out: its windows are
+    still in the state of the batch before."""
+    done = F.col("batch_id") <= _last_batch(spark, checkpoint)
+    closed = spark.read.parquet(f"{path}/closed").filter(done).select("window_ms", *keys, "n")
+    return closed.unionByName(open_windows(spark, checkpoint, keys))
+
+
+def read_late_rows(spark: SparkSession, path: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """Rows that came after their window had closed, per key that has such rows: they are in no window's count."""
+    counted = _read_windows(spark, path, checkpoint, keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+    signed = counted.select(*keys, (-F.col("n")).alias("n")).unionByName(read_rollup(spark, f"{path}/arrived", keys))
+    return signed.groupBy(*keys).agg(F.sum("n").alias("n_late")).filter(F.col("n_late") > 0)
 
 
 def stream_minute_volume(
     events: DataFrame, path: str, checkpoint: str, width: str = "1 minute", late: str = "5 minutes"
-) -> StreamingQuery:
+) -> WindowRun:
     """Events per source and minute, added up as they arrive. Needs ``ts`` (timestamp) and ``source``; rows
     without a ``ts`` have no minute and are left out. ``read_late_rows`` reports what came too late."""
     return _count_windows(events, ["source"], path, checkpoint, width, late)
 
 
-def read_minute_volume(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path).filter("NOT late")
-    return rows.groupBy(F.col("window_ms").alias("minute_ms"), "source").agg(F.sum("n").alias("n"))
+def read_minute_volume(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    return _read_windows(spark, path, checkpoint, ["source"]).withColumnRenamed("window_ms", "minute_ms")
 
 
 def dropped_late(query: StreamingQuery) -> int:
@@ -121,15 +155,14 @@ def stream_dedup(
 
 def stream_failed_auth_burst(
     events: DataFrame, path: str, checkpoint: str, width: str = "10 minutes", late: str = "10 minutes"
-) -> StreamingQuery:
+) -> WindowRun:
     """Failed logins per source and window. The threshold is applied when the table is read."""
     failed = events.filter((F.col("class_uid") == 3002) & (F.col("status_id") == 2))
     return _count_windows(failed, ["src_ip"], path, checkpoint, width, late)
 
 
-def read_failed_auth_burst(spark: SparkSession, path: str, threshold: int = 5) -> DataFrame:
-    rows = spark.read.parquet(path).filter("NOT late")
-    found = rows.groupBy("window_ms", "src_ip").agg(F.sum("n").alias("fails"))
+def read_failed_auth_burst(spark: SparkSession, path: str, checkpoint: str, threshold: int = 5) -> DataFrame:
+    found = _read_windows(spark, path, checkpoint, ["src_ip"]).withColumnRenamed("n", "fails")
     return found.filter(F.col("fails") >= threshold)
 
 

@@ -328,6 +328,18 @@ def test_cidr_join_against_brute_force(make):
     assert got == want
 
 
+def test_cidr_join_looks_up_only_the_lengths_in_use(spark, make):
+    df = make("ip_num bigint", [(i,) for i in range(1000)])
+    rows = co.network_counts(df, [0, 24]).orderBy("prefix_length", "network").collect()
+    assert [tuple(r) for r in rows] == [(0, 0, 1000, 1000)] + [(24, 256 * k, min(256, 1000 - 256 * k), min(256, 1000 - 256 * k)) for k in range(4)]
+    joined = co.cidr_join(df, make("cidr string", [("0.0.0.0/0",), ("0.0.1.0/24",), ("0.0.2.0/24",)]))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("prefix_length, 0") == 1 and plan.count("prefix_length, 24") == 1 and "prefix_length, 16" not in plan
+    assert {r["cidr"]: r["n_ips"] for r in joined.collect()} == {"0.0.0.0/0": 1000, "0.0.1.0/24": 256, "0.0.2.0/24": 256}
+    assert [tuple(r) for r in co.cidr_join(df, make("cidr string", [("x",)])).collect()] == [("x", "unparsable", None, None)]
+    assert co.cidr_join(df, make("cidr string", [])).collect() == []
+
+
 # -- inventories
 
 INVENTORY = "tool string, raw_id string, last_seen timestamp"

@@ -29,7 +29,7 @@ def test_late_rows_come_in_many_files_and_two_batches(spark, tmp_path, monkeypat
     monkeypatch.setattr(streams, "materialise", lambda df, label: df.repartition(3))
     streams._stream_late_rows(spark, SMALL).collect()
     assert len(list(Path(made["late-source"]).glob("part-*"))) > 2
-    assert sorted(p.name for p in Path(made["late-volume"]).glob("batch_id=*")) == ["batch_id=0", "batch_id=1"]
+    assert sorted(p.name for p in Path(made["late-volume"], "arrived").glob("batch_id=*")) == ["batch_id=0", "batch_id=1"]
 
 
 def test_rotated_log_is_many_files_with_their_own_headers(spark):

@@ -52,9 +52,9 @@ def test_minute_volume_over_several_batches(spark, feed, tmp_path):
     first = [("2026-03-01 00:00:01Z", "a")] * 2 + [("2026-03-01 00:00:59Z", "b")]
     second = [("2026-03-01 00:00:30Z", "a"), ("2026-03-01 00:01:00Z", "a")]
     stream = feed("ts string, source string", [first, second])
-    path = str(tmp_path / "out")
-    st.stream_minute_volume(stream, path, str(tmp_path / "mark")).awaitTermination()
-    got = {(r["minute_ms"] % 3_600_000, r["source"]): r["n"] for r in st.read_minute_volume(spark, path).collect()}
+    path, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    st.stream_minute_volume(stream, path, mark).awaitTermination()
+    got = {(r["minute_ms"] % 3_600_000, r["source"]): r["n"] for r in st.read_minute_volume(spark, path, mark).collect()}
     assert got == {(0, "a"): 3, (0, "b"): 1, (60_000, "a"): 1}
 
 
@@ -63,11 +63,42 @@ def test_every_row_is_counted_or_reported_late(spark, feed, tmp_path):
     second = [("2026-03-01 00:00:30Z", "a"), ("2026-03-01 00:58:00Z", "a")]
     third = [("2026-03-01 00:00:40Z", "b"), ("2026-03-01 02:00:00Z", "b"), ("2026-03-01 00:00:41Z", "a")]
     stream = feed("ts string, source string", [first, second, third])
-    path = str(tmp_path / "out")
-    st.stream_minute_volume(stream, path, str(tmp_path / "mark")).awaitTermination()
-    counted = {r["source"]: r["n"] for r in st.read_minute_volume(spark, path).groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    late = {r["source"]: r["n_late"] for r in st.read_late_rows(spark, path, ["source"]).collect()}
-    assert counted == {"a": 3, "b": 2} and late == {"a": 2, "b": 1}
+    path, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    st.stream_minute_volume(stream, path, mark).awaitTermination()
+    counted = {r["source"]: r["n"] for r in st.read_minute_volume(spark, path, mark).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    late = {r["source"]: r["n_late"] for r in st.read_late_rows(spark, path, mark, ["source"]).collect()}
+    # the second batch still finds its window in the state, which closes at that batch's end
+    assert counted == {"a": 4, "b": 2} and late == {"a": 1, "b": 1}
+
+
+def test_windows_close_once_and_restart_from_the_state(spark, tmp_path):
+    feed, path, mark = str(tmp_path / "feed"), str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def arrive(*rows):
+        df = spark.createDataFrame(list(rows), "ts string, source string").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema("ts timestamp, source string").parquet(feed)
+        st.stream_minute_volume(stream, path, mark).awaitTermination()
+        return {(r["minute_ms"] // 60_000 % 1440, r["source"]): r["n"] for r in st.read_minute_volume(spark, path, mark).collect()}
+
+    def minutes(df):
+        return sorted(r["window_ms"] // 60_000 % 1440 for r in df.collect())
+
+    assert arrive(("2026-03-01 00:00:01Z", "a"), ("2026-03-01 00:03:01Z", "a"), (None, "a")) == {(0, "a"): 1, (3, "a"): 1}
+    assert minutes(st.open_windows(spark, mark, ["source"])) == [0, 3]
+    # a second run goes on with the windows that the first has left open
+    assert arrive(("2026-03-01 00:00:31Z", "a"), ("2026-03-01 00:07:00Z", "b")) == {(0, "a"): 2, (3, "a"): 1, (7, "b"): 1}
+    assert minutes(st.open_windows(spark, mark, ["source"])) == [3, 7]
+    assert minutes(spark.read.parquet(f"{path}/closed")) == [0]
+    # the state holds no more than the watermark leaves open, and a late row changes no count
+    after = arrive(("2026-03-01 02:00:00Z", "c"), ("2026-03-01 00:00:59Z", "a"), ("2026-03-01 00:03:59Z", "a"))
+    assert after == {(0, "a"): 2, (3, "a"): 2, (7, "b"): 1, (120, "c"): 1}
+    assert minutes(st.open_windows(spark, mark, ["source"])) == [120]
+    assert minutes(spark.read.parquet(f"{path}/closed")) == [0, 3, 7]
+    assert [tuple(r) for r in st.read_late_rows(spark, path, mark, ["source"]).collect()] == [("a", 1)]
+    # what a batch wrote before it failed is not counted twice
+    spark.createDataFrame([(0, "z", 5)], "window_ms bigint, source string, n bigint").write.parquet(f"{path}/closed/batch_id=999")
+    assert "z" not in {r["source"] for r in st.read_minute_volume(spark, path, mark).collect()}
 
 
 def test_dedup_reports_what_came_too_late(spark, feed, tmp_path):
@@ -97,9 +128,9 @@ def test_failed_login_burst(spark, feed, tmp_path):
         "ts string, class_uid int, status_id int, src_ip string",
         [tries("x", 3) + tries("y", 4) + tries("z", 9, status=1), tries("x", 2)],
     )
-    path = str(tmp_path / "out")
-    st.stream_failed_auth_burst(stream, path, str(tmp_path / "mark")).awaitTermination()
-    got = [(r["src_ip"], r["fails"]) for r in st.read_failed_auth_burst(spark, path).collect()]
+    path, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    st.stream_failed_auth_burst(stream, path, mark).awaitTermination()
+    got = [(r["src_ip"], r["fails"]) for r in st.read_failed_auth_burst(spark, path, mark).collect()]
     assert got == [("x", 5)]
 
 
