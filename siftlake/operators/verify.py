@@ -61,15 +61,28 @@ def content_hash(df: DataFrame, portable: bool = False) -> DataFrame:
     The default sums xxhash64 per row. ``portable`` uses MD5 over the text of the row instead, which
     other engines can compute too; columns must then be text, integers or booleans.
     """
+    hashed = df.select(row_hash(df, portable).alias("h"))
+    return hashed.agg(F.count(F.lit(1)).alias("n_rows"), _hash_sum(F.col("h")).alias("content_hash"))
+
+
+def row_hash(df: DataFrame, portable: bool = False) -> Column:
+    """The hash of a whole row that content_hash adds up."""
     columns = _canonical(df)
     if portable:
         text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("∅")) for c in columns])
-        row_hash = _text_hash(text)
-    else:
-        # a NULL leaves xxhash64 unchanged, so each column's NULL flag is hashed with it
-        row_hash = F.xxhash64(*columns, *[c.isNull() for c in columns])
-    hashed = df.select(row_hash.alias("h"))
-    return hashed.agg(F.count(F.lit(1)).alias("n_rows"), _hash_sum(F.col("h")).alias("content_hash"))
+        return _text_hash(text)
+    # a NULL leaves xxhash64 unchanged, so each column's NULL flag is hashed with it
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
+def file_hashes(df: DataFrame, *leave_out: str) -> DataFrame:
+    """content_hash and n_rows of every file of a scan, by name, without the named columns.
+
+    The hashes of the files of a table add up to the table's.
+    """
+    meta = F.col("_metadata")
+    hashed = df.select(meta["file_name"].alias("file_name"), meta["file_size"].alias("n_bytes"), row_hash(df.drop(*leave_out)).alias("h"))
+    return hashed.groupBy("file_name", "n_bytes").agg(F.count(F.lit(1)).alias("n_rows"), _hash_sum(F.col("h")).alias("content_hash"))
 
 
 def workload_answers(df: DataFrame, path_name: str, port: int = 3389) -> DataFrame:

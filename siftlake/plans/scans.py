@@ -248,9 +248,10 @@ def _commit_chain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _compact_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _committed(spark, sf_dir, "small-commits", n_commits=6)
-    packed, same = sk.compact_commits(spark, path, scratch_path(spark, "packed"), files=2, sort_by=["time"])
-    n_before = fl.list_table_files(spark, f"{path}/data").count()
-    fewer = fl.files_of(packed).count() <= n_before
+    n_before = sk.live_files(spark, path).count()
+    same = sk.compact_commits(spark, path, sort_by=["time"])
+    fewer = sk.live_files(spark, path).count() < n_before
+    packed = sk.read_commits(spark, path)
     return packed.groupBy("class_uid").agg(
         F.count(F.lit(1)).alias("n"), F.lit(same).alias("same_content"), F.lit(fewer).alias("fewer_files")
     )

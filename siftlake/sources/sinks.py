@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COMMIT_LOG_SCHEMA = "commit_id bigint, parent_id bigint, committed_ms bigint, added_records bigint, content_hash string"
+from siftlake.sources import store
+
+_FILES = "files array<struct<file_name: string, n_bytes: bigint, n_rows: bigint, content_hash: string>>"
+COMMIT_LOG_SCHEMA = (
+    f"commit_id bigint, parent_id bigint, committed_ms bigint, added_records bigint, content_hash string, {_FILES}"
+)
+PACK_SCHEMA = f"replaced array<string>, {_FILES}"
+#: Files below it are packed.
+TARGET_FILE_BYTES = 128 * 1024 * 1024
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -25,42 +35,116 @@ def land_replace(df: DataFrame, path: str, partition_by: Sequence[str] = ("class
     return df.sparkSession.read.parquet(path)
 
 
+class CommitConflict(RuntimeError):
+    """Another writer has made the commit, with other content."""
+
+
+def _entry_file(path: str, folder: str, number: int) -> str:
+    return f"{path}/{folder}/{number:020d}.json"
+
+
+def _stage(df: DataFrame, path: str) -> tuple[str, list[dict]]:
+    """Write a batch where no reader looks; its files with their sizes, row counts and content hashes."""
+    from siftlake.operators.verify import file_hashes
+
+    staged = f"{path}/staging/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(staged)
+    # a row per file of the batch
+    found = file_hashes(df.sparkSession.read.schema(df.schema).parquet(staged)).collect()
+    return staged, [r.asDict() for r in found]
+
+
+def _log_commit(
+    spark: SparkSession, path: str, staged: str, files: list[dict], commit_id: int, committed_ms: int, parent_id: int | None
+) -> tuple[bool, str]:
+    """Move staged files to the commit's folder and put its log entry if there is none; where the files are then."""
+    folder = f"data/commit_id={commit_id}"
+    for f in files:
+        store.move(spark, f"{staged}/{f['file_name']}", f"{path}/{folder}/{f['file_name']}")
+    entry = {
+        "commit_id": commit_id,
+        "parent_id": parent_id,
+        "committed_ms": committed_ms,
+        "added_records": sum(f["n_rows"] for f in files),
+        "content_hash": str(sum(int(f["content_hash"]) for f in files)),
+        "files": [{**f, "file_name": f"{folder}/{f['file_name']}"} for f in files],
+    }
+    return store.put_if_absent(spark, _entry_file(path, "log", commit_id), json.dumps(entry)), f"{path}/{folder}"
+
+
 def land_append_commit(df: DataFrame, path: str, commit_id: int, committed_ms: int, parent_id: int | None) -> DataFrame:
-    """Append one batch as one commit folder and one commit-log row; returns the log row.
+    """Append one batch as the commit of that id; returns its log row.
 
-    The folder of a commit is overwritten as a whole, so a retried batch lands once.
+    The log entry is put only if there is none and names the files of the commit, so readers see all of it or nothing.
+    A retried batch finds its own entry and lands once; other content under an id that is taken raises CommitConflict
+    and changes nothing that readers see.
     """
-    from siftlake.operators.verify import content_hash
+    spark = df.sparkSession
+    staged, files = _stage(df, path)
+    done, _ = _log_commit(spark, path, staged, files, commit_id, committed_ms, parent_id)
+    row = read_commit_log(spark, path).filter(F.col("commit_id") == commit_id)
+    if not done:
+        mine = (sum(f["n_rows"] for f in files), str(sum(int(f["content_hash"]) for f in files)))
+        if tuple(row.select("added_records", "content_hash").first()) != mine:
+            raise CommitConflict(f"commit {commit_id} of {path} holds another batch")
+    return row
+
+
+def append_commit(df: DataFrame, path: str, committed_ms: int, tries: int = 20) -> int:
+    """Append one batch as the next commit, whatever it is by then; returns its id.
 
-    folder = f"{path}/data/commit_id={commit_id}"
-    df.write.mode("overwrite").parquet(folder)
+    Optimistic: the batch is written first, then its entry is tried under the id after the last one, with that one as
+    parent. If another writer was faster, the files move on to the next id; they are not written again.
+    """
     spark = df.sparkSession
-    landed = spark.read.schema(df.schema).parquet(folder)
-    entry = content_hash(landed).select(
-        F.lit(commit_id).cast("bigint").alias("commit_id"),
-        F.lit(parent_id).cast("bigint").alias("parent_id"),
-        F.lit(committed_ms).cast("bigint").alias("committed_ms"),
-        F.col("n_rows").alias("added_records"),
-        "content_hash",
-    )
-    entry.coalesce(1).write.mode("overwrite").parquet(f"{path}/log/seq={commit_id}")
-    return read_commit_log(spark, path).filter(F.col("commit_id") == commit_id)
+    staged, files = _stage(df, path)
+    for _ in range(tries):
+        taken = store.entry_numbers(spark, f"{path}/log")
+        last = max(taken, default=None)
+        commit_id = 0 if last is None else last + 1
+        done, staged = _log_commit(spark, path, staged, files, commit_id, committed_ms, last)
+        if done:
+            return commit_id
+    raise CommitConflict(f"{path}: {tries} ids in a row were taken by others")
 
 
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COMMIT_LOG_SCHEMA).parquet(f"{path}/log").select(
+    return spark.read.schema(COMMIT_LOG_SCHEMA).json(f"{path}/log").select(
         "commit_id", "parent_id", "committed_ms", "added_records", "content_hash"
     )
 
 
+def live_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files that make up the table: what commits and packs have added, without what packs have replaced."""
+    added = spark.read.schema(COMMIT_LOG_SCHEMA).json(f"{path}/log").select(F.inline("files"))
+    if store.entry_numbers(spark, f"{path}/packs"):
+        packs = spark.read.schema(PACK_SCHEMA).json(f"{path}/packs")
+        replaced = packs.select(F.explode("replaced").alias("file_name"))
+        added = added.unionByName(packs.select(F.inline("files"))).join(replaced, "file_name", "left_anti")
+    return added.select("file_name", "n_bytes", "n_rows", "content_hash")
+
+
+def _read_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The rows of the named files of a table, with ``commit_id``: a folder of data/, a column of packed/."""
+    kinds = [[f"{path}/{n}" for n in names if n.startswith(k)] for k in ("data/", "packed/")]
+    found = None
+    for folder, own in zip(("data", "packed"), kinds, strict=True):
+        if own:
+            rows = spark.read.option("basePath", f"{path}/{folder}").parquet(*own)
+            rows = rows.withColumn("commit_id", F.col("commit_id").cast("int"))
+            found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        raise ValueError(f"{path} has no committed rows")
+    return found
+
+
 def read_commits(spark: SparkSession, path: str) -> DataFrame:
-    """All committed rows, with their ``commit_id`` as a partition column.
+    """All committed rows, with their ``commit_id``.
 
-    Only commits with a log row are read: a batch whose writer died before the log was written stays
-    invisible. The log is the small side, and its ids prune the partitions.
+    Only files that the log names are opened: a batch whose writer died before its entry was put, or came second, stays
+    invisible, and a packed file is seen from the moment on at which those it replaces are not.
     """
-    committed = read_commit_log(spark, path).select("commit_id")
-    return spark.read.parquet(f"{path}/data").join(committed, "commit_id", "left_semi")
+    return _read_files(spark, path, [r["file_name"] for r in live_files(spark, path).select("file_name").collect()])
 
 
 def read_as_of(table: DataFrame, commit_id: int, commit_column: str = "commit_id") -> DataFrame:
@@ -69,23 +153,39 @@ def read_as_of(table: DataFrame, commit_id: int, commit_column: str = "commit_id
 
 
 def compact_commits(
-    spark: SparkSession, path: str, target: str, files: int, sort_by: Sequence[str] = ()
-) -> tuple[DataFrame, bool]:
-    """Rewrite many small commits into ``files`` files in a new folder.
-
-    Returns the new table and whether its content hash equals the old one; the caller switches over
-    only on True. The old folder is left as it is.
+    spark: SparkSession, path: str, target_bytes: int = TARGET_FILE_BYTES, sort_by: Sequence[str] = ()
+) -> bool:
+    """Pack the files below the target size into files of about that size; whether the content is as before.
+
+    Larger files are neither read nor renamed. One log entry replaces the small files by the packed ones, so readers see
+    the ones or the others. It is put only if the rows of every commit are as many as before and the hashes of the
+    packed files add up to those that the log keeps for the small ones, which are not hashed again. Replaced files stay
+    in the store for readers that are under way. Where another pack came first, CommitConflict is raised.
     """
-    from siftlake.operators.verify import content_hash
-
-    old = read_commits(spark, path)
-    packed = old.repartition(files)
-    if sort_by:
-        packed = old.repartitionByRange(files, *sort_by).sortWithinPartitions(*sort_by)
-    packed.write.mode("errorifexists").parquet(target)
-    new = spark.read.schema(old.schema).parquet(target)
-    before, after = content_hash(old).first(), content_hash(new).first()
-    return new, before == after
+    from siftlake.operators.verify import file_hashes
+
+    number = max(store.entry_numbers(spark, f"{path}/packs"), default=-1) + 1
+    small = [r for r in live_files(spark, path).collect() if r["n_bytes"] < target_bytes]
+    if len(small) < 2:
+        return True
+    old = _read_files(spark, path, [r["file_name"] for r in small])
+    files = max(1, -(-sum(r["n_bytes"] for r in small) // target_bytes))
+    packed = old.repartitionByRange(files, *sort_by).sortWithinPartitions(*sort_by) if sort_by else old.repartition(files)
+    folder = f"packed/{uuid.uuid4().hex}"
+    packed.write.mode("errorifexists").parquet(f"{path}/{folder}")
+    new = spark.read.schema(old.schema).parquet(f"{path}/{folder}")
+    added = [r.asDict() for r in file_hashes(new, "commit_id").collect()]
+    by_commit = [df.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n")).collect() for df in (old, new)]
+    total = lambda rows: sum(int(r["content_hash"]) for r in rows)
+    if total(small) != total(added) or sorted(by_commit[0]) != sorted(by_commit[1]):
+        return False
+    entry = {
+        "replaced": [r["file_name"] for r in small],
+        "files": [{**f, "file_name": f"{folder}/{f['file_name']}"} for f in added],
+    }
+    if not store.put_if_absent(spark, _entry_file(path, "packs", number), json.dumps(entry)):
+        raise CommitConflict(f"{path}: pack {number} was made by another writer")
+    return True
 
 
 def cluster_layout(df: DataFrame, path: str, sort_by: Sequence[str], files: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -252,11 +253,75 @@ def test_uncommitted_data_is_invisible(spark, tmp_path):
     assert sk.read_commits(spark, path).count() == 300
 
 
-def test_compaction_keeps_the_content(spark, tmp_path):
+def test_compaction_packs_small_files_only(spark, tmp_path):
     path = str(tmp_path / "c")
+    large = spark.range(1000, 60_000).select((F.rand(1) * 1e15).cast("long").alias("id"), F.lit(4001).alias("class_uid"))
     commit_three(spark, path)
-    packed, same = sk.compact_commits(spark, path, str(tmp_path / "packed"), files=1, sort_by=["id"])
-    assert same and packed.count() == 300 and fl.files_of(packed).count() == 1
+    sk.land_append_commit(large.coalesce(1), path, 3, 1003, 2)
+    before = sk.live_files(spark, path).collect()
+    kept = [r["file_name"] for r in before if r["n_bytes"] >= 50_000]
+    assert len(kept) == 1 and len(before) > 6
+    under_way, content = sk.read_commits(spark, path), vf.content_hash(sk.read_commits(spark, path)).first()
+    assert sk.compact_commits(spark, path, 50_000, ["id"])
+    after = sk.live_files(spark, path).collect()
+    assert len(after) == 2 and set(kept) < {r["file_name"] for r in after}
+    assert sum(int(r["content_hash"]) for r in after) == sum(int(r["content_hash"]) for r in before)
+    packed = sk.read_commits(spark, path)
+    assert vf.content_hash(packed).first() == content == vf.content_hash(under_way).first()
+    assert [sk.read_as_of(packed, i).count() for i in range(4)] == [100, 200, 300, 59_300]
+    assert sk.read_commit_log(spark, path).count() == 4
+    # a small commit on top is packed with the packed file; a pack of one file is no pack
+    sk.append_commit(spark.range(5).withColumn("class_uid", F.lit(1)), path, 2000)
+    assert sk.compact_commits(spark, path, 50_000) and sk.live_files(spark, path).count() == 2
+    assert sk.compact_commits(spark, path, 50_000) and len(sk.store.entry_numbers(spark, f"{path}/packs")) == 2
+    assert sk.read_commits(spark, path).count() == 59_305
+
+
+def test_a_pack_that_fails_its_check_or_comes_second_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "c")
+    commit_three(spark, path)
+    before = {r["file_name"] for r in sk.live_files(spark, path).collect()}
+    monkeypatch.setattr(sk.store, "put_if_absent", lambda *a: False)
+    with pytest.raises(sk.CommitConflict):
+        sk.compact_commits(spark, path)
+    monkeypatch.undo()
+    real = vf.file_hashes
+    monkeypatch.setattr(vf, "file_hashes", lambda df, *out: real(df, *out).withColumn("content_hash", F.lit("1")))
+    assert not sk.compact_commits(spark, path)
+    assert {r["file_name"] for r in sk.live_files(spark, path).collect()} == before
+
+
+def test_two_writers_of_one_id_conflict_and_the_first_stays(spark, tmp_path):
+    path = str(tmp_path / "c")
+    first, other = spark.range(10), spark.range(20)
+    sk.land_append_commit(first, path, 0, 1, None)
+    with pytest.raises(sk.CommitConflict):
+        sk.land_append_commit(other, path, 0, 2, None)
+    assert sk.read_commits(spark, path).count() == 10
+    assert tuple(sk.land_append_commit(first, path, 0, 3, None).first())[2:4] == (1, 10)
+
+
+def test_writers_at_the_same_time_lose_no_row(spark, tmp_path):
+    path, n = str(tmp_path / "c"), 6
+
+    def write(i):
+        return sk.append_commit(spark.range(i * 100, i * 100 + 10 + i).coalesce(1), path, 1000 + i)
+
+    with ThreadPoolExecutor(n) as pool:
+        ids = list(pool.map(write, range(n)))
+    assert sorted(ids) == list(range(n))
+    table = sk.read_commits(spark, path)
+    assert sorted(r["id"] for r in table.collect()) == [x for i in range(n) for x in range(i * 100, i * 100 + 10 + i)]
+    audited = vf.commit_chain_audit(sk.read_commit_log(spark, path)).collect()
+    assert len(audited) == n and all(r["chain_ok"] for r in audited)
+
+
+def test_put_if_absent_is_taken_once(spark, tmp_path):
+    path = str(tmp_path / "log" / "x.json")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: sk.store.put_if_absent(spark, path, f"writer {i}"), range(24)))
+    assert won.count(True) == 1 and (tmp_path / "log" / "x.json").read_text() == f"writer {won.index(True)}"
+    assert [p.name for p in (tmp_path / "log").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
 
 
 # -- equality and certificates
