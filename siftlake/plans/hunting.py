@@ -14,6 +14,7 @@ from siftlake.operators import inventory as iv
 from siftlake.operators import pivot as pv
 from siftlake.operators import predicates as pr
 from siftlake.operators import profile as pf
+from siftlake.operators import rules as ru
 from siftlake.plans import tables as t
 from siftlake.plans.catalog import query
 from siftlake.plans.tables import sql
@@ -69,6 +70,54 @@ def _sigma_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.sigma_predicate(t.events(spark, sf_dir), rules)
 
 
+_RULE_TREES = (
+    ("and", "a", "b"), ("and", "a", ("not", "b")), ("of", 2, "a", "b", "c"), ("or", "c", ("not", ("or", "a", "b"))),
+)
+
+
+def _rule_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A rule per part, its tests and its condition."""
+    k = F.col("p_partkey")
+    ports = [F.element_at(F.array(*[F.lit(str(p)) for p in t.PORTS]), ((k + shift) % 8 + 1).cast("int")) for shift in (0, 3)]
+    dotted = lambda c: F.concat(F.lit("."), c.cast("string"))
+    test = lambda s, field, modifier, value: F.struct(
+        F.lit(s).alias("selection"), F.lit(field).alias("field"), F.lit(modifier).alias("modifier"),
+        F.lit(False).alias("all_of"), value.alias("value"),
+    )
+    every = F.array(
+        test("a", "src_ip", "endswith", dotted(k % 250)), *[test("a", "dst_port", "", p) for p in ports],
+        test("b", "dst_ip", "endswith", dotted(k % 16)), test("b", "src_ip", "endswith", dotted(k % 125)),
+        test("c", "user", "contains", F.concat(F.lit("ER"), (k % 300).cast("string"), F.lit("@"))),
+    )
+    parts = t.read(spark, sf_dir, "part").select(F.concat(F.lit("rule "), k.cast("string")).alias("rule"), "p_partkey")
+    terms = F.lit(None).cast(ru.TERMS)
+    for i, tree in enumerate(_RULE_TREES):
+        own = [
+            F.struct(*[F.array(*map(F.lit, x)).cast("array<string>").alias(n) for n, x in zip(("need", "forbid"), term, strict=True)])
+            for term in ru.terms_of(tree)
+        ]
+        terms = F.when(k % 4 == i, F.array(*own)).otherwise(terms)
+    return parts.select("rule", F.inline(every)), parts.select("rule", F.lit("attack.t1021").alias("tags"), terms.alias("terms"))
+
+
+@query(
+    "sigma_rule_table",
+    sql("ev", """
+, c AS (SELECT src_ip, dst_ip, dst_port, "user" AS u, count(*) AS n FROM ev GROUP BY ALL),
+r AS (SELECT p_partkey AS k, c.n,
+  coalesce(ends_with(src_ip, '.' || (p_partkey % 250)), FALSE) AND coalesce(dst_port IN (
+    [80, 443, 22, 53, 3389, 445, 8080, 3306][p_partkey % 8 + 1], [80, 443, 22, 53, 3389, 445, 8080, 3306][(p_partkey + 3) % 8 + 1]), FALSE) AS a,
+  coalesce(ends_with(dst_ip, '.' || (p_partkey % 16)) AND ends_with(src_ip, '.' || (p_partkey % 125)), FALSE) AS b,
+  coalesce(contains(u, 'er' || (p_partkey % 300) || '@'), FALSE) AS c FROM part, c)
+SELECT 'rule ' || k AS rule, 'attack.t1021' AS tags, TRUE AS compiled, CAST(coalesce(sum(n) FILTER (CASE k % 4
+  WHEN 0 THEN a AND b WHEN 1 THEN a AND NOT b WHEN 2 THEN a::INT + b::INT + c::INT >= 2 ELSE c OR NOT (a OR b) END), 0) AS BIGINT) AS matches
+FROM r GROUP BY k"""),
+)
+def _sigma_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every part, matched against all events at once."""
+    return ru.rule_matches(t.events(spark, sf_dir), *_rule_tables(spark, sf_dir))
+
+
 @query("needle_count", sql("fl", "SELECT count(*) AS n FROM fl WHERE dst_port = 3389"))
 def _needle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.needle_count(t.flows(spark, sf_dir))
