@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.session import fixed_table
+from siftlake.session import fixed_table, materialise
 
 # Artifacts that cannot be the same individual, and the one subclass pair.
 DISJOINT_SET = (
@@ -82,26 +82,53 @@ def ground_path(path: Column) -> Column:
     return F.try_element_at(F.array_compact(F.transform(segments, artifact)), F.lit(-1))
 
 
-def ancestors(spark: SparkSession, subclasses: Sequence[tuple[str, str]] = SUBCLASSES) -> DataFrame:
-    """Reflexive and transitive closure ``(artifact, ancestor)`` by repeated joins.
+Subclasses = Sequence[tuple[str, str]] | DataFrame
 
-    The number of rounds is the number of subclass pairs, the longest chain they can form.
+
+def transitive_closure(pairs: DataFrame, child: str = "artifact", parent: str = "ancestor") -> DataFrame:
+    """Every (child, parent) that a chain of the given pairs leads to, without the rows of a thing and itself that no
+    cycle makes.
+
+    Semi-naive: each round joins only what the last one has found anew with all that is known, so chains double and the
+    rounds are as many as the logarithm of the depth; cycles add nothing new and end. Each round is a written table.
     """
-    names = sorted(set(SEGMENTS.values()) | set(DISJOINT_SET) | {n for pair in subclasses for n in pair})
-    closure = fixed_table(spark, "artifact string, ancestor string", [(n, n) for n in names])
-    if not subclasses:
-        return closure
-    parents = fixed_table(spark, "ancestor string, parent string", list(subclasses))
-    for _ in subclasses:
-        step = closure.join(F.broadcast(parents), "ancestor").select("artifact", F.col("parent").alias("ancestor"))
-        closure = closure.unionByName(step).distinct()
-    return closure
+    edges = pairs.select(F.col(child).alias("child"), F.col(parent).alias("parent")).dropna().distinct()
+    known = fresh = materialise(edges, "closure-round")
+    while not fresh.isEmpty():
+        onward = known.select(F.col("child").alias("parent"), F.col("parent").alias("further"))
+        longer = fresh.join(onward, "parent").select("child", F.col("further").alias("parent")).distinct()
+        fresh = materialise(longer.join(known, ["child", "parent"], "left_anti"), "closure-round")
+        known = known.unionByName(fresh)
+    return known.select(F.col("child").alias(child), F.col("parent").alias(parent))
+
+
+def ancestors(spark: SparkSession, subclasses: Subclasses = SUBCLASSES) -> DataFrame:
+    """Reflexive and transitive closure ``(artifact, ancestor)`` of subclass pairs: the constant ones, which are closed
+    as constants, or a table ``(artifact, ancestor)`` of any size and depth."""
+    names = set(SEGMENTS.values()) | set(DISJOINT_SET)
+    schema = "artifact string, ancestor string"
+    if isinstance(subclasses, DataFrame):
+        each = subclasses.select(F.explode(F.array("artifact", "ancestor")).alias("artifact")).dropna()
+        each = each.unionByName(fixed_table(spark, "artifact string", [(n,) for n in sorted(names)])).distinct()
+        itself = each.select("artifact", F.col("artifact").alias("ancestor"))
+        return transitive_closure(subclasses).unionByName(itself).distinct()
+    found, more = {(n, n) for n in names | {n for pair in subclasses for n in pair}}, set(subclasses)
+    while more - found:
+        found |= more
+        more = {(a, c) for a, b in found for x, c in found if b == x}
+    return fixed_table(spark, schema, sorted(found))
+
+
+def kinds(spark: SparkSession, disjoint: Sequence[str] = DISJOINT_SET, subclasses: Subclasses = SUBCLASSES) -> DataFrame:
+    """``(artifact, kinds)``: which of the pairwise-disjoint types an artifact is; more than one makes it impossible."""
+    own = ancestors(spark, subclasses).filter(F.col("ancestor").isin(*disjoint))
+    return own.groupBy("artifact").agg(F.sort_array(F.collect_set("ancestor")).alias("kinds"))
 
 
 def disjoint_pairs(
     spark: SparkSession,
     disjoint: Sequence[str] = DISJOINT_SET,
-    subclasses: Sequence[tuple[str, str]] = SUBCLASSES,
+    subclasses: Subclasses = SUBCLASSES,
 ) -> DataFrame:
     """Type pairs that cannot describe one thing. A constant table of at most a few hundred rows."""
     pairs = [p for a, b in combinations(disjoint, 2) for p in ((a, b), (b, a))]
@@ -115,18 +142,18 @@ def disjoint_pairs(
 def disjointness_selfcheck(
     spark: SparkSession,
     disjoint: Sequence[str] = DISJOINT_SET,
-    subclasses: Sequence[tuple[str, str]] = SUBCLASSES,
+    subclasses: Subclasses = SUBCLASSES,
 ) -> DataFrame:
     """Artifacts that would have two disjoint ancestors. Must be empty."""
-    return disjoint_pairs(spark, disjoint, subclasses).filter(F.col("source_type") == F.col("target_type")).select(
-        F.col("source_type").alias("artifact")
-    )
+    return kinds(spark, disjoint, subclasses).filter(F.size("kinds") > 1).select("artifact")
 
 
-def mapping_type_lint(mappings: DataFrame, with_layer: bool = True) -> DataFrame:
+def mapping_type_lint(mappings: DataFrame, with_layer: bool = True, subclasses: Subclasses = SUBCLASSES) -> DataFrame:
     """Adds ``source_type``, ``target_type`` and ``status``: ok, crossing or untestable.
 
-    Give it distinct mappings (a count column may ride along): typing is per row. ``with_layer=False`` leaves the disjointness out, as a contrast: then nothing is ever flagged.
+    A mapping crosses if its two types together are of more than one of the disjoint kinds, each of at least one. Give
+    it distinct mappings (a count column may ride along): typing is per row. ``with_layer=False`` leaves the
+    disjointness out, as a contrast: then nothing is ever flagged.
     """
     typed = mappings.withColumn("source_type", source_field_type(F.col("source_field"))).withColumn(
         "target_type", ground_path(F.col("ocsf_path"))
@@ -134,10 +161,14 @@ def mapping_type_lint(mappings: DataFrame, with_layer: bool = True) -> DataFrame
     untestable = F.col("source_type").isNull() | F.col("target_type").isNull()
     if not with_layer:
         return typed.withColumn("status", F.when(untestable, "untestable").otherwise("ok"))
-    pairs = disjoint_pairs(mappings.sparkSession).withColumn("crosses", F.lit(True))
-    joined = typed.join(F.broadcast(pairs), ["source_type", "target_type"], "left")
-    status = F.when(untestable, "untestable").when(F.col("crosses"), "crossing").otherwise("ok")
-    return joined.withColumn("status", status).select(*mappings.columns, "source_type", "target_type", "status")
+    known = kinds(mappings.sparkSession, subclasses=subclasses)
+    for side in ("source", "target"):
+        own = known.select(F.col("artifact").alias(f"{side}_type"), F.col("kinds").alias(f"{side}_kinds"))
+        typed = typed.join(own, f"{side}_type", "left")
+    # a type of no kind leaves the union null
+    crosses = F.size(F.array_union("source_kinds", "target_kinds")) > 1
+    status = F.when(untestable, "untestable").when(crosses, "crossing").otherwise("ok")
+    return typed.withColumn("status", status).select(*mappings.columns, "source_type", "target_type", "status")
 
 
 def distinct_mappings(mappings: DataFrame) -> DataFrame:

@@ -491,6 +491,28 @@ def _mapping_lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.lint_summary(ml.mapping_type_lint(ml.distinct_mappings(t.mappings(spark, sf_dir))))
 
 
+@query(
+    "subclass_closure",
+    """
+WITH RECURSIVE pairs AS (SELECT p_partkey AS a,
+  CASE WHEN p_partkey % 30 <> 0 THEN p_partkey - 1 WHEN p_partkey % 150 = 0 THEN p_partkey + 29 ELSE p_partkey - 30 END AS b
+  FROM part WHERE p_partkey % 30 <> 0 OR p_partkey % 60 <> 30),
+closed AS (SELECT a, b FROM pairs UNION SELECT c.a, p.b FROM closed c JOIN pairs p ON c.b = p.a)
+SELECT a AS artifact, count(*) AS n_ancestors, CAST(sum(b) AS BIGINT) AS checksum, bool_or(a = b) AS in_cycle FROM closed GROUP BY a""",
+)
+def _subclass_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hierarchy over the parts: chains of 30 that lead on to others, some of which end in a cycle."""
+    k = F.col("p_partkey")
+    parent = F.when(k % 30 != 0, k - 1).when(k % 150 == 0, k + 29).otherwise(k - 30)
+    parts = t.read(spark, sf_dir, "part").filter((k % 30 != 0) | (k % 60 != 30))
+    closed = ml.transitive_closure(parts.select(k.alias("artifact"), parent.alias("ancestor")))
+    return closed.groupBy("artifact").agg(
+        F.count(F.lit(1)).alias("n_ancestors"),
+        F.sum("ancestor").alias("checksum"),
+        F.bool_or(F.col("artifact") == F.col("ancestor")).alias("in_cycle"),
+    )
+
+
 @query(
     "disjointness_selfcheck",
     _lint_sql("""

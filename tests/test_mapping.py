@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from conftest import as_dicts
@@ -400,3 +401,43 @@ def test_selfcheck_catches_a_set_that_breaks_the_ontology(spark):
     broken = ml.disjointness_selfcheck(spark, (*ml.DISJOINT_SET, "Session"))
     assert [r["artifact"] for r in broken.collect()] == ["NetworkSession"]
     assert ml.disjoint_pairs(spark).count() == 56
+
+
+def plain_closure(pairs):
+    found = set(pairs)
+    while True:
+        more = {(a, d) for a, b in found for c, d in pairs if b == c} - found
+        if not more:
+            return found
+        found |= more
+
+
+@pytest.mark.parametrize("kind", ["deep", "cycles", "random", "none"])
+def test_closure_of_a_hierarchy_table(make, kind):
+    rng = random.Random(3)
+    pairs = {
+        "deep": [(f"n{i}", f"n{i + 1}") for i in range(75)] + [(f"n{i}", f"m{i}") for i in range(0, 75, 9)],
+        "cycles": [(f"c{i}", f"c{(i + 1) % 7}") for i in range(7)] + [("x", "c3"), ("y", "y"), ("c5", "z"), ("x", "c3")],
+        "random": [(f"r{rng.randrange(60)}", f"r{rng.randrange(60)}") for _ in range(70)],
+        "none": [],
+    }[kind]
+    closed = ml.transitive_closure(make("artifact string, ancestor string", [*pairs, (None, "a"), ("b", None)]))
+    rows = [tuple(r) for r in closed.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == plain_closure(pairs)
+
+
+def test_closure_doubles_its_chains(make, monkeypatch):
+    rounds = []
+    real = ml.materialise
+    monkeypatch.setattr(ml, "materialise", lambda df, label: rounds.append(label) or real(df, label))
+    closed = ml.transitive_closure(make("artifact int, ancestor int", [(i, i + 1) for i in range(64)]))
+    assert closed.count() == 64 * 65 // 2 and len(rounds) <= 9
+
+
+def test_lint_with_a_hierarchy_table(spark, make):
+    chain = [("UserAccount", "a1")] + [(f"a{i}", f"a{i + 1}") for i in range(1, 25)] + [("a25", "Process"), ("a9", "a2")]
+    table = make("artifact string, ancestor string", chain)
+    assert {r["artifact"] for r in ml.disjointness_selfcheck(spark, subclasses=table).collect()} == {"UserAccount"}
+    mappings = make(MAPPING, [("cmdline", "process.name"), ("user", "process.name"), ("file", "url.path"), ("user", "metadata.x")])
+    linted = ml.mapping_type_lint(mappings, subclasses=table).collect()
+    assert {(r["source_field"], r["status"]) for r in linted} == {("cmdline", "ok"), ("user", "crossing"), ("file", "crossing"), ("user", "untestable")}
