@@ -61,7 +61,7 @@ def correlate_ordered(
 def cidr_table(cidrs: DataFrame, column: str = "cidr") -> DataFrame:
     """CIDR text to (prefix_length, network) columns; the network is NULL for text that does not parse."""
     parts = F.split(F.col(column), "/")
-    length = F.coalesce(parts[1].try_cast("int"), F.lit(32))
+    length = F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(32))
     parsed = cidrs.withColumn("prefix_length", length).withColumn("base", ipv4_to_long(parts[0]))
     shift = F.lit(32) - F.col("prefix_length")
     network = F.call_function("shiftleft", F.call_function("shiftright", F.col("base"), shift), shift)
