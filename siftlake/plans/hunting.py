@@ -14,10 +14,12 @@ from siftlake.operators import inventory as iv
 from siftlake.operators import pivot as pv
 from siftlake.operators import predicates as pr
 from siftlake.operators import profile as pf
+from siftlake.operators import rollups as rl
 from siftlake.operators import rules as ru
 from siftlake.plans import tables as t
 from siftlake.plans.catalog import query
 from siftlake.plans.tables import sql
+from siftlake.session import materialise
 
 
 def _count(name: str = "n") -> Column:
@@ -697,6 +699,40 @@ def _failed_auth_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.groupBy(F.col("user").alias("user_name")).agg(_count("fails"), F.max("time").alias("last_ms"))
 
 
+DAY_MS = 86_400_000
+
+
+@query("rollup_sketch_windows", sql("ev", """
+SELECT time // 86400000 * 86400000 AS window_ms, class_uid, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS total,
+  count(DISTINCT src_ip) AS n_src, TRUE AS distinct_within_5_percent, TRUE AS median_rank_within_2_percent,
+  max(top_n) AS top_port_n
+FROM (SELECT *, time // 86400000 AS day FROM ev) LEFT JOIN (SELECT day, class_uid, max(n) AS top_n FROM (
+  SELECT time // 86400000 AS day, class_uid, dst_port, count(*) AS n FROM ev WHERE dst_port IS NOT NULL GROUP BY 1, 2, 3)
+  GROUP BY 1, 2) p USING (day, class_uid) GROUP BY 1, 2"""))
+def _rollup_sketch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days read from five-minute rows, next to the exact numbers: of the sketches only the stated errors are equalities."""
+    events = t.events(spark, sf_dir)
+    rows = materialise(rl.rollup_rows(events, ["class_uid"], "src_ip", "bytes_out", "dst_port"), "rollups")
+    days = rl.read_windows(rows, ["class_uid"], rl.slot_of(F.col("slot_ms"), DAY_MS))
+    days = materialise(days, "windows")
+    window = rl.slot_of(F.col("time"), DAY_MS).alias("window_ms")
+    medians = days.select("window_ms", "class_uid", "quantile_estimate")
+    exact = events.select(window, "class_uid", "src_ip", "bytes_out").join(medians, ["window_ms", "class_uid"])
+    exact = exact.groupBy("window_ms", "class_uid").agg(
+        F.count_distinct("src_ip").alias("n_src"),
+        F.count("bytes_out").alias("held"),
+        F.count_if(F.col("bytes_out") < F.col("quantile_estimate")).alias("below"),
+        F.count_if(F.col("bytes_out") <= F.col("quantile_estimate")).alias("upto"),
+    )
+    near = (F.col("below") <= 0.52 * F.col("held")) & (F.col("upto") >= 0.48 * F.col("held"))
+    return days.join(exact, ["window_ms", "class_uid"]).select(
+        "window_ms", "class_uid", "n", "total", "n_src",
+        (F.abs(F.col("distinct_estimate") - F.col("n_src")) <= 0.05 * F.col("n_src")).alias("distinct_within_5_percent"),
+        near.alias("median_rank_within_2_percent"),
+        F.get("top", F.lit(0))["count"].alias("top_port_n"),
+    )
+
+
 @query("top_talkers", sql("fl", """
 SELECT src_ip, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, count(*) AS n FROM fl GROUP BY 1 ORDER BY 2 DESC, 1
 LIMIT 10"""))
