@@ -11,6 +11,8 @@ As the model is linear after the mean, a word's share of the scores is a short v
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -225,7 +227,7 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     text_batches(spark)
-    shared, name = spark.sparkContext.broadcast(model), f"{spark.sparkContext.applicationId}-{id(model)}-{model.temperature}"
+    shared, name = spark.sparkContext.broadcast(model), hashlib.sha256(pickle.dumps(model)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _scorers:

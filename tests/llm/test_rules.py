@@ -334,3 +334,12 @@ def test_every_operator_has_a_query():
     names = catalog.queries()
     assert [n for n in range(1, 14) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names
     assert set(catalog.oracle_sql()) <= set(names) and plain_cut
+
+
+def test_two_language_models_in_one_session(spark):
+    """A worker that has one model loaded answers with the other when it is asked with it."""
+    docs = spark.createDataFrame([(1, "aba bab abba"), (2, "xyz zyx yzx")], "doc_id long, text string").coalesce(1)
+    texts = ["aba bab abba"] * 40 + ["xyz zyx yzx"] * 40
+    for labels in (["p"] * 40 + ["q"] * 40, ["q"] * 40 + ["p"] * 40) * 2:
+        got = {r.doc_id: r.lang_pred for r in langid.predict_languages(docs, langid.train(texts, labels)).collect()}
+        assert got == {1: labels[0], 2: labels[-1]}
