@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,6 +58,63 @@ def correlate_ordered(
     return per_source.filter(F.col("rdp") > 0).orderBy(F.desc("fails"), F.asc("src_ip"))
 
 
+def correlate_sequence(
+    events: DataFrame,
+    steps: Sequence[tuple[str, Column]],
+    within_ms: int,
+    key: str = "src_ip",
+    bucket_ms: int = BUCKET_MS,
+) -> DataFrame:
+    """Keys with events of the last step that end a chain of all steps, in order of time, of at most ``within_ms``.
+
+    steps are (name, condition), two or more. Steps at the same millisecond count as in order. Returned per key: the
+    events of each step, ``completed`` (events of the last step that end a chain), ``first_ms`` and ``last_ms`` of them.
+
+    Of all chains that end a step, only the one with the latest start matters, so no pairs are built. A key is cut into
+    buckets of time. A bucket is summed up in a table: how late a chain that ends step j can start within it, and
+    whether it leads from step i on to step j. What enters a bucket follows from the tables before it, one running
+    maximum per step over a row per bucket, so a hot key is never in one task with all its events.
+    """
+    k = len(steps)
+    if k < 2:
+        raise ValueError("a sequence has two steps or more")
+    hit = [F.coalesce(condition, F.lit(False)) for _, condition in steps]
+    ticks = events.select(F.col(key).alias("_key"), "time", *[h.cast("long").alias(f"s{j}") for j, h in enumerate(hit, 1)])
+    ticks = ticks.where(F.col("_key").isNotNull() & F.col("time").isNotNull() & (sum(F.col(f"s{j}") for j in range(1, k + 1)) > 0))
+    ticks = ticks.groupBy("_key", "time").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(1, k + 1)])
+    ticks = ticks.withColumn("bucket", F.floor(F.col("time") / F.lit(bucket_ms)))
+    here = W.partitionBy("_key", "bucket").orderBy("time").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # f{j}: the latest start within the bucket of a chain that ends step j at this tick; r{i}_{j}: the bucket leads here
+    for j in range(1, k + 1):
+        seen = F.col(f"s{j}") > 0
+        start = F.col("time") if j == 1 else F.max(f"f{j - 1}").over(here)
+        ticks = ticks.withColumns({
+            f"f{j}": F.when(seen, start),
+            **{f"r{i}_{j}": seen if i == j - 1 else seen & F.max(f"r{i}_{j - 1}").over(here) for i in range(1, j)},
+        })
+    inner = range(1, k)
+    tables = ticks.groupBy("_key", "bucket").agg(
+        *[F.max(f"f{j}").alias(f"f{j}") for j in inner],
+        *[F.max(f"r{i}_{j}").alias(f"r{i}_{j}") for j in inner for i in range(1, j)],
+    )
+    earlier = W.partitionBy("_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    for j in inner:
+        led = [F.when(F.col(f"r{i}_{j}"), F.col(f"e{i}")) for i in range(1, j)]
+        left = F.greatest(F.col(f"f{j}"), *led) if led else F.col(f"f{j}")
+        tables = tables.withColumn(f"e{j}", F.max(left).over(earlier))
+    entering = tables.select("_key", "bucket", *[f"e{j}" for j in inner])
+    judged = ticks.join(entering, ["_key", "bucket"])
+    latest = F.greatest(F.col(f"f{k}"), *[F.when(F.col(f"r{i}_{k}"), F.col(f"e{i}")) for i in inner])
+    ends = latest >= F.col("time") - F.lit(within_ms)
+    per_key = judged.groupBy(F.col("_key").alias(key)).agg(
+        *[F.sum(f"s{j}").alias(name) for j, (name, _) in enumerate(steps, 1)],
+        F.sum(F.when(ends, F.col(f"s{k}")).otherwise(0)).alias("completed"),
+        F.min(F.when(ends, F.col("time"))).alias("first_ms"),
+        F.max(F.when(ends, F.col("time"))).alias("last_ms"),
+    )
+    return per_key.where(F.col("completed") > 0)
+
+
 def cidr_table(cidrs: DataFrame, column: str = "cidr") -> DataFrame:
     """CIDR text to (prefix_length, network) columns; the network is NULL for text that does not parse."""
     parts = F.split(F.col(column), "/")

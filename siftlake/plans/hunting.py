@@ -555,6 +555,26 @@ def _correlate_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.correlate_ordered(events, events, within_ms=43_200_000)
 
 
+@query(
+    "correlate_sequence",
+    sql("ev", """
+, f AS (SELECT src_ip, time FROM ev WHERE status = 'FAILURE'), c AS (SELECT src_ip, time FROM ev WHERE dst_port = 3389),
+r AS (SELECT src_ip, time, event_id FROM ev WHERE class_uid = 6003),
+done AS (SELECT DISTINCT r.src_ip, r.time, r.event_id FROM r JOIN f ON f.src_ip = r.src_ip
+  AND f.time BETWEEN r.time - 172800000 AND r.time JOIN c ON c.src_ip = r.src_ip AND c.time BETWEEN f.time AND r.time),
+n AS (SELECT src_ip, count(*) FILTER (status = 'FAILURE') AS failed_logins, count(*) FILTER (dst_port = 3389) AS rdp,
+  count(*) FILTER (class_uid = 6003) AS api_calls FROM ev GROUP BY src_ip)
+SELECT src_ip, any_value(failed_logins) AS failed_logins, any_value(rdp) AS rdp, any_value(api_calls) AS api_calls,
+  count(*) AS completed, min(time) AS first_ms, max(time) AS last_ms FROM done JOIN n USING (src_ip) GROUP BY src_ip"""),
+)
+def _correlate_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed login, then remote desktop, then an API call, within two days."""
+    steps = [
+        ("failed_logins", F.col("status") == "FAILURE"), ("rdp", F.col("dst_port") == 3389), ("api_calls", F.col("class_uid") == 6003),
+    ]
+    return co.correlate_sequence(t.events(spark, sf_dir), steps, within_ms=172_800_000)
+
+
 # -- inventories
 
 NOW = "2003-01-01T00:00:00Z"

@@ -16,6 +16,7 @@ from siftlake.session import scratch_path
 from siftlake.sources import files as fl
 from siftlake.sources import readers as rd
 from siftlake.sources import sinks as sk
+from siftlake.sources import skipping as sp
 
 FLOW_SUMMARY = """
 SELECT dst_port, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS bytes_out FROM fl GROUP BY dst_port"""
@@ -366,6 +367,102 @@ def _zorder_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "zorder_quantile_layout",
+    sql("fl", """
+SELECT filter, count(fl.time) AS n, CAST(coalesce(sum(bytes_out), 0) AS BIGINT) AS bytes_out, TRUE AS few_opened
+FROM (VALUES ('source'), ('day'), ('bytes')) AS v(filter) LEFT JOIN fl ON CASE filter WHEN 'source' THEN src_ip = '10.1.0.7'
+  WHEN 'day' THEN time BETWEEN 900000000000 AND 903000000000 ELSE bytes_in > 90000 END GROUP BY filter"""),
+)
+def _zorder_quantile_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows in 64 files by ranks of source, time and bytes: each of the three filters opens less than half of them."""
+    from siftlake.functions import ipv4_to_long
+
+    path, files = scratch_path(spark, "zranks"), 64
+    flows = t.flows(spark, sf_dir).withColumn("src_num", ipv4_to_long(F.col("src_ip")))
+    table = sk.z_layout(flows, path, [F.col("src_num"), F.col("time"), F.col("bytes_in")], bits=6, files=files)
+    source = flows.where("src_ip = '10.1.0.7'").select(F.max("src_num")).first()[0] or 0
+    filters = {
+        "source": (F.col("src_num") == source, sp.overlaps("src_num", source, source)),
+        "day": (F.col("time").between(900_000_000_000, 903_000_000_000), sp.overlaps("time", 900_000_000_000, 903_000_000_000)),
+        "bytes": (F.col("bytes_in") > 90_000, sp.overlaps("bytes_in", 90_001, 1 << 62)),
+    }
+    zones = sp.index_files(spark.read.parquet(path), ["src_num", "time", "bytes_in"])
+    opened = zones.agg(*[F.count_if(zone).alias(name) for name, (_, zone) in filters.items()]).first()
+    every = F.array(*[
+        F.struct(F.lit(name).alias("filter"), rows.alias("holds"), F.lit(2 * opened[name] < files).alias("few_opened"))
+        for name, (rows, _) in filters.items()
+    ])
+    tagged = table.select("bytes_out", F.inline(every))
+    return tagged.groupBy("filter", "few_opened").agg(
+        F.count_if("holds").alias("n"), F.coalesce(F.sum(F.when(F.col("holds"), F.col("bytes_out"))), F.lit(0)).alias("bytes_out")
+    )
+
+
+BLOCK_EVENTS = 500
+
+
+def _indexed_events(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Events as they arrive, in files of one block of numbers each, and their index, built in two goes."""
+    table, index = scratch_path(spark, "unsorted"), scratch_path(spark, "skipping")
+    blocks = t.events(spark, sf_dir).withColumn("block", F.expr(f"event_id div {BLOCK_EVENTS}"))
+    for part in (F.col("block") % 3 != 0, F.col("block") % 3 == 0):
+        blocks.where(part).repartition("block").write.mode("append").partitionBy("block").parquet(table)
+        sp.extend_index(spark, table, index, ["src_ip", "time"])
+    return table, index
+
+
+NEEDLES = ("10.0.0.7", "10.0.1.101", "10.0.9.9", "no address")
+
+
+@query(
+    "needle_skipping",
+    sql("ev", f"""
+SELECT needle, count(event_id) AS n, count(DISTINCT event_id // {BLOCK_EVENTS}) AS files_holding, 0 AS files_missed,
+  TRUE AS few_opened, (SELECT count(DISTINCT event_id // {BLOCK_EVENTS}) FROM ev) AS files
+FROM (VALUES {", ".join(f"('{x}')" for x in NEEDLES)}) AS v(needle) LEFT JOIN ev ON src_ip = needle GROUP BY needle"""),
+)
+def _needle_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in a table that is not sorted by them: the files opened against those that a full scan finds them in."""
+    table, index = _indexed_events(spark, sf_dir)
+    total = fl.list_table_files(spark, table).agg(F.count(F.lit(1)).alias("files"))
+    found = None
+    for needle in NEEDLES:
+        chosen = sp.files_to_open(spark, table, index, sp.holds_any(spark.read.parquet(index), "src_ip", [needle]))
+        n = sp.needle_rows(spark, table, index, "src_ip", [needle]).agg(F.count(F.lit(1)).alias("n"))
+        holding = fl.files_of(spark.read.parquet(table).where(F.col("src_ip") == needle)).select("file_key", F.lit(1).alias("holds"))
+        both = chosen.select("file_key", F.lit(1).alias("opened")).join(holding, "file_key", "full").agg(
+            F.count("opened").alias("opened"), F.count("holds").alias("files_holding"),
+            F.count_if(F.col("opened").isNull()).cast("int").alias("files_missed"),
+        )
+        one = both.withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k").join(total.withColumn("k", F.lit(1)), "k")
+        few = F.col("opened") <= F.col("files_holding") + 1 + F.col("files") / 20
+        one = one.select(F.lit(needle).alias("needle"), "n", "files_holding", "files_missed", few.alias("few_opened"), "files")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+RANGE = (1_704_500_000_000, 1_704_900_000_000)
+
+
+@query(
+    "zone_map_range",
+    sql("ev", f"""
+, b AS (SELECT event_id // {BLOCK_EVENTS} AS block, min(time) AS lo, max(time) AS hi FROM ev GROUP BY 1)
+SELECT (SELECT count(*) FROM ev WHERE time BETWEEN {RANGE[0]} AND {RANGE[1]}) AS n, count(*) AS files,
+  count(*) FILTER (hi >= {RANGE[0]} AND lo <= {RANGE[1]}) AS files_opened FROM b"""),
+)
+def _zone_map_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of time: exactly the files whose own range meets it are opened."""
+    table, index = _indexed_events(spark, sf_dir)
+    chosen = sp.files_to_open(spark, table, index, sp.overlaps("time", *RANGE))
+    rows = sp.read_files(spark, table, chosen).where(F.col("time").between(*RANGE)).agg(F.count(F.lit(1)).alias("n"))
+    total = fl.list_table_files(spark, table).agg(F.count(F.lit(1)).alias("files"))
+    opened = chosen.agg(F.count(F.lit(1)).alias("files_opened"))
+    one = lambda df: df.withColumn("k", F.lit(1))
+    return one(rows).join(one(total), "k").join(one(opened), "k").drop("k")
+
+
 @query("union_sources", sql("oc", """
 SELECT class_uid, count(*) AS n, count(src_ip) AS with_src, count(cmd_line) AS with_cmd FROM oc GROUP BY class_uid"""))
 def _union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,11 +199,50 @@ def cluster_layout(df: DataFrame, path: str, sort_by: Sequence[str], files: int
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def z_order_key(first: Column, second: Column, bits: int = 16) -> Column:
-    """Interleaved low bits of two non-negative integers: one sort key that serves filters on either."""
+def interleave(ranks: Sequence[Column], bits: int) -> Column:
+    """The low bits of non-negative integers, highest first and the first integer before the others: one sort key."""
+    m = len(ranks)
+    if not 0 < m * bits < 64:
+        raise ValueError(f"{m} columns of {bits} bits do not fit a sort key")
     key = F.lit(0).cast("bigint")
     for i in range(bits):
-        a = F.shiftleft(F.shiftright(first, i).bitwiseAND(F.lit(1)).cast("bigint"), 2 * i + 1)
-        b = F.shiftleft(F.shiftright(second, i).bitwiseAND(F.lit(1)).cast("bigint"), 2 * i)
-        key = key.bitwiseOR(a).bitwiseOR(b)
+        for j, rank in enumerate(ranks):
+            bit = F.shiftright(rank, i).bitwiseAND(F.lit(1)).cast("bigint")
+            key = key.bitwiseOR(F.shiftleft(bit, m * i + m - 1 - j))
     return key
+
+
+def z_order_key(first: Column, second: Column, bits: int = 16) -> Column:
+    """Interleaved low bits of two non-negative integers: one sort key that serves filters on either."""
+    return interleave([first, second], bits)
+
+
+def quantile_ranks(df: DataFrame, values: Sequence[Column], bits: int = 8) -> list[Column]:
+    """The rank of each value among 2 ** bits classes that hold about as many rows each; nulls have rank 0.
+
+    The bounds are quantiles of all rows, from one aggregate whose result is 2 ** bits numbers per column. A value that
+    fills several classes is given the last of them, so the ranks of a skewed column spread as those of a uniform one.
+    """
+    classes = 1 << bits
+    shares = [i / classes for i in range(1, classes)]
+    bounds = df.agg(*[F.percentile_approx(v, shares, 100 * classes).alias(f"b{i}") for i, v in enumerate(values)]).first()
+    powers = F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)])
+
+    def rank(value: Column, own: list) -> Column:
+        if own is None:
+            return F.lit(0)
+        literal = F.array(*map(F.lit, own))
+        return F.aggregate(powers, F.lit(0), lambda r, p: F.when(value >= F.get(literal, r + p - 1), r + p).otherwise(r))
+
+    return [rank(v, bounds[f"b{i}"]) for i, v in enumerate(values)]
+
+
+def z_layout(df: DataFrame, path: str, values: Sequence[Column], bits: int = 8, files: int | None = None) -> DataFrame:
+    """Write df sorted by the interleaved ranks of any number of numeric values, so filters on any of them skip files.
+
+    The key is not stored. An empty table is written as one.
+    """
+    keyed = df.withColumn("_z", interleave(quantile_ranks(df, values, bits), bits))
+    ranged = keyed.repartitionByRange(files, "_z") if files else keyed.repartitionByRange("_z")
+    ranged.sortWithinPartitions("_z").drop("_z").write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

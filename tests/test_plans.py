@@ -19,7 +19,8 @@ WRITERS = {
     "read_ndjson", "read_ndjson_tolerant", "read_zeek_tsv", "read_mapping_csv", "write_parquet", "land_replace",
     "land_append_commit", "read_as_of", "compact_commits", "list_table_files", "footprint_by_source", "orphan_files",
     "small_files", "cluster_layout", "zorder_layout", "workload_equality", "answer_equality", "swap_format_equality",
-    "content_hash_fast", "promote_pipeline", "table_audit", "field_diff", "drift_at_risk", "drift_status",
+    "content_hash_fast", "promote_pipeline", "table_audit", "field_diff", "drift_at_risk", "drift_status", "needle_skipping", "zone_map_range",
+    "zorder_quantile_layout",
 }
 LAZY = sorted(set(catalog.QUERIES) - STREAMS - WRITERS)
 
