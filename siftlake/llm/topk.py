@@ -6,6 +6,10 @@ answers a block of queries by best-first traversal: the node with the highest bo
 being the inner product with its best corner, until no bound reaches the query's kth score. Ties go to the smaller id,
 so a box is left only if its bound is below the kth score.
 
+Products are taken in floating point where the largest components prove that every sum stays below 2 ** 53; elsewhere
+bounds get the rounding error added, and scores are sums of Python's integers. Components and scores beyond the range of
+a long are the nearest long, and tie there.
+
 The kth score that a query has already reached is carried along: first each query meets one shard, dealt by a hash,
 which gives a floor under its final kth score; then it meets the others with that floor, and most boxes never open.
 """
@@ -29,6 +33,8 @@ SHARD_ROWS, LEAF_ROWS, PORTION_ROWS, BLOCK_ROWS = 16_384, 256, 8_192, 512
 SCALE = 64
 
 HITS = "query_id long, vec_id long, score long"
+#: The floor of a query that has no kth score yet, and the range of a score.
+NOTHING, MOST = -(1 << 63), (1 << 63) - 1
 _HITS = pa.schema([(x.split()[0], pa.int64()) for x in HITS.split(", ")])
 
 
@@ -36,7 +42,8 @@ class KdTree:
     """Median splits down to leaves of at most leaf_rows vectors; nodes with tight boxes."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf_rows: int) -> None:
-        self.ids, self.vectors = ids, vectors.astype(np.float64)
+        self.ids, self.whole, self.vectors = ids, vectors, vectors.astype(np.float64)
+        self.largest = np.abs(self.vectors).max(initial=0.0)
         order = np.arange(len(ids))
         self.low, self.high, self.children, self.rows = [], [], [], []
         self._grow(order, leaf_rows)
@@ -60,15 +67,16 @@ class KdTree:
         return node
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple]:
-        """(query id, ids, scores) of the k best vectors of each query at or above its floor, its own id left out.
-
-        All numbers are integers below 2**53, so the floating-point products are exact.
-        """
-        queries = queries.astype(np.float64)
-        bounds = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        """(query id, ids, scores) of the k best vectors of each query at or above its floor, its own id left out."""
+        real = queries.astype(np.float64)
+        limit = np.abs(real).max(initial=0.0) * self.largest * max(1, real.shape[1])
+        exact = limit < 2.0**53
+        bounds = np.maximum(real, 0) @ self.high.T + np.minimum(real, 0) @ self.low.T
+        if not exact:
+            bounds = np.maximum(bounds + limit * (real.shape[1] + 4) * 2.0**-52, float(NOTHING))
         for i, query_id in enumerate(query_ids.tolist()):
-            floor, bound = floors[i], bounds[i]
-            best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+            floor, bound = int(floors[i]), bounds[i]
+            best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
             heap = [(-bound[0], 0)]
             while heap:
                 negative, node = heapq.heappop(heap)
@@ -80,7 +88,7 @@ class KdTree:
                             heapq.heappush(heap, (-bound[child], child))
                     continue
                 rows = self.rows[node]
-                scores = self.vectors[rows] @ queries[i]
+                scores = (self.vectors[rows] @ real[i]).astype(np.int64) if exact else self._products(rows, queries[i])
                 good = (scores >= floor) & (self.ids[rows] != query_id)
                 if good.any():
                     best_ids, best = np.append(best_ids, self.ids[rows][good]), np.append(best, scores[good])
@@ -88,10 +96,15 @@ class KdTree:
                         kept = np.lexsort((best_ids, -best))[:k]
                         best_ids, best = best_ids[kept], best[kept]
                     if len(best) == k:
-                        floor = max(floor, best.min())
+                        floor = max(floor, int(best.min()))
             if len(best):
                 yield query_id, best_ids, best
 
+    def _products(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        own = query.tolist()
+        sums = (sum(a * b for a, b in zip(own, x, strict=True)) for x in self.whole[rows].tolist())
+        return np.array([min(max(s, NOTHING), MOST) for s in sums], np.int64)
+
 
 def whole_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component as a double; rows with null or non-finite values left out."""
@@ -137,7 +150,7 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: i
         for begin in range(0, len(ids), BLOCK_ROWS):
             block = slice(begin, begin + BLOCK_ROWS)
             for query_id, found, scores in tree.search(ids[block], asked_for[block], floors[block], k):
-                parts.append((np.full(len(found), query_id), found, scores.astype(np.int64)))
+                parts.append((np.full(len(found), query_id), found, scores))
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
         return pa.Table.from_arrays([pa.array(c) for c in columns], schema=_HITS)
 
@@ -149,11 +162,11 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: i
         right = queries.select("n", "shard", "query_id", "v", "floor", portion).groupBy("n", "shard", "portion")
         return left.cogroup(right).applyInArrow(answer, HITS)
 
-    nothing = F.lit(-float(1 << 60))
+    nothing = F.lit(NOTHING).cast("long")
     at_home = materialise(meet(asked.withColumn("shard", home).withColumn("floor", nothing), 1), "home-hits")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = at_home.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k)
-    kth = kth.select("query_id", F.col("score").cast("double").alias("floor"))
+    kth = kth.select("query_id", F.col("score").alias("floor"))
     others = asked.withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     others = others.withColumn("shard", F.col("shard").cast("long")).where(F.col("shard") != F.col("home"))
     others = others.join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", nothing))

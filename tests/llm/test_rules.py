@@ -243,6 +243,20 @@ def test_top_products_odd_rows(make, monkeypatch):
     assert topk.top_products(topk.whole_vectors(table.limit(0))).collect() == []
 
 
+def test_top_products_beyond_the_exact_floats(make, monkeypatch):
+    """Scores near 2 ** 62 that differ by one or two, ties among them, and those that only a long's end can show."""
+    monkeypatch.setattr(topk, "LEAF_ROWS", 3)
+    big, rng = 1 << 31, np.random.default_rng(5)
+    whole = [(0, [big + 1, 3]), (20, [big, -1])] + [(100 + i, [big + int(rng.integers(0, 3)), int(rng.integers(-4, 5))]) for i in range(21, 60)]
+    rows = [(i, [x / 64 for x in v]) for i, v in whole]
+    for shard_rows in (100, 9):
+        table = make("vec_id long, embedding array<double>", rows)
+        assert rows_of(topk.top_products(topk.whole_vectors(table), k=7, shard_rows=shard_rows)) == plain_top(rows, k=7)
+    huge = make("vec_id long, embedding array<double>", [(0, [1e300, 0.0]), (1, [1e300, 1.0]), (2, [-1e300, 0.0]), (3, [0.0, 1.0])])
+    got = [tuple(r) for r in topk.top_products(topk.whole_vectors(huge)).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 0), (0, 3, 2, -(2**63))]
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = {r.doc_id: r for r in catalog.op10_language_id(spark, SMALL).collect()}
