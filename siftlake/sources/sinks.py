@@ -237,12 +237,72 @@ def quantile_ranks(df: DataFrame, values: Sequence[Column], bits: int = 8) -> li
     return [rank(v, bounds[f"b{i}"]) for i, v in enumerate(values)]
 
 
+#: Bits of the sort key that one pass over the rows resolves when files are dealt out.
+CELL_BITS = 6
+
+
+def z_cells(keyed: DataFrame, column: str, width: int, files: int) -> list[tuple[int, int, int]]:
+    """(lowest key, first file, number of files) of cells of a sort key of that many bits, in ascending order.
+
+    A cell holds all keys with the same highest bits. It is halved, and its files are dealt to the halves by their rows,
+    until it has one file; more than one stays only with a single key. Each pass counts rows of the cells still open, of
+    which there are half as many as files at most; only those counts come to the driver.
+    """
+    closed, open_cells, depth = [], {0: (0, files)}, 0
+    while open_cells and depth < width:
+        step = min(width - depth, max(CELL_BITS, (files - 1).bit_length() - depth))
+        rest = width - depth - step
+        own = keyed.where(F.shiftright(column, rest + step).isin(list(open_cells))) if depth else keyed
+        counted = own.groupBy(F.shiftright(column, rest).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+        levels = [{r["cell"]: r["n"] for r in counted}]
+        for _ in range(step):
+            above: dict[int, int] = {}
+            for cell, n in levels[-1].items():
+                above[cell >> 1] = above.get(cell >> 1, 0) + n
+            levels.append(above)
+        for level in range(step, 0, -1):
+            halves = {}
+            for cell, (first, own_files) in open_cells.items():
+                if own_files == 1:
+                    closed.append((cell << (rest + level), first, 1))
+                    continue
+                n0, n1 = (levels[level - 1].get(2 * cell + i, 0) for i in (0, 1))
+                share = 0 if not n0 else own_files if not n1 else round(own_files * n0 / (n0 + n1))
+                share = min(max(share, n0 > 0), own_files - (n1 > 0))
+                for half, at, count in ((2 * cell, first, share), (2 * cell + 1, first + share, own_files - share)):
+                    if count:
+                        halves[half] = (at, count)
+            open_cells = halves
+        depth += step
+        closed += [(cell << rest, first, 1) for cell, (first, n) in open_cells.items() if n == 1]
+        open_cells = {cell: x for cell, x in open_cells.items() if x[1] > 1}
+    return sorted([*closed, *((cell, *x) for cell, x in open_cells.items())])
+
+
+def _last_at_most(value: Column, bounds: Sequence) -> Column:
+    """The number, from 0, of the last of the ascending bounds that is not above the value; 0 where all are."""
+    literal = F.array(*map(F.lit, bounds))
+    powers = F.array(*[F.lit(1 << b) for b in range(max(1, (len(bounds) - 1).bit_length()) - 1, -1, -1)])
+    return F.aggregate(powers, F.lit(0), lambda r, p: F.when(value >= F.get(literal, r + p), r + p).otherwise(r))
+
+
 def z_layout(df: DataFrame, path: str, values: Sequence[Column], bits: int = 8, files: int | None = None) -> DataFrame:
     """Write df sorted by the interleaved ranks of any number of numeric values, so filters on any of them skip files.
 
-    The key is not stored. An empty table is written as one.
+    With a number of files each holds whole cells of the key (z_cells), so where a file ends follows from the rows and
+    not from a sample of them, and no file lies across two halves of a column that it could be kept out of. Rows of one
+    key that fill several files are spread over them. The key is not stored. An empty table is written as one.
     """
     keyed = df.withColumn("_z", interleave(quantile_ranks(df, values, bits), bits))
-    ranged = keyed.repartitionByRange(files, "_z") if files else keyed.repartitionByRange("_z")
+    if files:
+        lows, firsts, counts = zip(*z_cells(keyed, "_z", len(values) * bits, files), strict=True)
+        cell = _last_at_most(F.col("_z"), lows)
+        file = F.get(F.array(*map(F.lit, firsts)), F.col("_cell"))
+        if max(counts) > 1:
+            spread = F.pmod(F.xxhash64(*df.columns), F.get(F.array(*map(F.lit, counts)), F.col("_cell")))
+            file = file + spread.cast("int")
+        ranged = keyed.withColumn("_cell", cell).repartitionById(files, file).drop("_cell")
+    else:
+        ranged = keyed.repartitionByRange("_z")
     ranged.sortWithinPartitions("_z").drop("_z").write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

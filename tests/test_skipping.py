@@ -103,3 +103,34 @@ def test_ranks_spread_skewed_columns(spark, tmp_path):
     assert empty.count() == 0
     with pytest.raises(ValueError):
         sk.interleave([F.col("even")] * 9, 8)
+
+
+def test_files_hold_whole_cells(spark, tmp_path):
+    """A range within the top quarter of a column opens a quarter of the files, whatever sample a range would be cut by."""
+    from siftlake.sources import sinks as sk
+
+    rows = spark.range(40_000, numPartitions=3).select(*[F.floor(F.rand(i) * 1_000_000).alias(f"c{i}") for i in range(3)])
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows, path = spark.read.parquet(str(tmp_path / "rows")), str(tmp_path / "z")
+    table = sk.z_layout(rows, path, [F.col(c) for c in rows.columns], bits=6, files=64)
+    assert table.count() == 40_000 and table.exceptAll(rows).count() == 0
+    zones = sp.index_files(spark.read.parquet(path), rows.columns).cache()
+    assert zones.count() == 64 and zones.agg(F.max("n_rows")).first()[0] < 1.5 * 40_000 / 64
+    for c in rows.columns:
+        assert zones.where(sp.overlaps(c, 860_000, 1_000_000)).count() <= 20
+
+
+def test_equal_and_nested_keys_fill_the_files(spark, tmp_path):
+    """Few keys over many files, all rows of one key, fewer rows than files, and values that rise together."""
+    from siftlake.sources import sinks as sk
+
+    cases = [(F.col("id") % 3, 16), (F.lit(5).cast("long"), 7), (F.when(F.col("id") > 9, F.col("id")), 100), (F.col("id"), 13)]
+    for i, (value, files) in enumerate(cases):
+        rows = spark.range(3 if files == 100 else 4_000).select("id", value.alias("v"))
+        path = str(tmp_path / str(i))
+        table = sk.z_layout(rows, path, [F.col("v"), F.col("v")], files=files)
+        assert sorted(map(tuple, table.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+        zones = sp.index_files(spark.read.parquet(path), ["v"]).collect()
+        assert len(zones) == files or files == 100
+        if files != 100:
+            assert max(r["n_rows"] for r in zones) <= 2.5 * 4_000 / files
