@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import text_batches
+from siftlake.llm.common import ranges, text_batches
 from siftlake.llm.wordhash import chosen, hash_words, runs_of
 from siftlake.session import materialise
 
@@ -129,28 +129,43 @@ def _earlier(table: pa.Table) -> pa.Table:
 
 
 def _located(hashes: np.ndarray, counts: np.ndarray, confirmed: np.ndarray, window: int, phrase: int) -> np.ndarray:
-    """Marks the words that begin a window with a confirmed phrase, by an automaton over the words' numbers."""
+    """Marks the words that begin a window with a confirmed phrase, by an automaton over the words' numbers.
+
+    The automaton reads the stretches covered by windows that hold a phrase which their own text names: equal windows
+    name equal phrases, so no other window can recur.
+    """
     total = len(hashes)
     marks = np.zeros(total + 1, np.int64)
     runs, named = phrase_marks(hashes, counts, window, phrase)
-    named &= np.isin(runs, confirmed)
     places = np.flatnonzero(named)
+    places = places[np.isin(runs[places], confirmed)]
     if len(places):
-        _, numbers = np.unique(hashes, return_inverse=True)
-        numbers = numbers.ravel()
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        ends = np.cumsum(counts)
+        text = np.searchsorted(ends, places, side="right")
+        first = np.maximum(places - (window - phrase), ends[text] - counts[text])
+        last = np.minimum(places + window, ends[text])
+        fresh = np.append(True, (first[1:] > last[:-1]) | (text[1:] != text[:-1]))
+        first, last = first[fresh], last[np.append(fresh[1:], True)]
+        sizes = last - first
+        read = ranges(first, sizes)
+        _, numbers = np.unique(hashes[read], return_inverse=True)
+        begins = np.cumsum(sizes) - sizes
         _, once = np.unique(runs[places], return_index=True)
-        for place in places[once].tolist():
+        within = np.searchsorted(first, places[once], side="right") - 1
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for place in (begins[within] + places[once] - first[within]).tolist():
             automaton.add_word(tuple(numbers[place : place + phrase].tolist()))
         automaton.make_automaton()
-        begin = 0
-        for count in counts.tolist():
-            if count >= window:
-                ends = [end for end, _ in automaton.iter(tuple(numbers[begin : begin + count].tolist()))]
-                ends = np.array(ends, np.int64)
-                np.add.at(marks, begin + np.maximum(ends - window + 1, 0), 1)
-                np.add.at(marks, begin + np.minimum(ends - phrase + 1, count - window) + 1, -1)
-            begin += count
+        numbers = numbers.tolist()
+        found, of = [], []
+        for stretch, (begin, size) in enumerate(zip(begins.tolist(), sizes.tolist(), strict=True)):
+            before = len(found)
+            found += [end for end, _ in automaton.iter(tuple(numbers[begin : begin + size]))]
+            of.append(len(found) - before)
+        of = np.repeat(np.arange(len(of)), of)
+        ended = first[of] + np.array(found, np.int64)
+        np.add.at(marks, np.maximum(ended - window + 1, first[of]), 1)
+        np.add.at(marks, np.minimum(ended - phrase + 1, last[of] - window) + 1, -1)
     return np.cumsum(marks)[:total] > 0
 
 

@@ -254,3 +254,32 @@ def test_substring_dedup_on_odd_documents(odd_docs, make):
     assert digests(done) == plain_cut([(r.doc_id, r.text) for r in odd_docs.collect()], 20)
     assert done.select("rest.*").columns == [c for c in odd_docs.columns if c not in ("doc_id", "text")]
     assert substring_dedup.repeat_digest(make(DOCS, [])).collect() == []
+
+
+def test_automaton_reads_only_what_may_recur(monkeypatch):
+    """Two texts of 3,000 words share 30; one shares nothing. Windows that recur are marked, and little else is read."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(30)]
+    texts = [[f"w{rng.random()}" for _ in range(3000)] for _ in range(3)]
+    texts[0][1000:1030] = texts[2][2970:] = shared
+    hashes, _, _, counts = substring_dedup.hash_words([" ".join(t).encode() for t in texts])
+    runs, named = substring_dedup.phrase_marks(hashes, counts, 20, 8)
+    every, times = np.unique(runs[named], return_counts=True)
+    read = []
+
+    class Counting:
+        def __init__(self, *kinds):
+            self.real = real(*kinds)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def iter(self, words):
+            read.append(len(words))
+            return self.real.iter(words)
+
+    real = substring_dedup.ahocorasick.Automaton
+    monkeypatch.setattr(substring_dedup.ahocorasick, "Automaton", Counting)
+    marked = np.flatnonzero(substring_dedup._located(hashes, counts, every[times > 1], 20, 8))
+    assert {*range(1000, 1011), *range(8970, 8981)} <= {*marked.tolist()} and len(marked) < 60
+    assert 0 < sum(read) < 150
