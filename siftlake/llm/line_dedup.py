@@ -12,6 +12,11 @@ verified with the diagonals of the band as the bits of a word, one word per erro
 A segment that very many lines of one length share says little. Lines that meet in such a crowded segment must share a
 second one in what is left of them without the first, by the same argument, and only then are they compared.
 
+Lines that meet become a pair only if the counts of a few letters allow it: an edit adds one character at most and
+takes one away at most, so no pair within the bound is lost. Lines that have met are judged by the parities of all
+their characters too, before they are compared. Copies of one text with some words changed share segments with one
+another and mostly differ in these.
+
 Distinct lines are told apart by a 64-bit hash of their text.
 """
 
@@ -28,6 +33,9 @@ BOUNDS = ((24, 1), (96, 2))
 #: Lines with the same segment before a second one is asked for.
 CROWDED = 100
 
+#: Letters that are counted in each line, modulo 32. Any would be right; frequent ones tell more lines apart.
+LETTERS = "eatnio"
+
 Bounds = tuple[tuple[int, int], ...]
 
 
@@ -39,12 +47,17 @@ def _bound(length: Column, bounds: Bounds) -> Column:
 
 
 def places(t: int) -> list[tuple[int, int, int]]:
-    """(difference in length, segment, shift of its place) at which a line may hold a segment of one within t edits."""
+    """(difference in length, segment, shift of its place) at which a line may hold a segment of one within t edits.
+
+    Of two lines of one length with one insertion and one deletion between them, that finds the other which has the
+    added character first. Up to three edits hold no second such pair, so its shifts are never negative.
+    """
     return [
         (d, j, shift)
         for d in range(t + 1)
         for j in range(t + 1)
         for shift in range(max(-j, d - (t - j)), min(j, d + (t - j)) + 1)
+        if d or shift >= 0 or t > 3
     ]
 
 
@@ -65,13 +78,45 @@ def _key(line: Column, length: Column, choice: tuple[int, int, int, int], *salt:
     return F.xxhash64(*salt, length - d, F.lit(j), F.substring(line, (start + shift + 1).cast("int"), size.cast("int")))
 
 
-def line_keys(line: Column, bounds: Bounds) -> list[Column]:
-    """The keys key0, key1, ... of a line by which it is found, or with which it finds others; null where none fits."""
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS is in a line, modulo 32, side by side in an int."""
+    size, packed = F.octet_length(line), F.lit(0)
+    for i, letter in enumerate(LETTERS):
+        count = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(31))
+        packed = packed.bitwiseOR(F.shiftleft(count, 5 * i))
+    return packed
+
+
+def _counts_allow(a: Column, b: Column, t: int) -> Column:
+    """Whether letter_counts a and b fit lines within t edits; t is below 16."""
+    more, fewer = F.lit(0), F.lit(0)
+    for i in range(len(LETTERS)):
+        of = lambda x: F.shiftright(x, 5 * i).bitwiseAND(F.lit(31))  # noqa: B023, E731
+        differ = (of(a) - of(b) + 16).bitwiseAND(F.lit(31)) - 16
+        more, fewer = more + F.greatest(differ, F.lit(0)), fewer + F.greatest(-differ, F.lit(0))
+    return (more <= t) & (fewer <= t)
+
+
+def char_parities(line: Column) -> Column:
+    """Bit i is set if an odd number of the line's characters have code point i modulo 64."""
+    flip = lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63))))
+    return F.aggregate(F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, "")), F.lit(0).cast("long"), flip)
+
+
+def _parities_allow(a: Column, b: Column, t: int) -> Column:
+    """Whether char_parities a and b fit lines within t edits, each of which flips two bits at most."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * t
+
+
+def line_keys(line: Column, bounds: Bounds, letters: Column | None = None) -> list[Column]:
+    """The keys key0, key1, ... of a line by which it is found, or with which it finds others, null where none fits;
+    and letters, its letter_counts, computed here unless given."""
     length = F.length(line)
-    return [
+    keys = [
         F.when(_bound(length - c[1], bounds) == c[0], _key(line, length, c)).alias(f"key{i}")
         for i, c in enumerate(_choices(bounds))
     ]
+    return [*keys, (letter_counts(line) if letters is None else letters).alias("letters")]
 
 
 def _exact(choice: tuple[int, int, int, int]) -> bool:
@@ -80,14 +125,15 @@ def _exact(choice: tuple[int, int, int, int]) -> bool:
 
 
 def _first_keys(keyed: DataFrame, bounds: Bounds, own: bool = False) -> DataFrame:
-    """(h, key, exact, choice), a row for each key of each line, or for those of its own segments."""
+    """(h, letters, key, exact, choice), a row for each key of each line, or for those of its own segments."""
     names = {"key": lambda i, c: F.col(f"key{i}"), "exact": lambda i, c: F.lit(_exact(c)), "choice": lambda i, c: F.lit(i)}
     every = [F.struct(*[f(i, c).alias(n) for n, f in names.items()]) for i, c in enumerate(_choices(bounds)) if _exact(c) or not own]
-    return keyed.select("h", F.explode(F.array(*every)).alias("s")).select("h", "s.*").where("key is not null")
+    rows = keyed.select("h", "letters", F.explode(F.array(*every)).alias("s"))
+    return rows.select("h", "letters", "s.*").where("key is not null")
 
 
 def _second_keys(crowded: DataFrame, bounds: Bounds) -> DataFrame:
-    """From (h, key, exact, choice, line): the keys of crowded rows, each joined with a segment of the rest of the line."""
+    """From (h, letters, key, exact, choice, line, parities): the keys of crowded rows, each joined with a segment of the rest of the line."""
     choices, length = _choices(bounds), F.length("line")
     begin, size = F.lit(None).cast("int"), F.lit(None).cast("int")
     for i, (t, d, j, shift) in enumerate(choices):
@@ -96,14 +142,14 @@ def _second_keys(crowded: DataFrame, bounds: Bounds) -> DataFrame:
         size = F.when(F.col("choice") == i, own.cast("int")).otherwise(size)
     cut = crowded.withColumns({"begin": begin, "size": size})
     rest = F.concat(F.expr("substring(line, 1, begin)"), F.expr("substring(line, begin + size + 1)"))
-    rows = cut.select("h", "key", "exact", "choice", rest.alias("rest"))
+    rows = cut.select("h", "letters", "parities", "key", "exact", "choice", rest.alias("rest"))
     every = []
     for c in choices:
         same = [i for i, x in enumerate(choices) if x[:2] == c[:2]]  # the same bound and difference in length
         entry = F.struct(_key(F.col("rest"), F.length("rest"), c, F.col("key")).alias("key"), F.lit(_exact(c)).alias("exact"))
         every.append(F.when(F.col("choice").isin(same), entry))
-    found = rows.select("h", F.col("exact").alias("own"), F.explode(F.array(*every)).alias("s")).where("s is not null")
-    return found.select("h", "s.key", (F.col("own") & F.col("s.exact")).alias("exact"))
+    found = rows.select("h", "letters", "parities", F.col("exact").alias("own"), F.explode(F.array(*every)).alias("s"))
+    return found.where("s is not null").select("h", "letters", "parities", "s.key", (F.col("own") & F.col("s.exact")).alias("exact"))
 
 
 def edits_within(a: Column, b: Column, t: int) -> Column:
@@ -151,33 +197,40 @@ def edits_within(a: Column, b: Column, t: int) -> Column:
 def line_links(keyed: DataFrame, lines: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDED) -> DataFrame:
     """(a, b): the hashes of near-equal distinct lines.
 
-    keyed has a row (h, key0, key1, ...) for each distinct line; lines has (h, line), and may repeat.
+    keyed has a row (h, key0, key1, ..., letters) for each distinct line; lines has (h, line), and may repeat.
     """
     keys, own = _first_keys(keyed, bounds), _first_keys(keyed, bounds, own=True)
+    most = max(t for _, t in bounds)
     crowds = settle(own.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowds")
     if crowds.isEmpty():
-        pairs = settle(_meet(own, keys).distinct(), "line-pairs")
+        pairs = settle(_meet(own, keys, most).distinct(), "line-pairs")
         met = pairs.select(F.explode(F.array("a", "b")).alias("h"))
     else:
         crowded = settle(keys.join(crowds, "key", "left_semi"), "crowded-segments")
-        pairs = settle(_meet(*(k.join(crowds, "key", "left_anti") for k in (own, keys))).distinct(), "line-pairs")
+        pairs = settle(_meet(*(k.join(crowds, "key", "left_anti") for k in (own, keys)), most).distinct(), "line-pairs")
         met = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(crowded.select("h"))
     # a merge join at every size: the lines met grow with the corpus, so their broadcast would only suit small ones
     wanted = lines.join(met.distinct().hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    wanted = settle(wanted, "line-texts")
+    wanted = settle(wanted.withColumn("parities", char_parities(F.col("line"))), "line-texts")
     if not crowds.isEmpty():
         second = settle(_second_keys(crowded.join(wanted, "h"), bounds), "second-segments")
-        pairs = pairs.unionByName(_meet(second.where("exact"), second)).distinct()
-    left = wanted.select(F.col("h").alias("a"), F.col("line").alias("la"))
-    right = wanted.select(F.col("h").alias("b"), F.col("line").alias("lb"))
+        pairs = pairs.unionByName(_meet(second.where("exact"), second, most)).distinct()
+    left = wanted.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("parities").alias("pa"))
+    right = wanted.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("parities").alias("pb"))
     shorter = _bound(F.least(F.length("la"), F.length("lb")), bounds)
-    near = edits_within(F.col("la"), F.col("lb"), max(t for _, t in bounds))
-    return pairs.join(left, "a").join(right, "b").where(near <= shorter).select("a", "b")
-
-
-def _meet(own: DataFrame, keys: DataFrame) -> DataFrame:
-    own = own.select("key", F.col("h").alias("x"))
-    pairs = own.join(keys.select("key", "h"), "key").where("x <> h")
+    near = edits_within(F.col("la"), F.col("lb"), most)
+    allowed = _parities_allow(F.col("pa"), F.col("pb"), most)
+    return pairs.join(left, "a").join(right, "b").where(allowed & (near <= shorter)).select("a", "b")
+
+
+def _meet(own: DataFrame, keys: DataFrame, t: int) -> DataFrame:
+    """(a, b): different lines of one key, whose counts and parities, where there are any, allow t edits."""
+    tests = {c: f for c, f in (("letters", _counts_allow), ("parities", _parities_allow)) if c in keys.columns}
+    own = own.select("key", F.col("h").alias("x"), *[F.col(c).alias(f"{c}_x") for c in tests])
+    met = F.col("x") != F.col("h")
+    for c, allow in tests.items():
+        met = met & allow(F.col(f"{c}_x"), F.col(c), t)
+    pairs = own.join(keys.select("key", "h", *tests), "key").where(met)
     return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"))
 
 
@@ -201,8 +254,10 @@ def repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDE
     counted = settle(seen.groupBy("h").agg(F.min("_k").alias("k"), F.count("*").alias("n")), "distinct-lines")
     if bounds:
         long = lines.where(F.length("line") >= min(least for least, _ in bounds))
-        texts = settle(long.groupBy("h").agg(F.first("line").alias("line")), "distinct-texts")
-        links = line_links(texts.select("h", *line_keys(F.col("line"), bounds)), texts, bounds, crowd)
+        texts = long.groupBy("h").agg(F.first("line").alias("line"))
+        texts = settle(texts.withColumn("letters", letter_counts(F.col("line"))), "distinct-texts")
+        keyed = texts.select("h", *line_keys(F.col("line"), bounds, F.col("letters")))
+        links = line_links(keyed, texts.select("h", "line"), bounds, crowd)
         roots = components(settle(links, "line-links")).withColumnRenamed("node", "h")
     else:
         roots = counted.select("h", F.col("h").alias("root")).limit(0)

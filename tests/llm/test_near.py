@@ -283,3 +283,33 @@ def test_automaton_reads_only_what_may_recur(monkeypatch):
     marked = np.flatnonzero(substring_dedup._located(hashes, counts, every[times > 1], 20, 8))
     assert {*range(1000, 1011), *range(8970, 8981)} <= {*marked.tolist()} and len(marked) < 60
     assert 0 < sum(read) < 150
+
+
+def test_copies_with_changed_words_do_not_all_meet(make):
+    """70 copies of a long line, each with two words changed, and 20 of them edited: few of their pairs are made."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshrdl") for _ in range(8))
+    base = [word() for _ in range(30)]
+    lines = []
+    for _ in range(70):
+        own = list(base)
+        for _ in range(2):
+            own[rng.randrange(30)] = word()
+        lines.append(" ".join(own))
+    lines = list(dict.fromkeys([*lines, *(edited(rng, x, rng.randrange(1, 3)) for x in lines[:20])]))
+    df = make("line string", [(x,) for x in lines]).withColumn("h", F.xxhash64("line"))
+    keyed = df.select("h", *line_dedup.line_keys(F.col("line"), line_dedup.BOUNDS))
+    keys = [line_dedup._first_keys(keyed, line_dedup.BOUNDS, own) for own in (True, False)]
+    name = {r.h: r.line for r in df.collect()}
+    met = {frozenset((name[r.a], name[r.b])) for r in line_dedup._meet(*keys, 2).collect()}
+    near = {frozenset((x, y)) for x in lines[70:] for y in lines[:70] if abs(len(x) - len(y)) < 3 and edits(x, y) <= 2}
+    assert near <= met and len(near) >= 20 and len(met) < 1000
+
+
+def test_counts_and_parities_never_part_near_lines(make):
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("eatnio xé\U0001f600") for _ in range(rng.choice([0, 3, 60, 200]))) for _ in range(300)]
+    df = make("a string, b string", [(a, edited(rng, a, 2)) for a in texts])
+    letters, parities = ([f(F.col(c)) for c in "ab"] for f in (line_dedup.letter_counts, line_dedup.char_parities))
+    kept = df.where(line_dedup._counts_allow(*letters, 2) & line_dedup._parities_allow(*parities, 2))
+    assert kept.count() == len(texts)
