@@ -61,10 +61,10 @@ def places(t: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def _segment(length: Column, t: int, j: int) -> tuple[Column, Column]:
+def _segment(length: Column, t: Column, j: Column) -> tuple[Column, Column]:
     """Start, from 0, and length of segment j of t + 1 in a line of that length; the last ones are longer by one."""
     size, over = F.floor(length / (t + 1)), length % (t + 1) + (j - t - 1)
-    return size * j + F.greatest(F.lit(0), over), size + F.when(over >= 0, 1).otherwise(0)
+    return (size * j + F.greatest(F.lit(0), over)).cast("int"), (size + F.when(over >= 0, 1).otherwise(0)).cast("int")
 
 
 def _choices(bounds: Bounds) -> list[tuple[int, int, int, int]]:
@@ -72,18 +72,35 @@ def _choices(bounds: Bounds) -> list[tuple[int, int, int, int]]:
     return [(t, *place) for t in sorted({t for _, t in bounds}) for place in places(t)]
 
 
-def _key(line: Column, length: Column, choice: tuple[int, int, int, int], *salt: Column) -> Column:
-    t, d, j, shift = choice
-    start, size = _segment(length - d, t, j)
-    return F.xxhash64(*salt, length - d, F.lit(j), F.substring(line, (start + shift + 1).cast("int"), size.cast("int")))
+def _exact(choice: tuple[int, int, int, int]) -> bool:
+    """Whether the key is of a segment of the line itself, by which others find it."""
+    return choice[1] == choice[3] == 0
+
+
+def _table(bounds: Bounds, own: bool = False) -> Column:
+    """A constant array of all choices, or of those that are exact, as structs."""
+    names = ("choice", "t", "d", "j", "shift", "exact")
+    rows = [(i, *c, _exact(c)) for i, c in enumerate(_choices(bounds)) if _exact(c) or not own]
+    return F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row, strict=True)]) for row in rows])
+
+
+def _key(line: Column, length: Column, c: Column, *salt: Column) -> Column:
+    """The key of choice c. Where each character is a byte, none is stepped over to get to the segment."""
+    of = length - c["d"]
+    start, size = _segment(of, c["t"], c["j"])
+    start = start + c["shift"] + 1
+    by_char = F.substring(line, start, size).cast("binary")
+    part = F.when(F.octet_length(line) == length, F.substring(line.cast("binary"), start, size)).otherwise(by_char)
+    return F.xxhash64(*salt, of, c["j"], part)
 
 
 def letter_counts(line: Column) -> Column:
     """How often each of LETTERS is in a line, modulo 32, side by side in an int."""
-    size, packed = F.octet_length(line), F.lit(0)
+    packed = F.lit(0)
     for i, letter in enumerate(LETTERS):
-        count = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(31))
-        packed = packed.bitwiseOR(F.shiftleft(count, 5 * i))
+        rest = F.replace(line, F.lit(letter), F.lit(""))
+        count = (F.octet_length(line) - F.octet_length(rest)).bitwiseAND(F.lit(31))
+        packed, line = packed.bitwiseOR(F.shiftleft(count, 5 * i)), rest
     return packed
 
 
@@ -108,48 +125,35 @@ def _parities_allow(a: Column, b: Column, t: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= 2 * t
 
 
-def line_keys(line: Column, bounds: Bounds, letters: Column | None = None) -> list[Column]:
-    """The keys key0, key1, ... of a line by which it is found, or with which it finds others, null where none fits;
-    and letters, its letter_counts, computed here unless given."""
+def line_keys(line: Column, bounds: Bounds) -> list[Column]:
+    """What the keys of a line are made of: line, null where it is too short for any, its length and letters, its letter_counts."""
     length = F.length(line)
-    keys = [
-        F.when(_bound(length - c[1], bounds) == c[0], _key(line, length, c)).alias(f"key{i}")
-        for i, c in enumerate(_choices(bounds))
-    ]
-    return [*keys, (letter_counts(line) if letters is None else letters).alias("letters")]
-
-
-def _exact(choice: tuple[int, int, int, int]) -> bool:
-    """Whether the key is of a segment of the line itself, by which others find it."""
-    return choice[1] == choice[3] == 0
+    usable = F.when(length >= min(least for least, _ in bounds), line)
+    return [usable.alias("line"), length.alias("length"), letter_counts(line).alias("letters")]
 
 
 def _first_keys(keyed: DataFrame, bounds: Bounds, own: bool = False) -> DataFrame:
-    """(h, letters, key, exact, choice), a row for each key of each line, or for those of its own segments."""
-    names = {"key": lambda i, c: F.col(f"key{i}"), "exact": lambda i, c: F.lit(_exact(c)), "choice": lambda i, c: F.lit(i)}
-    every = [F.struct(*[f(i, c).alias(n) for n, f in names.items()]) for i, c in enumerate(_choices(bounds)) if _exact(c) or not own]
-    rows = keyed.select("h", "letters", F.explode(F.array(*every)).alias("s"))
-    return rows.select("h", "letters", "s.*").where("key is not null")
+    """(h, letters, key, exact, choice), a row for each key of each line, or for those of its own segments.
+
+    The choices are rows, and one expression makes the key of each: an expression for every choice, side by side, is
+    more than the JVM compiles as one method.
+    """
+    rows = keyed.where("line is not null").select("h", "letters", "line", "length", F.explode(_table(bounds, own)).alias("c"))
+    fit = rows.where(_bound(F.col("length") - F.col("c.d"), bounds) == F.col("c.t"))
+    return fit.select("h", "letters", _key(F.col("line"), F.col("length"), F.col("c")).alias("key"), "c.exact", "c.choice")
 
 
 def _second_keys(crowded: DataFrame, bounds: Bounds) -> DataFrame:
     """From (h, letters, key, exact, choice, line, parities): the keys of crowded rows, each joined with a segment of the rest of the line."""
-    choices, length = _choices(bounds), F.length("line")
-    begin, size = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for i, (t, d, j, shift) in enumerate(choices):
-        start, own = _segment(length - d, t, j)
-        begin = F.when(F.col("choice") == i, (start + shift).cast("int")).otherwise(begin)
-        size = F.when(F.col("choice") == i, own.cast("int")).otherwise(size)
-    cut = crowded.withColumns({"begin": begin, "size": size})
+    cut, first = crowded.withColumn("first", F.get(_table(bounds), F.col("choice"))), F.col("first")
+    start, size = _segment(F.length("line") - first["d"], first["t"], first["j"])
+    cut = cut.withColumns({"begin": start + first["shift"], "size": size})
     rest = F.concat(F.expr("substring(line, 1, begin)"), F.expr("substring(line, begin + size + 1)"))
-    rows = cut.select("h", "letters", "parities", "key", "exact", "choice", rest.alias("rest"))
-    every = []
-    for c in choices:
-        same = [i for i, x in enumerate(choices) if x[:2] == c[:2]]  # the same bound and difference in length
-        entry = F.struct(_key(F.col("rest"), F.length("rest"), c, F.col("key")).alias("key"), F.lit(_exact(c)).alias("exact"))
-        every.append(F.when(F.col("choice").isin(same), entry))
-    found = rows.select("h", "letters", "parities", F.col("exact").alias("own"), F.explode(F.array(*every)).alias("s"))
-    return found.where("s is not null").select("h", "letters", "parities", "s.key", (F.col("own") & F.col("s.exact")).alias("exact"))
+    rows = cut.select("h", "letters", "parities", "key", "first", rest.alias("rest"))
+    rows = rows.withColumn("length", F.length("rest")).withColumn("c", F.explode(_table(bounds)))
+    same = rows.where("c.t = first.t and c.d = first.d")  # the same bound and difference in length
+    key = _key(F.col("rest"), F.col("length"), F.col("c"), F.col("key"))
+    return same.select("h", "letters", "parities", key.alias("key"), F.expr("first.exact and c.exact").alias("exact"))
 
 
 def edits_within(a: Column, b: Column, t: int) -> Column:
@@ -197,7 +201,7 @@ def edits_within(a: Column, b: Column, t: int) -> Column:
 def line_links(keyed: DataFrame, lines: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDED) -> DataFrame:
     """(a, b): the hashes of near-equal distinct lines.
 
-    keyed has a row (h, key0, key1, ..., letters) for each distinct line; lines has (h, line), and may repeat.
+    keyed has a row (h, *line_keys) for each distinct line; lines has (h, line), and may repeat.
     """
     keys, own = _first_keys(keyed, bounds), _first_keys(keyed, bounds, own=True)
     most = max(t for _, t in bounds)
@@ -255,9 +259,8 @@ def repeated_lines(docs: DataFrame, bounds: Bounds = BOUNDS, crowd: int = CROWDE
     if bounds:
         long = lines.where(F.length("line") >= min(least for least, _ in bounds))
         texts = long.groupBy("h").agg(F.first("line").alias("line"))
-        texts = settle(texts.withColumn("letters", letter_counts(F.col("line"))), "distinct-texts")
-        keyed = texts.select("h", *line_keys(F.col("line"), bounds, F.col("letters")))
-        links = line_links(keyed, texts.select("h", "line"), bounds, crowd)
+        keyed = settle(texts.select("h", *line_keys(F.col("line"), bounds)), "distinct-texts")
+        links = line_links(keyed, keyed.select("h", "line"), bounds, crowd)
         roots = components(settle(links, "line-links")).withColumnRenamed("node", "h")
     else:
         roots = counted.select("h", F.col("h").alias("root")).limit(0)

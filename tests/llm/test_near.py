@@ -313,3 +313,13 @@ def test_counts_and_parities_never_part_near_lines(make):
     letters, parities = ([f(F.col(c)) for c in "ab"] for f in (line_dedup.letter_counts, line_dedup.char_parities))
     kept = df.where(line_dedup._counts_allow(*letters, 2) & line_dedup._parities_allow(*parities, 2))
     assert kept.count() == len(texts)
+
+
+def test_keys_are_made_in_methods_that_the_jvm_compiles(make, capsys):
+    """Beyond 8000 bytes a generated method is interpreted at every row."""
+    df = make("line string", [("a line of thirty characters or so",)]).withColumn("h", F.xxhash64("line"))
+    keyed = df.select("h", *line_dedup.line_keys(F.col("line"), line_dedup.BOUNDS))
+    for own in (True, False):
+        line_dedup._first_keys(keyed, line_dedup.BOUNDS, own).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
