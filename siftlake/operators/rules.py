@@ -6,10 +6,12 @@ one field with one modifier and a list of values, of which one must match, or al
 that some term needs hold and none that it forbids does. As in the rule format, text is compared without case, a field
 that is NULL matches nothing, and what does not match is negated as false.
 
-Events are reduced to distinct combinations of the fields in use, and their fields to distinct values. Values meet
-literals on keys: equal text, or three letters that a part of text must have. So thousands of rules are rows of joins
-and not columns of a plan. Of a selection the group that fewest events match finds candidates; the others are looked up
-for these alone. Events on which no selection of a rule holds are counted as the rest, for rules that fire on them.
+Equal groups, selections and whole rules are told by digests of what they ask for and judged once, whatever their names.
+Values meet literals on keys: equal text, the longest beginning, end or part of it that a literal must have. Values that
+no test tells apart are one class, and events are counted by the classes of their fields, so the work grows with what
+the rules can tell apart and not with rules times events. Thousands of rules are rows of joins and not columns of a plan.
+Of a selection the group that fewest counted events match finds candidates; the others are looked up for these alone.
+Events on which no selection of a rule holds are counted as the rest, for rules that fire on them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake.session import materialise
@@ -25,8 +28,8 @@ TESTS = "rule string, selection string, field string, modifier string, all_of bo
 TERMS = "array<struct<need: array<string>, forbid: array<string>>>"
 CONDITIONS = f"rule string, tags string, terms {TERMS}"
 EQUAL, PARTS, BOUNDS = ("",), ("contains", "startswith", "endswith"), ("gt", "gte", "lt", "lte")
-#: Letters of the key by which parts of text are looked up; shorter literals are compared with every value.
-GRAM = 3
+#: Letters of the keys by which parts of text are looked up: a literal uses the longest that it has.
+GRAMS = (1, 2, 3, 6, 12)
 
 Terms = list[tuple[list[str], list[str]]]
 
@@ -63,7 +66,11 @@ def _distinct(terms) -> Terms:
 
 
 def _kind(modifier: Column) -> Column:
-    return F.when(modifier.isin(*EQUAL), "eq").when(modifier.isin(*PARTS), "part").when(modifier.isin(*BOUNDS), "bound")
+    return F.when(modifier.isin(*EQUAL), "eq").when(modifier.isin(*PARTS), modifier).when(modifier.isin(*BOUNDS), "bound")
+
+
+def _digest(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws(",", *parts), 256)
 
 
 def _matches(value: Column, modifier: Column, literal: Column) -> Column:
@@ -80,19 +87,81 @@ def _matches(value: Column, modifier: Column, literal: Column) -> Column:
     )
 
 
-def _value_keys(values: DataFrame, parted: list[str], bounded: list[str]) -> DataFrame:
-    """The keys by which each value may be found: itself, its grams where its field has tests for parts, and none."""
-    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
-    value, none = F.col("value"), F.lit("")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(value) - GRAM + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, F.lit(GRAM))))
-    parts = F.array_append(F.transform(grams, lambda g: key("part", g)), key("part", none))
-    keys = F.concat(
-        F.array(key("eq", value)),
-        F.when(F.col("field").isin(*parted), F.array_distinct(parts)).otherwise(F.array().cast("array<struct<kind: string, key: string>>")),
-        F.when(F.col("field").isin(*bounded), F.array(key("bound", none))).otherwise(F.array().cast("array<struct<kind: string, key: string>>")),
+def _literal_key(kind: Column, literal: Column) -> Column:
+    """The key of a literal: itself, the letters that a part of text must have, or none."""
+    size = F.lit(0)
+    for n in GRAMS:
+        size = F.when(F.length(literal) >= n, n).otherwise(size)
+    first = F.substring(literal, F.lit(1), size)
+    return (
+        F.when(kind == "eq", literal).when(kind.isin("contains", "startswith"), first)
+        .when(kind == "endswith", F.right(literal, size)).otherwise("")
     )
-    return values.select("field", "value", "n_rows", F.inline(keys))
+
+
+def _keys_of(value: Column, kind: str, size: int) -> Column:
+    """The keys of one kind and size in a value that has so many letters."""
+    if kind == "eq":
+        keys = F.array(value)
+    elif kind == "contains" and size:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(value) - size + 1, F.lit(1)))
+        keys = F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, F.lit(size))))
+    elif kind == "endswith":
+        keys = F.array(F.right(value, F.lit(size)))
+    else:
+        keys = F.array(F.substring(value, 1, size))
+    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+
+def _value_keys(values: DataFrame, in_use: dict[tuple[str, int], list[str]]) -> DataFrame:
+    """The keys by which each value may be found, of the kinds and sizes that tests of its field use."""
+    value, none = F.col("value"), F.array().cast("array<struct<kind: string, key: string>>")
+    each = [
+        F.when(F.col("field").isin(*fields) & (F.length(value) >= size), _keys_of(value, kind, size)).otherwise(none)
+        for (kind, size), fields in in_use.items()
+    ]
+    return values.select("field", "value", F.inline(F.concat(none, *each)))
+
+
+def _rules_by_content(listed: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(rule, tags, shape, sids, terms, selections, on_none) of every row of conditions; shape is NULL if it does not compile.
+
+    A selection has its groups and a digest of them as its sid, sids are the rule's own in order, terms name them by their
+    place in it, and shape is the digest of both. on_none is whether the rule fires where no selection holds. The tables
+    are dealt by rule once and merged: a file of a million rules is small enough to mislead the size check of a broadcast.
+    """
+    groups = listed.repartition("rule").groupBy("rule", "selection", "field", "modifier", "kind", "all_of").agg(
+        F.sort_array(F.collect_set("literal")).alias("literals"), F.bool_and("usable").alias("usable")
+    )
+    asks = _digest(F.sha2("field", 256), F.col("modifier"), F.col("all_of").cast("string"), F.transform("literals", lambda x: F.sha2(x, 256)))
+    group = F.struct(asks.alias("gid"), "field", "modifier", "kind", "all_of", "literals")
+    selections = groups.groupBy("rule", "selection").agg(
+        F.sort_array(F.collect_list(group)).alias("groups"), F.bool_and("usable").alias("usable")
+    )
+    selections, named = selections.withColumn("sid", _digest(F.col("groups.gid"))), F.col("selection").isNotNull()
+    by_rule = selections.groupBy("rule").agg(
+        F.collect_list(F.when(named, F.struct("selection", "sid", "groups"))).alias("own"), F.bool_and("usable").alias("usable")
+    )
+    rules = conditions.join(by_rule.hint("merge"), "rule", "left")
+    none = F.array().cast("array<string>")
+    rules = rules.withColumn("ids", F.map_from_arrays(F.col("own.selection"), F.col("own.sid")))
+    rules = rules.withColumn("sids", F.coalesce(F.array_sort(F.array_distinct("own.sid")), none))
+    names = F.flatten(F.transform("terms", lambda t: F.coalesce(F.concat(t["need"], t["forbid"]), none)))
+    unknown = F.size(F.array_except(F.coalesce(names, none), F.coalesce(F.map_keys("ids"), none))) > 0
+    compiled = F.coalesce("usable", F.lit(True)) & ~unknown
+    place = lambda n: F.array_position("sids", F.try_element_at("ids", n))
+    places = lambda t: F.struct(F.transform(t["need"], place).alias("need"), F.transform(t["forbid"], place).alias("forbid"))
+    rules = rules.withColumn("compiled", compiled)
+    content = F.array_distinct(F.transform("own", lambda x: F.struct(x["sid"].alias("sid"), x["groups"].alias("groups"))))
+    rules = rules.withColumn("terms", F.when(F.col("compiled"), F.transform("terms", places)))
+    shape = F.when(F.col("compiled"), F.sha2(F.to_json(F.struct("sids", "terms")), 256))
+    on_none = F.exists("terms", lambda t: F.size(t["need"]) == 0)
+    return rules.select("rule", "tags", shape.alias("shape"), "sids", "terms", content.alias("selections"), on_none.alias("on_none"))
+
+
+def _numbered(df: DataFrame, key: str, number: str, label: str) -> DataFrame:
+    """The rows of df, one per key, with a number."""
+    return materialise(df.dropDuplicates([key]).withColumn(number, F.monotonically_increasing_id()), label)
 
 
 def rule_matches(df: DataFrame, tests: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -101,65 +170,78 @@ def rule_matches(df: DataFrame, tests: DataFrame, conditions: DataFrame) -> Data
     tests has the columns of TESTS, conditions those of CONDITIONS, one row per rule. A rule that asks for a field that
     df lacks, an unknown modifier, or a selection without tests, is not compiled and has no count, never a zero.
     """
+    kind = _kind(F.col("modifier"))
+    usable = F.col("field").isin(*df.columns) & kind.isNotNull() & F.col("value").isNotNull()
     listed = tests.select(
         "rule", "selection", "field", "modifier", F.coalesce("all_of", F.lit(False)).alias("all_of"),
-        F.lower("value").alias("literal"), _kind(F.col("modifier")).alias("kind"),
+        F.lower("value").alias("literal"), kind.alias("kind"), F.coalesce(usable, F.lit(False)).alias("usable"),
     )
-    usable = F.col("field").isin(*df.columns) & F.col("kind").isNotNull() & F.col("literal").isNotNull()
-    broken = listed.filter(~F.coalesce(usable, F.lit(False))).select("rule")
-    named = conditions.select("rule", F.explode("terms").alias("t"))
-    named = named.select("rule", F.explode(F.concat("t.need", "t.forbid")).alias("selection"))
-    unknown = named.join(listed.select("rule", "selection"), ["rule", "selection"], "left_anti").select("rule")
-    whole = conditions.join(broken.unionByName(unknown).distinct(), "rule", "left_anti")
-    group = F.concat_ws("|", "field", "modifier", "all_of")
-    known = listed.join(whole.select("rule"), "rule", "left_semi").withColumn("g", group).distinct()
-    known = materialise(known, "rule-tests")
-    # a row per column of df and kind of test
-    in_use = known.select("field", "kind").distinct().collect()
-    fields = sorted({r["field"] for r in in_use})
+    rules = materialise(_rules_by_content(listed, conditions), "rules")
+    whole = rules.filter("shape IS NOT NULL")
+    shapes = _numbered(whole.select("shape", "sids", "terms", "selections"), "shape", "h", "rule-shapes")
+    selections = _numbered(shapes.select(F.inline("selections")), "sid", "s", "rule-selections")
+    groups = _numbered(selections.select(F.inline("groups")), "gid", "g", "rule-groups")
+    tests_of = groups.select("g", "field", "modifier", "kind", F.explode("literals").alias("literal"))
+    texts = tests_of.select("field", "modifier", "kind", "literal").distinct()
+    texts = texts.withColumn("key", _literal_key(F.col("kind"), F.col("literal"))).withColumn("test", F.monotonically_increasing_id())
+    texts = materialise(texts, "rule-tests")
+    # a row per column of df, kind of test and size of key
+    size = F.when(F.col("kind") == "eq", 0).otherwise(F.length("key")).alias("size")
+    in_use: dict[tuple[str, int], list[str]] = {}
+    for r in texts.select("field", "kind", size).distinct().collect():
+        in_use.setdefault((r["kind"], r["size"]), []).append(r["field"])
+    fields = sorted({f for own in in_use.values() for f in own})
 
     combos = df.groupBy(*fields).agg(F.count(F.lit(1)).alias("n")) if fields else df.agg(F.count(F.lit(1)).alias("n"))
     combos = materialise(combos.withColumn("row", F.monotonically_increasing_id()), "rule-events")
     cell = lambda f: F.struct(F.lit(f).alias("field"), F.lower(F.col(f"`{f}`").cast("string")).alias("value"))
     none = F.array().cast("array<struct<field: string, value: string>>")
-    cells = combos.select("row", F.inline(F.array(*map(cell, fields)) if fields else none)).filter("value IS NOT NULL")
-
-    values = cells.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
-    keyed = _value_keys(values, *([r["field"] for r in in_use if r["kind"] == k] for k in ("part", "bound")))
-    literal = F.col("literal")
-    key = F.when(F.col("kind") == "eq", literal).when((F.col("kind") == "part") & (F.length(literal) >= GRAM), F.substring(literal, 1, GRAM))
-    hits = keyed.join(known.withColumn("key", F.coalesce(key, F.lit(""))), ["field", "kind", "key"])
-    hits = hits.filter(_matches(F.col("value"), F.col("modifier"), literal))
-    needed = known.groupBy("rule", "selection", "g").agg(
-        F.first("field").alias("field"),
-        F.when(F.first("all_of"), F.count_distinct("literal")).otherwise(1).alias("need"),
-    )
-    found = hits.groupBy("field", "value", "n_rows", "rule", "selection", "g").agg(F.count_distinct("literal").alias("m"))
-    found = found.join(needed.drop("field"), ["rule", "selection", "g"]).filter("m >= need").drop("m", "need")
-    found = materialise(found, "rule-values")
-
-    met = found.groupBy("rule", "selection", "g").agg(F.sum("n_rows").alias("n_rows"))
-    groups = needed.drop("need").join(met, ["rule", "selection", "g"], "left").na.fill(0, ["n_rows"])
+    cells = combos.select("row", "n", F.inline(F.array(*map(cell, fields)) if fields else none)).filter("value IS NOT NULL")
+
+    keyed = _value_keys(cells.select("field", "value").distinct(), in_use)
+    hits = keyed.join(texts, ["field", "kind", "key"]).filter(_matches(F.col("value"), F.col("modifier"), F.col("literal")))
+    values = materialise(hits.groupBy("field", "value").agg(F.sort_array(F.collect_set("test")).alias("tests")), "rule-values")
+    classes = materialise(values.select("field", "tests").distinct().withColumn("class", F.monotonically_increasing_id()), "rule-classes")
+    values = values.join(classes, ["field", "tests"]).select("field", "value", "class")
+    rows = cells.join(values, ["field", "value"]).groupBy("row", "n").agg(F.sort_array(F.collect_list("class")).alias("classes"))
+    rows = rows.groupBy("classes").agg(F.sum("n").alias("n")).withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(rows, "rule-rows")
+    cells = rows.select("row", F.explode("classes").alias("class")).join(classes.select("class", "field"), "class")
+
+    asked_by = tests_of.join(texts.drop("key"), ["field", "modifier", "kind", "literal"]).select("g", "test")
+    needed = groups.select("g", F.when(F.col("all_of"), F.size("literals")).otherwise(1).alias("need"))
+    found = classes.select("class", F.explode("tests").alias("test")).join(asked_by, "test")
+    found = found.groupBy("class", "g").agg(F.count(F.lit(1)).alias("m")).join(needed, "g").filter("m >= need").select("class", "g")
+    found = materialise(found, "rule-found")
+
+    met = found.join(cells.groupBy("class").agg(F.count(F.lit(1)).alias("n_rows")), "class").groupBy("g").agg(F.sum("n_rows").alias("n_rows"))
+    parts = selections.select("s", F.explode("groups.gid").alias("gid")).join(groups.select("gid", "g", "field"), "gid").drop("gid")
+    parts = parts.join(met, "g", "left").na.fill(0, ["n_rows"])
     anchor = F.min_by("g", F.struct("n_rows", "g")).alias("anchor")
-    anchors = groups.groupBy("rule", "selection").agg(anchor, F.count(F.lit(1)).alias("n_groups"))
-    by_anchor = found.join(anchors, ["rule", "selection"]).filter(F.col("g") == F.col("anchor"))
-    by_anchor = by_anchor.select("field", "value", "rule", "selection", "n_groups")
-    candidates = materialise(cells.join(by_anchor, ["field", "value"]).drop("field", "value"), "rule-candidates")
-    rest = groups.join(anchors, ["rule", "selection"]).filter(F.col("g") != F.col("anchor"))
-    asked = candidates.filter("n_groups > 1").join(rest.select("rule", "selection", "g", "field"), ["rule", "selection"])
-    answered = asked.join(cells, ["row", "field"]).join(found.drop("n_rows"), ["rule", "selection", "g", "field", "value"], "left_semi")
-    others = answered.groupBy("row", "rule", "selection", "n_groups").agg(F.count(F.lit(1)).alias("m")).filter("m = n_groups - 1")
-    held = candidates.filter("n_groups = 1").select("row", "rule", "selection").unionByName(others.select("row", "rule", "selection"))
-
-    per = held.groupBy("row", "rule").agg(F.collect_set("selection").alias("held"))
-    per = per.join(whole.select("rule", "terms"), "rule").join(combos.select("row", "n"), "row")
+    anchors = parts.groupBy("s").agg(anchor, F.count(F.lit(1)).alias("n_groups"))
+    by_anchor = found.join(anchors, F.col("g") == F.col("anchor")).select("class", "s", "n_groups")
+    candidates = materialise(cells.join(by_anchor, "class").select("row", "s", "n_groups"), "rule-candidates")
+    rest = parts.join(anchors, "s").filter(F.col("g") != F.col("anchor")).select("s", "g", "field")
+    asked = candidates.filter("n_groups > 1").join(rest, "s")
+    answered = asked.join(cells, ["row", "field"]).join(found, ["class", "g"], "left_semi")
+    others = answered.groupBy("row", "s", "n_groups").agg(F.count(F.lit(1)).alias("m")).filter("m = n_groups - 1")
+    held = candidates.filter("n_groups = 1").select("row", "s").unionByName(others.select("row", "s"))
+
+    places = shapes.select("h", F.posexplode("sids").alias("place", "sid")).join(selections.select("sid", "s"), "sid")
+    per = held.join(places.select("h", "s", (F.col("place") + 1).cast("bigint").alias("place")), "s")
+    per = per.groupBy("row", "h").agg(F.collect_set("place").alias("held"))
+    per = per.join(shapes.select("h", "terms"), "h").join(rows.select("row", "n"), "row")
     met_term = lambda t: (F.size(F.array_except(t["need"], F.col("held"))) == 0) & ~F.arrays_overlap(t["forbid"], F.col("held"))
-    counted = per.withColumn("fires", F.exists("terms", met_term)).groupBy("rule").agg(
+    counted = per.withColumn("fires", F.exists("terms", met_term)).groupBy("h").agg(
         F.sum("n").alias("n_held"), F.coalesce(F.sum(F.when(F.col("fires"), F.col("n"))), F.lit(0)).alias("n_fired")
     )
     total = combos.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    on_none = F.exists("terms", lambda t: F.size(t["need"]) == 0)
-    judged = whole.join(counted, "rule", "left").na.fill(0, ["n_held", "n_fired"])
-    judged = judged.select("rule", (F.col("n_fired") + F.when(on_none, F.lit(total) - F.col("n_held")).otherwise(0)).alias("matches"))
+    counted = shapes.select("shape", "h").join(counted, "h").drop("h")
+    judged = whole.select("rule", "shape", "on_none").join(counted, "shape", "left").na.fill(0, ["n_held", "n_fired"])
+    # rows of conditions that share a name are counted together
+    own = W.partitionBy("rule")
+    n_held, n_fired = F.sum("n_held").over(own), F.sum("n_fired").over(own)
+    judged = judged.select("rule", (n_fired + F.when(F.col("on_none"), F.lit(total) - n_held).otherwise(0)).alias("matches"))
     compiled = F.col("matches").isNotNull()
-    return conditions.join(judged, "rule", "left").select("rule", "tags", compiled.alias("compiled"), F.col("matches").cast("bigint").alias("matches"))
+    judged = rules.select("rule", "tags").join(judged.hint("merge"), "rule", "left")
+    return judged.select("rule", "tags", compiled.alias("compiled"), F.col("matches").cast("bigint").alias("matches"))

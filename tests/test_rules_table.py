@@ -108,3 +108,36 @@ def test_rules_that_do_not_compile_have_no_count(make):
     assert ru.rule_matches(events, make(ru.TESTS, []), make(ru.CONDITIONS, [])).collect() == []
     empty = ru.rule_matches(events.limit(0), make(ru.TESTS, tests[:1]), make(ru.CONDITIONS, [("a", "t", ru.terms_of(("not", "s")))]))
     assert [r["matches"] for r in empty.collect()] == [0]
+
+
+def test_equal_rules_and_like_events_are_judged_once(make, monkeypatch):
+    """No table on the way has a row per rule and event, though each rule holds on half of the events or on all."""
+    sizes = {}
+
+    def counting(df, label, write=ru.materialise):
+        out = write(df, label)
+        sizes[label] = max(out.count(), sizes.get(label, 0))
+        return out
+
+    monkeypatch.setattr(ru, "materialise", counting)
+    events = [(22 if i % 2 else 80, f"user{i}", f"run {i}.exe", None) for i in range(600)]
+    tests, trees = [], {}
+    for k in range(200):
+        rule, trees[f"r{k}"] = f"r{k}", TREES[k % 9]
+        tests += [(rule, "a", "cmd", "endswith", False, ".EXE"), (rule, "a", "port", "", False, "22")]
+        tests += [(rule, "b", "user", "contains", False, x) for x in ("ER7", "er8")] + [(rule, "c", "cmd", "startswith", False, "ru")]
+    conditions = [(r, "t", ru.terms_of(tree)) for r, tree in trees.items()]
+    got = ru.rule_matches(make(EVENTS, events), make(ru.TESTS, tests), make(ru.CONDITIONS, conditions)).collect()
+    assert {r["rule"]: r["matches"] for r in got} == plain(events, tests, trees)
+    assert max(sizes.values()) <= 2 * (len(events) + len(trees)), sizes
+
+
+def test_literals_of_every_length(make):
+    text = "abcdefghijklmnopqrst"
+    events = [(1, None, x, None) for x in (text, text[:12], text[-12:], text[3:7], "a", "t", "", None, "ABC" + text, "xx")]
+    literals = ["", "a", "t", "ab", "st", "abc", "rst", text[:6], text[-6:], text[:12], text[-12:], text[:17], text[-17:], text, "ijk"]
+    tests = [(f"{m} {x}", "a", "cmd", m, False, x) for m in (*ru.PARTS, "") for x in literals]
+    trees = {f"{m} {x}": "a" for m in (*ru.PARTS, "") for x in literals}
+    conditions = [(r, "t", ru.terms_of(tree)) for r, tree in trees.items()]
+    got = ru.rule_matches(make(EVENTS, events), make(ru.TESTS, tests), make(ru.CONDITIONS, conditions)).collect()
+    assert {r["rule"]: r["matches"] for r in got} == plain(events, tests, trees)
