@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftlake.operators import profile as pf
 from siftlake.operators import verify as vf
@@ -12,7 +13,7 @@ from siftlake.operators.schema import union_sources
 from siftlake.plans import tables as t
 from siftlake.plans.catalog import query
 from siftlake.plans.tables import sql
-from siftlake.session import scratch_path
+from siftlake.session import materialise, scratch_path
 from siftlake.sources import files as fl
 from siftlake.sources import readers as rd
 from siftlake.sources import sinks as sk
@@ -402,14 +403,14 @@ def _zorder_quantile_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCK_EVENTS = 500
 
 
-def _indexed_events(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Events as they arrive, in files of one block of numbers each, and their index, built in two goes."""
+def _indexed_events(spark: SparkSession, sf_dir: str) -> tuple[str, str, DataFrame, StructType]:
+    """Events as they arrive, in files of one block of numbers each, their index, built in two goes, their listing and schema."""
     table, index = scratch_path(spark, "unsorted"), scratch_path(spark, "skipping")
     blocks = t.events(spark, sf_dir).withColumn("block", F.expr(f"event_id div {BLOCK_EVENTS}"))
     for part in (F.col("block") % 3 != 0, F.col("block") % 3 == 0):
         blocks.where(part).repartition("block").write.mode("append").partitionBy("block").parquet(table)
         sp.extend_index(spark, table, index, ["src_ip", "time"])
-    return table, index
+    return table, index, materialise(fl.list_table_files(spark, table), "listing"), blocks.schema
 
 
 NEEDLES = ("10.0.0.7", "10.0.1.101", "10.0.9.9", "no address")
@@ -424,13 +425,19 @@ FROM (VALUES {", ".join(f"('{x}')" for x in NEEDLES)}) AS v(needle) LEFT JOIN ev
 )
 def _needle_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses in a table that is not sorted by them: the files opened against those that a full scan finds them in."""
-    table, index = _indexed_events(spark, sf_dir)
-    total = fl.list_table_files(spark, table).agg(F.count(F.lit(1)).alias("files"))
+    table, index, listing, schema = _indexed_events(spark, sf_dir)
+    total = listing.agg(F.count(F.lit(1)).alias("files"))
+    # the full scan, in passes
+    scanned, paths = scratch_path(spark, "holding"), [r["path"] for r in listing.select("path").collect()]
+    for rows in sp.scans(spark, table, paths, schema):
+        fl.files_of(rows.where(F.col("src_ip").isin(*NEEDLES)), "src_ip").write.mode("append").parquet(scanned)
+    scanned = spark.read.parquet(scanned)
     found = None
     for needle in NEEDLES:
-        chosen = sp.files_to_open(spark, table, index, sp.holds_any(spark.read.parquet(index), "src_ip", [needle]))
-        n = sp.needle_rows(spark, table, index, "src_ip", [needle]).agg(F.count(F.lit(1)).alias("n"))
-        holding = fl.files_of(spark.read.parquet(table).where(F.col("src_ip") == needle)).select("file_key", F.lit(1).alias("holds"))
+        keep = sp.holds_any(spark.read.parquet(index), "src_ip", [needle])
+        chosen = sp.files_to_open(spark, table, index, keep, listing)
+        n = sp.needle_rows(spark, table, index, "src_ip", [needle], listing, schema).agg(F.count(F.lit(1)).alias("n"))
+        holding = scanned.where(F.col("src_ip") == needle).select("file_key", F.lit(1).alias("holds"))
         both = chosen.select("file_key", F.lit(1).alias("opened")).join(holding, "file_key", "full").agg(
             F.count("opened").alias("opened"), F.count("holds").alias("files_holding"),
             F.count_if(F.col("opened").isNull()).cast("int").alias("files_missed"),
@@ -454,10 +461,10 @@ SELECT (SELECT count(*) FROM ev WHERE time BETWEEN {RANGE[0]} AND {RANGE[1]}) AS
 )
 def _zone_map_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of time: exactly the files whose own range meets it are opened."""
-    table, index = _indexed_events(spark, sf_dir)
-    chosen = sp.files_to_open(spark, table, index, sp.overlaps("time", *RANGE))
-    rows = sp.read_files(spark, table, chosen).where(F.col("time").between(*RANGE)).agg(F.count(F.lit(1)).alias("n"))
-    total = fl.list_table_files(spark, table).agg(F.count(F.lit(1)).alias("files"))
+    table, index, listing, schema = _indexed_events(spark, sf_dir)
+    chosen = sp.files_to_open(spark, table, index, sp.overlaps("time", *RANGE), listing)
+    rows = sp.read_files(spark, table, chosen, schema).where(F.col("time").between(*RANGE)).agg(F.count(F.lit(1)).alias("n"))
+    total = listing.agg(F.count(F.lit(1)).alias("files"))
     opened = chosen.agg(F.count(F.lit(1)).alias("files_opened"))
     one = lambda df: df.withColumn("k", F.lit(1))
     return one(rows).join(one(total), "k").join(one(opened), "k").drop("k")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,29 @@ from siftlake.functions.text import basename
 MIN_FILE_BYTES = 128 * 1024 * 1024
 MAX_SMALL_FILES = 8
 
+#: Tasks that list folders, at most, and settings that keep a listing from staying in the driver once it is not used.
+LISTING_TASKS = 200
+LISTING = {
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(LISTING_TASKS),
+    "spark.sql.hive.manageFilesourcePartitions": "false",
+}
+
+
+@contextmanager
+def light_listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by few tasks instead of one each, and the shared cache of file names is passed by.
+
+    The driver remembers every task and up to 250 MB of names. What is listed does not depend on either.
+    """
+    before = {k: spark.conf.get(k) for k in LISTING}
+    try:
+        for k, v in LISTING.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
 
 def file_key(path: Column) -> Column:
     """A path without its scheme, so that listings by different file system clients agree.
@@ -22,12 +48,13 @@ def file_key(path: Column) -> Column:
 
 def list_table_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
     """Every data file under a folder: path, key, base name, size. Content is never read."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
+    with light_listing(spark):
+        listing = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", pattern)
+            .option("recursiveFileLookup", "true")
+            .load(path)
+        )
     path_col = F.col("path")
     return listing.select(
         "path",
@@ -37,10 +64,11 @@ def list_table_files(spark: SparkSession, path: str, pattern: str = "*.parquet")
     )
 
 
-def files_of(df: DataFrame) -> DataFrame:
-    """Files that a scan of ``df`` actually opens, one row per file with its row count."""
+def files_of(df: DataFrame, *by: str) -> DataFrame:
+    """Files that a scan of ``df`` actually opens, one row per file, and values of the columns ``by``, with its row count."""
     meta = F.col("_metadata")
     return df.groupBy(
+        *by,
         meta["file_path"].alias("path"),
         file_key(meta["file_path"]).alias("file_key"),
         meta["file_name"].alias("file_name"),

@@ -12,17 +12,19 @@ distinct values of their file.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.sources.files import file_key, list_table_files
+from siftlake.sources.files import file_key, light_listing, list_table_files
 
 #: Words of a filter at most (half a megabyte) and bits per distinct value. Beyond that size a filter lets more files
 #: through, and misses none.
 MAX_WORDS, BITS_PER_VALUE = 1 << 16, 16
+#: Files of one scan where all files of a table are read: the driver holds a listing of so many at a time.
+FILES_AT_ONCE = 8192
 
 
 def _hash(value: Column, data_type: T.DataType) -> Column:
@@ -100,11 +102,24 @@ def extend_index(spark: SparkSession, table: str, index: str, columns: Sequence[
         listing = listing.join(known.select("file_key", "file_size").distinct(), ["file_key", "file_size"], "left_anti")
     paths = [r["path"] for r in listing.select("path").collect()]
     if paths:
-        scan = spark.read.option("basePath", table).parquet(*paths)
-        index_files(scan, columns).write.mode("append").parquet(index)
+        # one schema for all passes; a column that the files do not hold comes from the names of all folders
+        few = paths[:FILES_AT_ONCE]
+        with light_listing(spark):
+            own = spark.read.option("recursiveFileLookup", "true").parquet(paths[0]).columns
+            schema = spark.read.option("basePath", table).parquet(*(few if set(columns) <= set(own) else paths)).schema
+        for scan in scans(spark, table, paths, schema):
+            index_files(scan, columns).write.mode("append").parquet(index)
     return len(paths)
 
 
+def scans(spark: SparkSession, table: str, paths: Sequence[str], schema: T.StructType) -> Iterator[DataFrame]:
+    """The files of a table in scans of FILES_AT_ONCE, to be used one after the other."""
+    for start in range(0, len(paths), FILES_AT_ONCE):
+        with light_listing(spark):
+            scan = spark.read.schema(schema).option("basePath", table).parquet(*paths[start : start + FILES_AT_ONCE])
+        yield scan
+
+
 def _read_index(spark: SparkSession, index: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(index)
     exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
@@ -130,22 +145,39 @@ def overlaps(column: str, low: object, high: object) -> Column:
     return F.coalesce((entry["hi"] >= F.lit(low)) & (entry["lo"] <= F.lit(high)), F.lit(False))
 
 
-def files_to_open(spark: SparkSession, table: str, index: str, keep: Column) -> DataFrame:
-    """path, file_key and file_size of the table's files that fulfil keep by their row of the index, or have none."""
+def files_to_open(spark: SparkSession, table: str, index: str, keep: Column, listing: DataFrame | None = None) -> DataFrame:
+    """path, file_key and file_size of the table's files that fulfil keep by their row of the index, or have none.
+
+    A listing of the table that the caller has kept is not made again.
+    """
     judged = spark.read.parquet(index).select("file_key", "file_size", keep.alias("keep"))
     judged = judged.groupBy("file_key", "file_size").agg(F.max("keep").alias("keep"))
-    listed = list_table_files(spark, table).join(judged, ["file_key", "file_size"], "left")
+    listing = list_table_files(spark, table) if listing is None else listing
+    listed = listing.join(judged, ["file_key", "file_size"], "left")
     return listed.where(F.coalesce("keep", F.lit(True))).select("path", "file_key", "file_size")
 
 
-def read_files(spark: SparkSession, table: str, chosen: DataFrame) -> DataFrame:
-    """A scan of the chosen files alone. Their names go through the driver, as those of any scan do."""
-    paths = [r["path"] for r in chosen.select("path").collect()]
-    whole = spark.read.parquet(table)
-    return spark.read.schema(whole.schema).option("basePath", table).parquet(*paths) if paths else whole.limit(0)
-
+def read_files(spark: SparkSession, table: str, chosen: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """A scan of the chosen files alone. Their names go through the driver, as those of any scan do.
 
-def needle_rows(spark: SparkSession, table: str, index: str, column: str, values: Sequence[object]) -> DataFrame:
+    Without a schema the whole table is listed for its own.
+    """
+    paths = [r["path"] for r in chosen.select("path").collect()]
+    with light_listing(spark):
+        if schema is None:
+            whole = spark.read.parquet(table)
+            if not paths:
+                return whole.limit(0)
+            schema = whole.schema
+        elif not paths:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", table).parquet(*paths)
+
+
+def needle_rows(
+    spark: SparkSession, table: str, index: str, column: str, values: Sequence[object],
+    listing: DataFrame | None = None, schema: T.StructType | None = None,
+) -> DataFrame:
     """The rows of a table that hold one of the values in a column, from the files that may have any."""
-    chosen = files_to_open(spark, table, index, holds_any(spark.read.parquet(index), column, values))
-    return read_files(spark, table, chosen).where(F.col(column).isin(*values))
+    chosen = files_to_open(spark, table, index, holds_any(spark.read.parquet(index), column, values), listing)
+    return read_files(spark, table, chosen, schema).where(F.col(column).isin(*values))

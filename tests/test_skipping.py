@@ -134,3 +134,29 @@ def test_equal_and_nested_keys_fill_the_files(spark, tmp_path):
         assert len(zones) == files or files == 100
         if files != 100:
             assert max(r["n_rows"] for r in zones) <= 2.5 * 4_000 / files
+
+
+def test_a_table_is_read_in_passes_and_listed_once_it_is_whole(spark, tmp_path, monkeypatch):
+    """No scan of all files at a time, no listing per needle, and no job with a task per folder."""
+    from siftlake.plans import scans as sc
+
+    days = spark.range(2_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + F.col("id")).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 300).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"),
+    )
+    days.write.parquet(str(tmp_path / "events.parquet"))
+    listed, scanned, list_files, index_files = [], [], fl.list_table_files, sp.index_files
+    for module in (fl, sp):
+        monkeypatch.setattr(module, "list_table_files", lambda *a: listed.append(a) or list_files(*a))
+    monkeypatch.setattr(sp, "index_files", lambda scan, c: scanned.append(len(scan.inputFiles())) or index_files(scan, c))
+    monkeypatch.setattr(sp, "FILES_AT_ONCE", 7, raising=False)
+    monkeypatch.setattr(sc, "BLOCK_EVENTS", 50)
+    got = {r["needle"]: tuple(r)[1:] for r in sc._needle_skipping(spark, str(tmp_path)).collect()}
+    ids = [i for i in range(2_000) if i % 300 == 7 and i % 97]
+    assert got["10.0.0.7"] == (len(ids), len({i // 50 for i in ids}), 0, True, 40)
+    assert got["no address"] == got["10.0.9.9"] == (0, 0, 0, True, 40)
+    assert max(scanned) <= 7 and sum(scanned) == 40
+    assert len(listed) == 3
+    with fl.light_listing(spark):
+        assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "200"
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
